@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, quality
+from . import bpe, quality, toxicity
 from .common import read_table
 
 
@@ -20,6 +21,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.expr("crc32(encode(cast(doc_id AS string), 'UTF-8')) % 5 = 0")
+    labels = read_table(spark, sf_dir, "labels").where(~held_out)
+    model = toxicity.train(toxicity.sample_rows(docs, labels))
+    return toxicity.score_documents(docs, model).withColumn("held_out", held_out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
 
