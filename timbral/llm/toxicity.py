@@ -1,6 +1,7 @@
 """Toxicity by compression distance: two zstandard dictionaries, short windows, calibrated thresholds.
 
-A window is one lower-cased word between blanks, each character written as a fixed
+A window is one lower-cased word between blanks, or the first four letters of a longer
+one behind a blank, which stands for all its forms. Each character is written as a fixed
 four-byte code, so that the match structure of so short a window outweighs the frame.
 Each dictionary is raw content made of the windows that recur in its class: the
 ordinary one of windows in enough ordinary documents, the most frequent last, where
@@ -71,8 +72,12 @@ class _Codes(dict):
 _codes = _Codes()
 
 
-def window(word: str) -> bytes:
-    return b"".join(map(_codes.__getitem__, f" {word} "))
+def windows(word: str) -> tuple[str, ...]:
+    return (f" {word} ", f" {word[:4]}") if len(word) > 4 else (f" {word} ",)
+
+
+def coded(window: str) -> bytes:
+    return b"".join(map(_codes.__getitem__, window))
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -84,15 +89,15 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters)
 
 
-def _content(words: Iterable[str], counts: Counter, most: int) -> bytes:
+def _content(found: Iterable[str], counts: Counter, most: int) -> bytes:
     parts, used = [], 0
-    for word in sorted(words, key=lambda w: (-counts[w], w)):
-        part = window(word)[:-4]
+    for window in sorted(found, key=lambda w: (-counts[w], w)):
+        part = coded(window)
         if used + len(part) > most:
             break
         parts.append(part)
         used += len(part)
-    return b"".join(reversed(parts)) + _codes[" "]
+    return b"".join(reversed(parts))
 
 
 class Lengths:
@@ -101,9 +106,9 @@ class Lengths:
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.by_ordinary, self.by_toxic = compressor(ordinary).compress, compressor(toxic).compress
 
-    def gain(self, word: str, most_bytes: int) -> tuple[int, int] | None:
+    def gain(self, window: str, most_bytes: int) -> tuple[int, int] | None:
         """(toxic length, gain), or None where the toxic length is above most_bytes."""
-        data = window(word)
+        data = coded(window)
         toxic = len(self.by_toxic(data))
         return (toxic, len(self.by_ordinary(data)) - toxic) if toxic <= most_bytes else None
 
@@ -125,7 +130,7 @@ def train(rows: Iterable[tuple[str | None, int]], settings: Settings = Settings(
     documents = [(Counter(WORDS((text or "").lower())), int(label)) for text, label in rows]
     counts = {0: Counter(), 1: Counter()}
     for words, label in documents:
-        counts[label].update(words.keys())
+        counts[label].update({w for word in words for w in windows(word)})
     size = Counter(label for _, label in documents)
     enough = lambda label, share: max(settings.least_documents + label, round(share * size[label]))
     common = [w for w, n in counts[0].items() if n >= enough(0, settings.ordinary_share)]
@@ -144,8 +149,8 @@ def train(rows: Iterable[tuple[str | None, int]], settings: Settings = Settings(
     for i, (words, _) in enumerate(documents):
         for word, n in words.items():
             if word not in known:
-                found = lengths.gain(word, farthest)
-                known[word] = None if found is None else [k for k, (most, gain) in enumerate(grid) if found[0] <= most and found[1] >= gain]
+                found = [f for w in windows(word) if (f := lengths.gain(w, farthest)) is not None]
+                known[word] = [k for k, (most, gain) in enumerate(grid) if any(a <= most and b >= gain for a, b in found)]
             if at := known[word]:
                 hits[i, at] += n
     best = None
@@ -164,12 +169,17 @@ def _judge(model: Model):
     """A function of a text's words; verdicts on windows are kept, in two generations of bounded size."""
     lengths, young, old = Lengths(model.ordinary, model.toxic), {}, {}
 
+    @functools.lru_cache(maxsize=50_000)
+    def marked(window: str) -> bool:
+        found = lengths.gain(window, model.most_bytes)
+        return found is not None and found[1] >= model.least_gain
+
     def hit(word: str) -> bool:
         nonlocal young, old
         verdict = old.get(word)
         if verdict is None:
-            found = lengths.gain(word, model.most_bytes)
-            verdict = found is not None and found[1] >= model.least_gain
+            whole, *heads = windows(word)
+            verdict = any(map(marked, heads)) or marked.__wrapped__(whole)
         if len(young) >= 400_000:
             young, old = {}, young
         young[word] = verdict
