@@ -10,7 +10,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
 _FACTORS = [np.uint64(x) for x in _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)]
-_powers = np.ones(64, np.uint64)
+_powers = np.ones(1, np.uint64)
 
 
 def powers(n: int) -> np.ndarray:
