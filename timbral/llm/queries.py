@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, quality, toxicity
+from . import bpe, jaccard, quality, repeats, toxicity
 from .common import read_table
 
 
@@ -21,6 +21,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(read_table(spark, sf_dir, "documents"), jaccard.Settings(shingle=4, percent=85))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(read_table(spark, sf_dir, "documents"), repeats.Settings(length=400), digests=True)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(read_table(spark, sf_dir, "documents"))
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +23,43 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/timbral-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets the cleaner drop shuffle files that the table replaces
     return spark.read.schema(df.schema).parquet(path)
 
 
+def likely_rows(rows: DataFrame, ids: DataFrame, bits: int = 24, unlikely: bool = False) -> DataFrame:
+    """Rows ``(id, text)`` whose id may be among the ids: all that are, few others. unlikely: the other rows.
+
+    A bitmap of fixed size (2 MB) goes to all tasks, so that texts which no join needs are
+    not shuffled. It is made of parts that tasks have marked; it fills up as the ids grow,
+    and then lets more rows pass, never fewer.
+    """
+    size, spark = 1 << bits, rows.sparkSession
+    place = F.pmod(F.xxhash64("id"), F.lit(size))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.zeros(size, bool)
+        for batch in batches:
+            marked[batch.column(0).to_numpy().astype(np.int64)] = True
+        packed = np.packbits(marked)
+        at = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(packed[at].astype(np.int32))], names=["byte", "bits"])
+
+    bitmap = np.zeros(size // 8, np.uint8)
+    for r in ids.select(place.alias("place")).mapInArrow(mark, "byte long, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits")).collect():
+        bitmap[r.byte] = r.bits
+    known = spark.sparkContext.broadcast(bitmap)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy().astype(np.int64)
+            mask = ((known.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(mask ^ unlikely)) for c in batch.columns[:2]], names=["id", "text"])
+
+    return rows.select("id", "text", place.alias("place")).mapInArrow(pick, f"id {rows.schema['id'].dataType.simpleString()}, text string")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(id, component)`` for each end of the edges ``(a, b)``; component is the smallest id that can be reached.
 
