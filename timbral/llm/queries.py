@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, licenses, quality, repeats, toxicity
+from . import bpe, chat, html, jaccard, licenses, quality, repeats, toxicity, warc
 from .common import read_table
 
 
@@ -39,6 +39,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = F.expr("crc32(encode(cast(doc_id AS string), 'UTF-8')) % 5 = 0")
@@ -47,9 +51,58 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model).withColumn("held_out", held_out)
 
 
+#: A page is checked again after so many captures.
+RECHECK = 7
+
+
+def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive records of the pages: each page is a full response at time 2 * page_id, and a 304 answers its recheck some captures later."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", F.md5("html").alias("digest"), F.length("html").alias("n"))
+    time = 2 * F.col("page_id")
+    full = F.create_map(F.lit("ETag"), F.concat(F.lit('"'), F.col("digest"), F.lit('"')), F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), F.col("n").cast("string"), F.lit("Date"), time.cast("string"))
+    again = time + 2 * RECHECK + 1
+    short = F.create_map(F.lit("etag"), F.concat(F.lit('W/"'), F.col("digest"), F.lit('"')), F.lit("content-length"), F.lit("0"), F.lit("date"), again.cast("string"), F.lit("age"), F.lit("1"))
+    responses = pages.select((2 * F.col("page_id")).alias("record_id"), "url", time.alias("time"), F.lit("response").alias("kind"), full.alias("headers"), "digest")
+    revisits = pages.select((2 * F.col("page_id") + 1).alias("record_id"), F.concat(F.col("url"), F.lit("#again")).alias("url"), again.alias("time"), F.lit("revisit").alias("kind"), short.alias("headers"), F.lit(None).cast("string").alias("digest"))
+    return responses.unionByName(revisits)
+
+
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's recheck: the page whose response it resolves to, the outcome and the merged headers."""
+    found = warc.resolve(_captures(spark, sf_dir))
+    page = lambda c: F.floor(F.col(c) / 2).cast("long")
+    return found.select(page("record_id").alias("page_id"), "url_key", page("source_id").alias("source_page_id"), "outcome", warc.header_lines(F.col("headers")).alias("headers"))
+
+
+OP10_SQL = f"""
+WITH pages_keyed AS (
+  SELECT page_id, md5(html) AS digest, length(html) AS n,
+         regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[a-z][a-z0-9+.-]*://', '', 'i') AS bare
+  FROM pages
+), keyed AS (
+  SELECT page_id, digest, n,
+         regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www[.]', ''), ':(80|443)$', '')
+         || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS base,
+         array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '[?](.*)$', 1), '&'),
+           lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)'))), '&') AS query
+  FROM pages_keyed
+), captured AS (
+  SELECT page_id, digest, n, base || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url_key FROM keyed
+), met AS (
+  SELECT a.page_id, a.url_key, a.digest, b.page_id AS source, b.digest AS stored, b.n
+  FROM captured a ASOF LEFT JOIN captured b ON a.url_key = b.url_key AND 2 * a.page_id + {2 * RECHECK + 1} >= 2 * b.page_id
+)
+SELECT page_id, url_key, source AS source_page_id,
+       CASE WHEN source IS NULL THEN 'missing' WHEN digest = stored THEN 'resolved' ELSE 'mismatch' END AS outcome,
+       CASE WHEN digest = stored THEN 'age: 1' || chr(10) || 'content-length: ' || n || chr(10) || 'content-type: text/html' || chr(10)
+            || 'date: ' || (2 * page_id + {2 * RECHECK + 1}) || chr(10) || 'etag: W/"' || digest || '"' END AS headers
+FROM met
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc_revisits": OP10_SQL}
