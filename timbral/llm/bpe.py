@@ -24,8 +24,10 @@ import hashlib
 import itertools
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import map_rows, narrow, small_batches
 
@@ -316,3 +318,23 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "
     rows = narrow(docs, **{"id": id_col, "text": text_col})
     kind = rows.schema["id"].dataType.simpleString()
     return map_rows(rows, make, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+def replace_text(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """The rows with ``ids`` and ``n_tokens`` in place of the text, and whether decoding gives the text again."""
+    small_batches(docs.sparkSession)
+    data = _shared(docs, path)
+    at = docs.columns.index(text_col)
+    rest = [f for f in docs.schema if f.name != text_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _tokenizer(data.value, pattern)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            ids = [tokenizer.encode(t) for t in texts]
+            same = [tokenizer.decode_bytes(i) == t.encode("utf-8") for t, i in zip(texts, ids)]
+            columns = [c for i, c in enumerate(batch.columns) if i != at]
+            made = [pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns + made, names=[f.name for f in rest] + ["ids", "n_tokens", "round_trip"])
+
+    return docs.mapInArrow(run, T.StructType([*rest, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())]))

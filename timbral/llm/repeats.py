@@ -342,3 +342,45 @@ def remove(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_
     changed = likely.join(spans, "id", "left").select("id", "text", "spans")
     rest = likely_rows(rows, touched, unlikely=True).select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     return changed.mapInArrow(run, schema).unionByName(rest.mapInArrow(run, schema)).withColumnRenamed("id", id_col)
+
+
+def on_characters(data: bytes, removed: list[tuple[int, int]]) -> str:
+    """What is left of the text if the removed runs shrink to whole characters."""
+    parts, at = [], 0
+    for begin, end in removed:
+        while begin < end and data[begin] & 0xC0 == 0x80:
+            begin += 1
+        while end > begin and end < len(data) and data[end] & 0xC0 == 0x80:
+            end -= 1
+        parts.append(data[at:begin])
+        at = end
+    parts.append(data[at:])
+    return b"".join(parts).decode("utf-8", "surrogatepass")
+
+
+def clean(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """The documents with all their columns, without repeats in the text; those of which no word is left go."""
+    small_batches(docs.sparkSession)
+    rows = narrow(docs, id=id_col, text=text_col)
+    spans = _intervals(rows.where(F.col("id").isNotNull()), settings, rows.schema["id"].dataType.simpleString()).withColumnRenamed("id", id_col)
+    touched = likely_rows(docs, spans.select(id_col), id_col).join(spans, id_col, "left").select(*docs.columns, "spans")
+    at = docs.columns.index(text_col)
+    chars_at = docs.columns.index(chars_col) if chars_col in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, found in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                data = (text or "").encode("utf-8", "surrogatepass")
+                removed = keep(data, [(f["first"], f["last"]) for f in found or ()], settings.length)[1]
+                texts.append(on_characters(data, removed) if removed else text)
+            left = [bool(t and t.strip()) or not f for t, f in zip(texts, batch.column(batch.num_columns - 1).to_pylist())]
+            mask = pa.array(left, pa.bool_())
+            columns = [c.filter(mask) for c in batch.columns[:-1]]
+            texts = [t for t, l in zip(texts, left) if l]
+            columns[at] = pa.array(texts, batch.schema[at].type)
+            if chars_at is not None:
+                columns[chars_at] = pa.array([None if t is None else len(t) for t in texts], batch.schema[chars_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return likely_rows(docs, spans.select(id_col), id_col, unlikely=True).unionByName(touched.mapInArrow(run, docs.schema))

@@ -28,15 +28,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def likely_rows(rows: DataFrame, ids: DataFrame, bits: int = 24, unlikely: bool = False) -> DataFrame:
-    """Rows ``(id, text)`` whose id may be among the ids: all that are, few others. unlikely: the other rows.
+def likely_rows(rows: DataFrame, ids: DataFrame, id_col: str = "id", bits: int = 24, unlikely: bool = False) -> DataFrame:
+    """Rows whose id may be among the ids: all that are, few others. unlikely: the other rows.
 
     A bitmap of fixed size (2 MB) goes to all tasks, so that texts which no join needs are
     not shuffled. It is made of parts that tasks have marked; it fills up as the ids grow,
     and then lets more rows pass, never fewer.
     """
     size, spark = 1 << bits, rows.sparkSession
-    place = F.pmod(F.xxhash64("id"), F.lit(size))
+    place = F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(size))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.zeros(size, bool)
@@ -53,11 +53,17 @@ def likely_rows(rows: DataFrame, ids: DataFrame, bits: int = 24, unlikely: bool
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).to_numpy().astype(np.int64)
-            mask = ((known.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(mask ^ unlikely)) for c in batch.columns[:2]], names=["id", "text"])
+            at = batch.column(batch.num_columns - 1).to_numpy().astype(np.int64)
+            mask = pa.array(((known.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool) ^ unlikely)
+            yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
 
-    return rows.select("id", "text", place.alias("place")).mapInArrow(pick, f"id {rows.schema['id'].dataType.simpleString()}, text string")
+    return rows.select("*", place.alias("__place")).mapInArrow(pick, rows.schema)
+
+
+def without(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id is none of the (distinct or repeated) ids; only rows that may be among them are shuffled."""
+    suspects = likely_rows(rows, ids, id_col).join(ids.select(id_col).distinct(), id_col, "left_anti").select(rows.columns)
+    return likely_rows(rows, ids, id_col, unlikely=True).unionByName(suspects)
 
 
 def components(edges: DataFrame) -> DataFrame:
