@@ -104,8 +104,18 @@ def cluster(df: DataFrame, key: str = "utt", order: str = "ord", emb: str = "emb
 EPSILON = 1e-5
 
 
+def _goes_right(own: float, left: float, right: float, least: float) -> bool:
+    """A neighbour on the right that is long enough is spared; else the side goes that lifts the sum over least; of two such, the shorter."""
+    below = lambda x, y: x < y - EPSILON
+    if below(least, right):
+        return False
+    if below(left + own, least):
+        return True
+    return not below(right + own, least) and not below(left, right)
+
+
 def combine_short(least: float, durations: list[float]) -> list[tuple[int, int]]:
-    """Neighbouring ranges [a, b) of at least the given total where they can be: a short one joins its shorter neighbour, the later ones first."""
+    """Neighbouring ranges [a, b) that reach the given total where they can; short ones are joined, the later ones first."""
     groups = [(i, i + 1, d) for i, d in enumerate(durations)]
     queue = [i for i, (_, _, d) in enumerate(groups) if d < least - EPSILON]
     spans = {i: g for i, g in enumerate(groups)}
@@ -118,7 +128,7 @@ def combine_short(least: float, durations: list[float]) -> list[tuple[int, int]]
         a, b = left[i], right[i]
         if a < 0 and b < 0:
             break
-        to = a if b < 0 else b if a < 0 else (a if spans[a][2] + EPSILON < spans[b][2] else b)
+        to = b if a < 0 else a if b < 0 else (a, b)[_goes_right(spans[i][2], spans[a][2], spans[b][2], least)]
         first, second = (to, i) if to == a else (i, to)
         joined = (spans[first][0], spans[second][1], spans[first][2] + spans[second][2])
         new, l, r = max(spans) + 1 + len(groups), left[first], right[second]

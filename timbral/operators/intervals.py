@@ -45,8 +45,8 @@ def frame_chunks(v: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(padded) - 1) / size).cast("int")), lambda i: F.slice(padded, i * size + 1, size))
 
 
-def hysteresis(probabilities: list[float], threshold: float = 0.5, frame: float = 0.096, least_silence: float = 0.1, least_speech: float = 0.25, pad: float = 0.03) -> list[tuple[float, float]]:
-    """Speech from the first frame at the threshold to where it has been 0.15 below for least_silence; short speech goes, and pads share short silences."""
+def hysteresis(probabilities: list[float], threshold: float = 0.5, frame: float = 0.096, least_silence: float = 0.1, least_speech: float = 0.25, pad: float = 0.03, least_span: float = 0.255) -> list[tuple[float, float]]:
+    """Speech from the first frame at the threshold to where it has been 0.15 below for least_silence; short speech goes, pads share short silences, and padded spans below least_span go."""
     spans, start, quiet = [], None, None
     for i, p in enumerate(probabilities):
         if p >= threshold:
@@ -59,7 +59,7 @@ def hysteresis(probabilities: list[float], threshold: float = 0.5, frame: float
                     spans.append([start * frame, quiet * frame])
                 start = quiet = None
     total = len(probabilities) * frame
-    if start is not None and total - start * frame > least_speech:
+    if start is not None:
         spans.append([start * frame, total])
     for i, span in enumerate(spans):
         if i == 0:
@@ -71,7 +71,7 @@ def hysteresis(probabilities: list[float], threshold: float = 0.5, frame: float
             spans[i + 1][0] -= share
         else:
             span[1] = min(total, span[1] + pad)
-    return [(a, b) for a, b in spans]
+    return [(a, b) for a, b in spans if b - a >= least_span]
 
 
 def voice_activity(df: DataFrame, key: str = "utt", **settings) -> DataFrame:
