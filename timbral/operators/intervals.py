@@ -85,14 +85,14 @@ def voice_activity(df: DataFrame, key: str = "utt", **settings) -> DataFrame:
     return df.select(key, "frame", "p").groupBy(key).applyInPandas(run, f"{key} {kind}, begin double, end double")
 
 
-def elementary(ref: DataFrame, hyp: DataFrame, key: str = "utt", collar: float = 0.25) -> DataFrame:
+def elementary(ref: DataFrame, hyp: DataFrame, key: str = "utt", collar: float = 0.25, slot: float = 10.0) -> DataFrame:
     """Spans between neighbouring boundaries with the sets of reference and system labels, outside the collar around reference boundaries."""
     points = lambda df, by=0.0: df.select(key, F.explode(F.array(F.col("begin") + by, F.col("end") + by)).alias("t"))
     marks = points(ref).union(points(hyp))
     if collar:
         marks = marks.union(points(ref, -collar)).union(points(ref, collar))
     marks = marks.distinct().withColumn("u", F.lead("t").over(Window.partitionBy(key).orderBy("t"))).where("u IS NOT NULL")
-    slot = 10.0  # seconds: spans and turns meet in slots of time, so that the join is on equality
+    # spans and turns meet in slots of time, of so many seconds, so that the join is on equality
 
     def slots(df, a, b):
         return df.withColumn("slot", F.explode(F.sequence(F.floor(F.col(a) / slot), F.floor(F.col(b) / slot))))
@@ -137,9 +137,9 @@ def best_mapping(weights: dict[tuple[str, str], float]) -> dict[str, str]:
     return out
 
 
-def diarization_error(ref: DataFrame, hyp: DataFrame, key: str = "utt", collar: float = 0.25) -> DataFrame:
+def diarization_error(ref: DataFrame, hyp: DataFrame, key: str = "utt", collar: float = 0.25, slot: float = 10.0) -> DataFrame:
     """``(key, scored, miss, false_alarm, confusion, der)`` with the best label mapping of each recording."""
-    spans = elementary(ref, hyp, key, collar)
+    spans = elementary(ref, hyp, key, collar, slot)
     kind = ref.schema[key].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -39,7 +39,7 @@ def cohort_stats(vectors: DataFrame, cohort: DataFrame, top_n: int | None) -> Da
     """
     unit = vectors.select("utt", vec.length_norm(F.col("emb")).alias("u"))
     blocks = cohort.select(F.pmod(F.xxhash64("name"), F.lit(16)).alias("block"), vec.length_norm(F.col("emb")).alias("c")).groupBy("block").agg(F.collect_list("c").alias("cs"))
-    spread = unit.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15))).cast("long")).join(blocks, "block")
+    spread = unit.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long")))).join(blocks, "block")
     scores = F.transform("cs", lambda c: vec.dot(F.col("u"), c))
     best = F.slice(F.reverse(F.array_sort(scores)), 1, top_n) if top_n else scores
     long = spread.select("utt", best.alias("best")).groupBy("utt").agg(F.flatten(F.collect_list("best")).alias("best"))
