@@ -134,16 +134,17 @@ def embed(df: DataFrame, model: bytes | Callable, feat: str = "feat", out: str =
     """The rows with an embedding of each feature matrix. model: the bytes of an ONNX graph with input feats and output embs, or
     a function that makes, once in a worker, a function of a matrix."""
     rest = [c for c in df.schema if c.name not in (feat, out)]
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    maker = model if callable(model) else None
+    graph = None if callable(model) else df.sparkSession.sparkContext.broadcast(model)
 
     def load():
-        if callable(shared.value):
-            return shared.value()
+        if maker is not None:
+            return maker()
         import onnxruntime
 
         options = onnxruntime.SessionOptions()
         options.intra_op_num_threads = 1
-        session = onnxruntime.InferenceSession(shared.value, options, providers=["CPUExecutionProvider"])
+        session = onnxruntime.InferenceSession(graph.value, options, providers=["CPUExecutionProvider"])
         return lambda x: session.run(["embs"], {"feats": x[None].astype(np.float32)})[0][0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
