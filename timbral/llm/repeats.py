@@ -362,8 +362,8 @@ def clean(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     """The documents with all their columns, without repeats in the text; those of which no word is left go."""
     small_batches(docs.sparkSession)
     rows = narrow(docs, id=id_col, text=text_col)
-    spans = _intervals(rows.where(F.col("id").isNotNull()), settings, rows.schema["id"].dataType.simpleString()).withColumnRenamed("id", id_col)
-    touched = likely_rows(docs, spans.select(id_col), id_col).join(spans, id_col, "left").select(*docs.columns, "spans")
+    spans = _intervals(rows.where(F.col("id").isNotNull()), settings, rows.schema["id"].dataType.simpleString()).select(F.col("id").alias(id_col), F.col("spans").alias("__spans"))
+    touched = likely_rows(docs, spans.select(id_col), id_col).join(spans, id_col, "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__spans")
     at = docs.columns.index(text_col)
     chars_at = docs.columns.index(chars_col) if chars_col in docs.columns else None
 

@@ -62,7 +62,7 @@ def likely_rows(rows: DataFrame, ids: DataFrame, id_col: str = "id", bits: int =
 
 def without(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """The rows whose id is none of the (distinct or repeated) ids; only rows that may be among them are shuffled."""
-    suspects = likely_rows(rows, ids, id_col).join(ids.select(id_col).distinct(), id_col, "left_anti").select(rows.columns)
+    suspects = likely_rows(rows, ids, id_col).join(ids.select(id_col).distinct(), id_col, "left_anti").select(*(F.col(f"`{c}`") for c in rows.columns))
     return likely_rows(rows, ids, id_col, unlikely=True).unionByName(suspects)
 
 
