@@ -93,10 +93,10 @@ def test_jaccard_equals_brute_force(spark, size, percent):
 
 
 def test_jaccard_plan_needs_enough_lists():
-    s = jaccard.Settings(shingle=5, percent=80)
-    assert jaccard.plan(100, [], s) is None
-    l, r, end, makes = jaccard.plan(100, [(i, 1 if i else 500) for i in range(25)], s)  # noqa: E741
-    assert l > r and 0 not in makes and end == 20 + l
+    s, sizes = jaccard.Settings(shingle=5, percent=80), np.array([500] + [1] * 24)
+    assert jaccard.plan(100, np.arange(0), np.arange(0), s) is None
+    l, r, end, makes = jaccard.plan(100, np.arange(25), sizes, s)  # noqa: E741
+    assert l > r and not makes[0] and makes[1:].any() and end == 20 + l
 
 
 def test_jaccard_empty_table(spark):
