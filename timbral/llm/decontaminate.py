@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, narrow, small_batches
+from .shared import without
 from .shingles import _FACTORS, _VALUE, mix, powers
 
 # Units that can follow a number.
@@ -220,4 +221,4 @@ def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(),
 
 def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The texts that no item contaminates, with all their columns."""
-    return docs.join(find(docs, benchmark, settings, id_col, text_col).select(id_col).distinct(), id_col, "left_anti").select(docs.columns)
+    return without(docs, find(docs, benchmark, settings, id_col, text_col).select(id_col), id_col)

@@ -276,7 +276,8 @@ def _merged(contexts: DataFrame, s: Settings) -> DataFrame:
 def _intervals(docs_rows: DataFrame, s: Settings, kind: str) -> DataFrame:
     """``(id, spans)``: repeated starts of each row that has any, as (first, last) pairs."""
     everywhere = written(_places(docs_rows, s, kind))
-    cores = everywhere.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    # a table of its own, so that the join below is dealt anew and a core with very many places can be split
+    cores = written(everywhere.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"))
     places = written(everywhere.join(cores, "core", "left_semi"))
     marked = written(_contexts(places, docs_rows, s, kind, with_bytes=False))
     before, after = (F.col("place") - F.col("low")).alias("before"), (F.col("place") - F.col("high")).alias("after")
