@@ -182,3 +182,40 @@ def test_streams_equal_batches(spark, tmp_path):
     q.stop()
     got = [x for r in sorted(spark.table("chunks").collect(), key=lambda r: r.chunk) for x in r.samples]
     assert got == [float(i) for i in range(5) for _ in range(3)] + [0.0]
+
+
+def test_speakers_and_cli(spark, tmp_path, capsys):
+    from timbral import cli
+    from timbral.speakers import Speakers
+
+    t = np.arange(16000 * 4) / 16000
+    two = np.where(t < 2, np.sin(2 * np.pi * 300 * t), np.sin(2 * np.pi * 2500 * t)) * 1000
+    s = Speakers(lambda: lambda m: np.concatenate([m[:, :40].mean(0), m[:, 40:].mean(0)]) if len(m) else np.zeros(80))
+    recordings = spark.createDataFrame([("a", two.tolist()), ("b", two[::-1].tolist())], "utt string, samples array<double>")
+    emb = s.embeddings(recordings)
+    assert emb.count() == 2
+    vectors = spark.createDataFrame([("u", [1.0, 0.0]), ("v", [0.9, 0.1])], "utt string, emb array<double>")
+    s.register(vectors.select(F.col("utt").alias("name"), "emb").where("utt = 'u'"))
+    s.register(spark.createDataFrame([("w", [-1.0, 0.0])], "name string, emb array<double>"))
+    assert {r.name for r in s.recognize(vectors).collect()} == {"u"}
+    trials = spark.createDataFrame([("u", "v"), ("u", "x")], "enroll string, test string")
+    assert {r.test: r.score > 0.9 for r in s.similarity(trials, vectors).collect()} == {"v": True, "x": False}
+    turns = s.diarize(spark.createDataFrame([("a", 0.0, 4.0)], "utt string, begin double, end double"), recordings)
+    assert turns.count() >= 1
+    vectors.write.parquet(str(tmp_path / "emb"))
+    (tmp_path / "trials").write_text("u v target\nv u nontarget\nu u target\n")
+    cli.main(["score", "--trials", str(tmp_path / "trials"), "--embeddings", str(tmp_path / "emb"), "--out", str(tmp_path / "scores")])
+    cli.main(["measure", "--scores", str(tmp_path / "scores")])
+    assert "eer_percent" in capsys.readouterr().out
+
+
+def test_small_helpers(spark):
+    df = spark.createDataFrame([(i, f"/old/{i}.wav") for i in range(20)], "utt long, path string")
+    assert datadir.shuffled(df, "utt", "1").count() == 20 and sum(datadir.share_of(df, "utt", k, 3).count() for k in range(3)) == 20
+    moved = datadir.copied({"wav": df}, "utt", df.where("utt < 5").select("utt"), old="/old", new="/new")["wav"]
+    assert moved.count() == 5 and moved.first().path.startswith("/new/") and datadir.same_rows(df, df) and not datadir.same_rows(df, moved)
+    x = spark.createDataFrame([(1, [1.0] * 10), (2, [1.0] * 2)], "utt long, samples array<double>")
+    assert [len(r.samples) for r in signal.length_between(x, 3, 6).collect()] == [6]
+    feat = spark.createDataFrame([([[1.0], [2.0], [3.0]],)], "feat array<array<double>>")
+    assert feat.select(signal.feature_chunks(F.col("feat"), 2)).first()[0] == [[[1.0], [2.0]], [[3.0], [1.0]]]
+    assert len(signal.speed_perturbed(np.ones(900), 0.9)) == 1000

@@ -119,3 +119,27 @@ def calibration_trials(utts: DataFrame, short: tuple[float, float], long: float,
     drawn = firsts.withColumn("at", F.row_number().over(order)).withColumn("other", F.lead("long").over(order)).where(F.col("at") <= n)
     pairs = F.inline(F.array(F.struct(F.col("short").alias("enroll"), F.col("long").alias("test"), F.lit("target").alias("label")), F.struct(F.col("short").alias("enroll"), F.col("other").alias("test"), F.lit("nontarget").alias("label"))))
     return drawn.select(pairs).where("test IS NOT NULL")
+
+
+def shuffled(df: DataFrame, key: str, seed: str) -> DataFrame:
+    """The rows in hash order of their key; another seed, as the number of an epoch, gives another order."""
+    return df.orderBy(hashed(F.col(key), seed), key)
+
+
+def share_of(df: DataFrame, key: str, rank: int, world: int, seed: str = "") -> DataFrame:
+    """The rows of one of several workers: each row belongs to exactly one."""
+    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(world)) == rank)
+
+
+def copied(tables: dict[str, DataFrame], key: str, ids: DataFrame | None = None, path_column: str = "path", old: str = "", new: str = "") -> dict[str, DataFrame]:
+    """A copy of the tables for some ids, with paths moved from one folder to another."""
+    out = {}
+    for name, t in tables.items():
+        t = t if ids is None else filter_ids(t, ids, key)
+        out[name] = t.withColumn(path_column, F.regexp_replace(path_column, F.lit("^" + old), F.lit(new))) if old and path_column in t.columns else t
+    return out
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Whether both hold the same rows, each as often."""
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

@@ -49,6 +49,11 @@ def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
     return np.fft.irfft(kept, n) * (n / len(samples))
 
 
+def speed_perturbed(samples: np.ndarray, speed: float) -> np.ndarray:
+    """The signal played at another speed: its length is divided by it, and pitch follows."""
+    return resample(samples, 10_000, round(10_000 / speed))
+
+
 def reverberated(samples: np.ndarray, impulse: np.ndarray) -> np.ndarray:
     """Convolution with the impulse response of unit energy, cut to the length of the signal."""
     h = np.asarray(impulse, float)
@@ -106,6 +111,20 @@ def mean_normalised(feat: Column, variance: bool = False) -> Column:
     return F.transform(feat, lambda frame: F.zip_with(frame, stats, one))
 
 
+def length_between(df: DataFrame, least: int, most: int, column: str = "samples", key: str = "utt") -> DataFrame:
+    """Rows of at least the given length; of those above the most, a chunk of that length at a hashed place."""
+    n, v = F.size(column), F.col(column)
+    start = F.pmod(F.xxhash64(key), F.greatest(n - most + 1, F.lit(1))).cast("int")
+    return df.where(n >= least).withColumn(column, F.when(n > most, F.slice(v, start + 1, F.lit(most))).otherwise(v))
+
+
+def feature_chunks(feat: Column, size: int) -> Column:
+    """Chunks of size frames; the last one is filled up with frames from the beginning."""
+    n = F.size(feat)
+    whole = F.flatten(F.array_repeat(feat, F.floor(F.lit(size) / n).cast("int") + 2))
+    return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda i: F.slice(whole, i * size + 1, size))
+
+
 def pooled(df: DataFrame, key: str, feat: str = "feat") -> DataFrame:
     """``(key, pooled)``: means, then deviations sqrt(var_samp + 1e-7), of all bins over time."""
     frames = df.select(key, F.explode(feat).alias("frame"))
