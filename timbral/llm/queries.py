@@ -55,6 +55,39 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model).withColumn("held_out", held_out)
 
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS text FROM documents),
+w AS (SELECT k, regexp_extract_all(text, '[^ \t-\r]+') AS words FROM d),
+p AS (SELECT k, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) >= 3),
+t AS (SELECT k, i, count(*) OVER (PARTITION BY k, words[i], words[i + 1], words[i + 2]) AS n FROM p),
+r AS (SELECT k, count(DISTINCT i + j) AS n_repeat_words FROM t, (SELECT unnest([0, 1, 2]) AS j) WHERE n > 1 GROUP BY k),
+l0 AS (SELECT k, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line FROM (SELECT k, string_split(text, chr(10)) AS x FROM d)),
+l1 AS (SELECT k, i, line, regexp_extract_all(line, '[^ \t-\r]+') AS words FROM l0),
+l2 AS (SELECT *, len(words) AS n, row_number() OVER (PARTITION BY k, line ORDER BY i) > 1 AS dup, list_filter(words, lambda v: length(v) > 3) AS long FROM l1 WHERE len(words) > 0),
+l3 AS (SELECT k, dup, list_sum(list_transform(words, lambda v: length(v))) AS chars,
+  (n <= 25 AND regexp_matches(lower(line), 'all rights reserved|privacy policy|terms of use|terms of service|cookie policy|we use cookies|accept cookies|enable javascript|subscribe to our newsletter|sign up for our newsletter|click here to|share on facebook|share on twitter|follow us on|back to top|skip to content|log in to|lorem ipsum|powered by wordpress'))
+  OR (n >= 4 AND len(list_filter(words, lambda v: v IN ('|', '»', '›', '·', '•', '/', '::', '>', '>>'))) > 0.25::DOUBLE * n)
+  OR (n >= 3 AND len(regexp_extract_all(line, '[#*$%&|<>]')) > 0.5::DOUBLE * n)
+  OR (n >= 4 AND len(long) > 0 AND (len(regexp_extract_all(line, '!!')) > 0.5::DOUBLE * n OR len(list_filter(long, lambda v: upper(v) = v AND lower(v) <> v)) > 0.8::DOUBLE * len(long)))
+  OR NOT regexp_matches(line, '\p{L}') OR (n >= 30 AND NOT regexp_matches(line, '[.!?…:;。！？]')) AS failed
+  FROM l2),
+g AS (SELECT k, count(*) FILTER (dup) AS n_dup_lines, sum(chars)::BIGINT AS word_chars, coalesce(sum(chars) FILTER (failed), 0)::BIGINT AS lost_chars, count(*) FILTER (failed) AS n_failed_lines FROM l3 GROUP BY k),
+a AS (SELECT doc_id, len(words) AS n_words, coalesce(word_chars, 0) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost_chars, 0) AS lost_chars, coalesce(n_failed_lines, 0) AS n_failed_lines FROM d JOIN w USING (k) LEFT JOIN r USING (k) LEFT JOIN g USING (k)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
+SELECT *, NOT base_failed AND lost_chars <= 0.3::DOUBLE * word_chars AS kept FROM b
+"""
+
+OP5_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+n AS (SELECT *, length(text) + len(regexp_extract_all(text, '[\\\[<]')) + length(role) + len(regexp_extract_all(role, '[\\\[<\]]')) + 12 AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM n GROUP BY conv_id
+"""
+
 #: A page is checked again after so many captures.
 RECHECK = 7
 
@@ -109,4 +142,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc_revisits": OP10_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op5_chat_format": OP5_SQL, "op10_warc_revisits": OP10_SQL}
