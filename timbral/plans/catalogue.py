@@ -56,28 +56,35 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("utt"), vec.as_double(F.col("embedding")).alias("emb"), F.col("label").alias("spk"))
 
 
-def _trials(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    """The fixed trial list of the catalogue: a thinned list of pairs, made once from the ids."""
-    ids = table(spark, sf, "embeddings").select("vec_id", "label")
-    a, b = ids.select(F.col("vec_id").alias("enroll"), F.col("label").alias("la")), ids.select(F.col("vec_id").alias("test"), F.col("label").alias("lb"))
-    pairs = a.join(b, (F.col("enroll") < F.col("test")) & ((F.col("enroll") * 31 + F.col("test") * 17) % k == 0))
-    return pairs.select("enroll", "test", (F.col("la") == F.col("lb")).cast("int").alias("target"))
+def _models(spark: SparkSession, sf: str) -> DataFrame:
+    """The mean of each speaker, under the id -1 - speaker, so that utterances and models share a table."""
+    return scoring.mean_vector(_vectors(spark, sf), "emb", "spk").select((-1 - F.col("spk")).cast("long").alias("utt"), F.col("mean").alias("emb"))
+
+
+def _sides(spark: SparkSession, sf: str) -> DataFrame:
+    return _vectors(spark, sf).select("utt", "emb").unionByName(_models(spark, sf))
+
+
+def _trials(spark: SparkSession, sf: str) -> DataFrame:
+    """The trial list of the catalogue: every utterance against the model of every speaker."""
+    v = _vectors(spark, sf).select("utt", "spk")
+    models = v.select(F.col("spk").alias("model")).distinct()
+    return v.join(models).select((-1 - F.col("model")).cast("long").alias("enroll"), F.col("utt").alias("test"), (F.col("spk") == F.col("model")).cast("int").alias("target"))
 
 
 E_SQL = "e AS (SELECT vec_id AS utt, list_transform(embedding, lambda x: x::DOUBLE) AS emb, label AS spk FROM embeddings)"
-TRIALS_SQL = "trials AS (SELECT a.utt AS enroll, b.utt AS test, CASE WHEN a.spk = b.spk THEN 1 ELSE 0 END AS target FROM e a JOIN e b ON a.utt < b.utt AND (a.utt * 31 + b.utt * 17) % {k} = 0)"
 LONG_SQL = "long AS (SELECT utt, spk, unnest(range(0, len(emb)))::INT AS pos, unnest(emb) AS x FROM e)"
 MEAN_SQL = "mv AS (SELECT list(m ORDER BY pos) AS m FROM (SELECT pos, avg(x) AS m FROM long GROUP BY pos))"
+MODELS_SQL = "mo AS (SELECT spk, list(m ORDER BY pos) AS c FROM (SELECT spk, pos, avg(x) AS m FROM long GROUP BY spk, pos) GROUP BY spk), ev AS (SELECT utt, emb FROM e UNION ALL SELECT (-1 - spk)::BIGINT, c FROM mo), trials AS (SELECT (-1 - mo.spk)::BIGINT AS enroll, e.utt AS test, CASE WHEN mo.spk = e.spk THEN 1 ELSE 0 END AS target FROM mo, e)"
 NORM = "sqrt(list_dot_product({0}, {0}))"
 
 
-@query(f"""WITH {E_SQL}, {LONG_SQL}, {MEAN_SQL}, {TRIALS_SQL.format(k=10)},
-c AS (SELECT utt, list_transform(range(1, len(emb) + 1), lambda i: emb[i] - m[i]) AS v FROM e, mv)
+@query(f"""WITH {E_SQL}, {LONG_SQL}, {MEAN_SQL}, {MODELS_SQL},
+c AS (SELECT utt, list_transform(range(1, len(emb) + 1), lambda i: emb[i] - m[i]) AS v FROM ev, mv)
 SELECT enroll, test, target, round(list_dot_product(a.v, b.v) / ({NORM.format('a.v')} * {NORM.format('b.v')}), 5) + 0::DOUBLE AS score
 FROM trials JOIN c a ON a.utt = enroll JOIN c b ON b.utt = test""")
 def cosine_trials(spark, sf):
-    v = _vectors(spark, sf)
-    return scoring.cosine_scores(_trials(spark, sf, 10), v, scoring.mean_vector(v, "emb")).withColumn("score", r("score"))
+    return scoring.cosine_scores(_trials(spark, sf), _sides(spark, sf), scoring.mean_vector(_vectors(spark, sf), "emb")).withColumn("score", r("score"))
 
 
 @query(f"WITH {E_SQL}, {LONG_SQL} SELECT pos, round(avg(x), 6) AS x FROM long GROUP BY pos")
@@ -108,17 +115,17 @@ def _cohort(spark, sf):
 
 
 def _snorm_sql(top: str) -> str:
-    return f"""WITH {E_SQL}, {LONG_SQL}, {TRIALS_SQL.format(k=10)},
+    return f"""WITH {E_SQL}, {LONG_SQL}, {MODELS_SQL},
 co AS (SELECT spk, list(m ORDER BY pos) AS c FROM (SELECT spk, pos, avg(x) AS m FROM long GROUP BY spk, pos) GROUP BY spk),
-sc AS (SELECT utt, list_dot_product(emb, c) / ({NORM.format('emb')} * {NORM.format('c')}) AS s FROM e, co),
+sc AS (SELECT utt, list_dot_product(emb, c) / ({NORM.format('emb')} * {NORM.format('c')}) AS s FROM ev, co),
 st AS (SELECT utt, avg(s) AS m, stddev_pop(s) AS d FROM (SELECT *, row_number() OVER (PARTITION BY utt ORDER BY s DESC) AS k FROM sc) WHERE {top} GROUP BY utt),
-raw AS (SELECT enroll, test, target, list_dot_product(a.emb, b.emb) / ({NORM.format('a.emb')} * {NORM.format('b.emb')}) AS s FROM trials JOIN e a ON a.utt = enroll JOIN e b ON b.utt = test)
+raw AS (SELECT enroll, test, target, list_dot_product(a.emb, b.emb) / ({NORM.format('a.emb')} * {NORM.format('b.emb')}) AS s FROM trials JOIN ev a ON a.utt = enroll JOIN ev b ON b.utt = test)
 SELECT enroll, test, target, round(0.5::DOUBLE * ((s - a.m) / a.d + (s - b.m) / b.d), 4) AS norm_score FROM raw JOIN st a ON a.utt = enroll JOIN st b ON b.utt = test"""
 
 
 def _norm_scores(spark, sf, top):
-    v = _vectors(spark, sf)
-    raw = scoring.cosine_scores(_trials(spark, sf, 10), v)
+    v = _sides(spark, sf)
+    raw = scoring.cosine_scores(_trials(spark, sf), v)
     return scoring.normalised(raw, scoring.cohort_stats(v, _cohort(spark, sf), top)).select("enroll", "test", "target", r("norm_score", 4).alias("norm_score"))
 
 
@@ -132,25 +139,28 @@ def asnorm_scores(spark, sf):
     return _norm_scores(spark, sf, 5)
 
 
-@query(f"""WITH {E_SQL}, {TRIALS_SQL.format(k=100)}, q AS (SELECT utt, {NORM.format('emb')} AS mag, least(n_chars / 1000.0::DOUBLE, 2.0::DOUBLE) AS dur FROM e JOIN documents ON doc_id = utt)
+@query(f"""WITH {E_SQL}, {LONG_SQL}, {MODELS_SQL}, d AS (SELECT utt, spk, least(n_chars / 1000.0::DOUBLE, 2.0::DOUBLE) AS dur FROM e JOIN documents ON doc_id = utt),
+q AS (SELECT utt, {NORM.format('emb')} AS mag, dur FROM ev JOIN (SELECT utt, dur FROM d UNION ALL SELECT -1 - spk, avg(dur) FROM d GROUP BY spk) USING (utt))
 SELECT enroll, test, round(least(a.dur, b.dur), 4) AS dur_min, round(greatest(a.dur, b.dur), 4) AS dur_max, round(greatest(a.dur, b.dur) - least(a.dur, b.dur), 4) AS dur_diff,
 round(least(a.dur, b.dur) / greatest(a.dur, b.dur), 4) AS dur_ratio, round(least(a.mag, b.mag), 4) AS mag_min, round(greatest(a.mag, b.mag), 4) AS mag_max
 FROM trials JOIN q a ON a.utt = enroll JOIN q b ON b.utt = test""")
 def quality_factors(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("utt"), F.least(F.col("n_chars") / 1000.0, F.lit(2.0)).alias("dur"))
-    q = _vectors(spark, sf).select("utt", vec.norm(F.col("emb")).alias("mag")).join(d, "utt")
+    d = _vectors(spark, sf).select("utt", "spk").join(d, "utt")
+    d = d.select("utt", "dur").unionByName(d.groupBy((-1 - F.col("spk")).cast("long").alias("utt")).agg(F.avg("dur").alias("dur")))
+    q = _sides(spark, sf).select("utt", vec.norm(F.col("emb")).alias("mag")).join(d, "utt")
     a = q.select(F.col("utt").alias("enroll"), F.col("dur").alias("da"), F.col("mag").alias("ma"))
     b = q.select(F.col("utt").alias("test"), F.col("dur").alias("db"), F.col("mag").alias("mb"))
     dur = vec.min_max_diff_ratio(F.col("da"), F.col("db"))
     mag = vec.min_max_diff_ratio(F.col("ma"), F.col("mb"))
     named = [*zip(("dur_min", "dur_max", "dur_diff", "dur_ratio"), dur), *zip(("mag_min", "mag_max"), mag)]
-    return _trials(spark, sf, 100).join(a, "enroll").join(b, "test").select("enroll", "test", *(r(c, 4).alias(n) for n, c in named))
+    return _trials(spark, sf).join(a, "enroll").join(b, "test").select("enroll", "test", *(r(c, 4).alias(n) for n, c in named))
 
 
-@query(f"""WITH {E_SQL}, {TRIALS_SQL.format(k=10)}, s AS (SELECT target, list_dot_product(a.emb, b.emb) / ({NORM.format('a.emb')} * {NORM.format('b.emb')}) AS s FROM trials JOIN e a ON a.utt = enroll JOIN e b ON b.utt = test)
+@query(f"""WITH {E_SQL}, {LONG_SQL}, {MODELS_SQL}, s AS (SELECT target, list_dot_product(a.emb, b.emb) / ({NORM.format('a.emb')} * {NORM.format('b.emb')}) AS s FROM trials JOIN ev a ON a.utt = enroll JOIN ev b ON b.utt = test)
 SELECT round(0.5::DOUBLE * (avg(CASE WHEN target = 1 THEN ln(1 + exp(-s)) END) + avg(CASE WHEN target = 0 THEN ln(1 + exp(s)) END)) / ln(2), 6) AS cllr FROM s""")
 def cllr(spark, sf):
-    return metrics.cllr(scoring.cosine_scores(_trials(spark, sf, 10), _vectors(spark, sf))).withColumn("cllr", r("cllr", 6))
+    return metrics.cllr(scoring.cosine_scores(_trials(spark, sf), _sides(spark, sf))).withColumn("cllr", r("cllr", 6))
 
 
 @query(f"""WITH {E_SQL}, {LONG_SQL}, co AS (SELECT spk, list(m ORDER BY pos) AS c FROM (SELECT spk, pos, avg(x) AS m FROM long GROUP BY spk, pos) GROUP BY spk),
@@ -160,22 +170,22 @@ def identify_top1(spark, sf):
     return scoring.identify(_vectors(spark, sf), _cohort(spark, sf)).select("utt", "name", r("score").alias("score"))
 
 
-@query(f"""WITH {E_SQL}, {TRIALS_SQL.format(k=100)} SELECT enroll, test, (list_dot_product(a.emb, b.emb) / ({NORM.format('a.emb')} * {NORM.format('b.emb')}) + 1) / 2 >= 0.55::DOUBLE AS accepted
-FROM trials JOIN e a ON a.utt = enroll JOIN e b ON b.utt = test""")
+@query(f"""WITH {E_SQL}, {LONG_SQL}, {MODELS_SQL} SELECT enroll, test, (list_dot_product(a.emb, b.emb) / ({NORM.format('a.emb')} * {NORM.format('b.emb')}) + 1) / 2 >= 0.55::DOUBLE AS accepted
+FROM trials JOIN ev a ON a.utt = enroll JOIN ev b ON b.utt = test""")
 def threshold_decision(spark, sf):
-    return scoring.cosine_scores(_trials(spark, sf, 100), _vectors(spark, sf), scale="unit").select("enroll", "test", (F.col("score") >= 0.55).alias("accepted"))
+    return scoring.cosine_scores(_trials(spark, sf), _sides(spark, sf), scale="unit").select("enroll", "test", (F.col("score") >= 0.55).alias("accepted"))
 
 
 PSI = [1.0 / (i + 1) for i in range(64)]
 
 
-@query(f"""WITH {E_SQL}, {TRIALS_SQL.format(k=100)}, p AS (SELECT list_transform(range(0, 64), lambda i: 1.0::DOUBLE / (i + 1)) AS psi),
-j AS (SELECT enroll, test, a.emb AS x, b.emb AS y, psi FROM trials JOIN e a ON a.utt = enroll JOIN e b ON b.utt = test, p)
+@query(f"""WITH {E_SQL}, {LONG_SQL}, {MODELS_SQL}, p AS (SELECT list_transform(range(0, 64), lambda i: 1.0::DOUBLE / (i + 1)) AS psi),
+j AS (SELECT enroll, test, a.emb AS x, b.emb AS y, psi FROM trials JOIN ev a ON a.utt = enroll JOIN ev b ON b.utt = test, p)
 SELECT enroll, test, round(
  -0.5::DOUBLE * list_sum(list_transform(range(1, 65), lambda i: ln(1 + psi[i] / (psi[i] + 1)) + pow(y[i] - psi[i] / (psi[i] + 1) * x[i], 2) / (1 + psi[i] / (psi[i] + 1))))
  + 0.5::DOUBLE * list_sum(list_transform(range(1, 65), lambda i: ln(1 + psi[i]) + y[i] * y[i] / (1 + psi[i]))), 5) AS llr FROM j""")
 def plda_llr_fixed_params(spark, sf):
-    joined = scoring.attach(_trials(spark, sf, 100), _vectors(spark, sf))
+    joined = scoring.attach(_trials(spark, sf), _sides(spark, sf))
     return joined.select("enroll", "test", r(scoring.plda_llr(F.col("enroll_emb"), F.col("test_emb"), PSI)).alias("llr"))
 
 
@@ -217,7 +227,7 @@ def plda_train_score(spark, sf):
 @query()
 def plda_adapt(spark, sf):
     v = _vectors(spark, sf)
-    adapted = backend.adapt_plda(_plda(spark, sf), v.where("utt % 2 = 0"))
+    adapted = backend.adapt_plda(_plda(spark, sf), v)
     return adapted.to_row(spark).select(F.posexplode("psi").alias("pos", "psi"))
 
 
@@ -481,9 +491,9 @@ def combine_data(spark, sf):
     return datadir.combine([part("en"), part("de")])["utt2spk"]
 
 
-@query(f"WITH {U_SQL} SELECT utt, spk FROM u WHERE spk IN (SELECT spk FROM u WHERE lang = 'fr' GROUP BY spk HAVING count(*) >= 3) AND lang = 'fr'")
+@query(f"WITH {U_SQL} SELECT utt, spk FROM u WHERE spk IN (SELECT spk FROM u GROUP BY spk HAVING count(*) >= 10)")
 def spk_min_utts(spark, sf):
-    return datadir.least_members(_utts(spark, sf).where("lang = 'fr'").select("utt", "spk"), "spk", 3).select("utt", "spk")
+    return datadir.least_members(_utts(spark, sf).select("utt", "spk"), "spk", 10).select("utt", "spk")
 
 
 @query(f"WITH {U_SQL}, m AS (SELECT spk, row_number() OVER (ORDER BY spk) - 1 AS id FROM (SELECT DISTINCT spk FROM u WHERE lang = 'es')) SELECT utt, coalesce(id, -1) AS id FROM u LEFT JOIN m USING (spk)")
@@ -628,6 +638,6 @@ def grouped_members(spark, sf):
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine scores of the trial list, then equal error rate and detection cost: one row."""
-    scores = scoring.cosine_scores(_trials(spark, sf_dir, 10), _vectors(spark, sf_dir))
+    scores = scoring.cosine_scores(_trials(spark, sf_dir), _sides(spark, sf_dir))
     curve = metrics.det_curve(scores, ties=("enroll", "test"))
     return metrics.equal_error_rate(curve).join(metrics.min_cost(curve))
