@@ -23,11 +23,24 @@ _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
 
+def _no_negative_zero(sql: str) -> str:
+    """Each rounded value plus zero, as :func:`r` has it."""
+    out, at = "", 0
+    while (begin := sql.find("round(", at)) >= 0:
+        end, depth = begin + len("round("), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        out += f"{sql[at:begin]}({sql[begin:end]} + 0::DOUBLE)"
+        at = end
+    return out + sql[at:]
+
+
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
         _queries[f.__name__] = f
         if sql is not None:
-            _sql[f.__name__] = sql
+            _sql[f.__name__] = _no_negative_zero(sql)
         return f
 
     return add
@@ -81,7 +94,7 @@ NORM = "sqrt(list_dot_product({0}, {0}))"
 
 @query(f"""WITH {E_SQL}, {LONG_SQL}, {MEAN_SQL}, {MODELS_SQL},
 c AS (SELECT utt, list_transform(range(1, len(emb) + 1), lambda i: emb[i] - m[i]) AS v FROM ev, mv)
-SELECT enroll, test, target, round(list_dot_product(a.v, b.v) / ({NORM.format('a.v')} * {NORM.format('b.v')}), 5) + 0::DOUBLE AS score
+SELECT enroll, test, target, round(list_dot_product(a.v, b.v) / ({NORM.format('a.v')} * {NORM.format('b.v')}), 5) AS score
 FROM trials JOIN c a ON a.utt = enroll JOIN c b ON b.utt = test""")
 def cosine_trials(spark, sf):
     return scoring.cosine_scores(_trials(spark, sf), _sides(spark, sf), scoring.mean_vector(_vectors(spark, sf), "emb")).withColumn("score", r("score"))
@@ -103,7 +116,7 @@ def length_norm(spark, sf):
 
 
 @query(f"""WITH {E_SQL}, {LONG_SQL}, {MEAN_SQL}, c AS (SELECT utt, list_transform(range(1, len(emb) + 1), lambda i: emb[i] - m[i]) AS v FROM e, mv)
-SELECT utt, unnest(range(0, len(v)))::INT AS pos, round(unnest(list_transform(v, lambda x: x / {NORM.format('v')})), 5) + 0::DOUBLE AS x FROM c""")
+SELECT utt, unnest(range(0, len(v)))::INT AS pos, round(unnest(list_transform(v, lambda x: x / {NORM.format('v')})), 5) AS x FROM c""")
 def mean_sub_length_norm_chain(spark, sf):
     v = _vectors(spark, sf)
     chain = backend.fit_chain("mean-subtract | length-norm", v)
@@ -141,8 +154,8 @@ def asnorm_scores(spark, sf):
 
 @query(f"""WITH {E_SQL}, {LONG_SQL}, {MODELS_SQL}, d AS (SELECT utt, spk, least(n_chars / 1000.0::DOUBLE, 2.0::DOUBLE) AS dur FROM e JOIN documents ON doc_id = utt),
 q AS (SELECT utt, {NORM.format('emb')} AS mag, dur FROM ev JOIN (SELECT utt, dur FROM d UNION ALL SELECT -1 - spk, avg(dur) FROM d GROUP BY spk) USING (utt))
-SELECT enroll, test, round(least(a.dur, b.dur), 4) AS dur_min, round(greatest(a.dur, b.dur), 4) AS dur_max, round(greatest(a.dur, b.dur) - least(a.dur, b.dur), 4) AS dur_diff,
-round(least(a.dur, b.dur) / greatest(a.dur, b.dur), 4) AS dur_ratio, round(least(a.mag, b.mag), 4) AS mag_min, round(greatest(a.mag, b.mag), 4) AS mag_max
+SELECT enroll, test, round(least(a.dur, b.dur), 7) AS dur_min, round(greatest(a.dur, b.dur), 7) AS dur_max, round(greatest(a.dur, b.dur) - least(a.dur, b.dur), 7) AS dur_diff,
+round(least(a.dur, b.dur) / greatest(a.dur, b.dur), 7) AS dur_ratio, round(least(a.mag, b.mag), 7) AS mag_min, round(greatest(a.mag, b.mag), 7) AS mag_max
 FROM trials JOIN q a ON a.utt = enroll JOIN q b ON b.utt = test""")
 def quality_factors(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("utt"), F.least(F.col("n_chars") / 1000.0, F.lit(2.0)).alias("dur"))
@@ -154,7 +167,7 @@ def quality_factors(spark, sf):
     dur = vec.min_max_diff_ratio(F.col("da"), F.col("db"))
     mag = vec.min_max_diff_ratio(F.col("ma"), F.col("mb"))
     named = [*zip(("dur_min", "dur_max", "dur_diff", "dur_ratio"), dur), *zip(("mag_min", "mag_max"), mag)]
-    return _trials(spark, sf).join(a, "enroll").join(b, "test").select("enroll", "test", *(r(c, 4).alias(n) for n, c in named))
+    return _trials(spark, sf).join(a, "enroll").join(b, "test").select("enroll", "test", *(r(c, 7).alias(n) for n, c in named))
 
 
 @query(f"""WITH {E_SQL}, {LONG_SQL}, {MODELS_SQL}, s AS (SELECT target, list_dot_product(a.emb, b.emb) / ({NORM.format('a.emb')} * {NORM.format('b.emb')}) AS s FROM trials JOIN ev a ON a.utt = enroll JOIN ev b ON b.utt = test)
