@@ -4,7 +4,7 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; :func:`run`
 a stage returns to the shared folder and rereads it as the next one's documents.
 
 1. Quality rules: failing lines go, and documents that lose too much or fail the base rules.
-2. N-gram Jaccard join (five words, 0.8): of each class of near copies the smallest id stays.
+2. N-gram Jaccard join (five words, 0.8): of each class of near copies one row stays, of the smallest id.
 3. Suffix-array dedup: strings of 200 bytes that occur twice or more go, from all places;
    documents of which no word is left go.
 4. Benchmark decontamination: documents that hold a benchmark item go.
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from timbral.llm import bpe, decontaminate, jaccard, quality, repeats
 from timbral.llm.common import read_table
-from timbral.llm.shared import without, written
+from timbral.llm.shared import row_key, without, written
 
 NEAR = jaccard.Settings(shingle=5, percent=80)
 REPEATS = repeats.Settings(length=200)
@@ -28,8 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = written(jaccard.classes(docs, NEAR).where("component_id <> doc_id").select("doc_id"))
-    return without(docs, found, "doc_id")
+    return jaccard.one_of_each(docs, NEAR)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +36,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = written(decontaminate.find(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return without(docs, found, "doc_id")
+    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
+    found = written(decontaminate.find(keyed, read_table(spark, sf_dir, "benchmark"), id_col="__key").select("__key").distinct())
+    return without(keyed, found, "__key").drop("__key")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

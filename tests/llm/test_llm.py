@@ -371,6 +371,30 @@ def test_null_ids_and_repeated_rows(spark):
     assert toxicity.score_documents(df, toxicity.train([])).count() == 4
 
 
+def test_one_row_of_each_class_stays(spark):
+    """Repeated rows, rows without an id and one id with two texts."""
+    rng = random.Random(5)
+    a, b, c, d = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(4))
+    near = b + " more"
+    listed = [(1, a), (1, a), (2, a), (3, b), (3, c), (4, near), (5, c), (None, d), (None, d), (None, near), (6, ""), (6, "")]
+    rows = spark.createDataFrame([(i, t, len(t)) for i, t in listed], "doc_id long, text string, n_chars long")
+    left = jaccard.one_of_each(rows, jaccard.Settings(shingle=5, percent=80))
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(str, [(1, a), (3, b), (3, c), (None, d), (6, ""), (6, "")]))
+    cleaned = repeats.clean(left, repeats.Settings(length=200))
+    assert sorted(r.text for r in cleaned.collect()) == sorted([a, b, c, d, "", ""])
+
+
+def test_one_id_with_two_texts(spark):
+    rng = random.Random(6)
+    a, b, c = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(3))
+    two = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, None), (4, c), (5, c + " z")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.classes(two, jaccard.Settings(shingle=5, percent=80)).collect())
+    assert got == [(1, 56, 1, 1), (1, 56, 1, 1), (2, 57, 1, 1), (3, 57, 1, 1), (4, 0, 4, 0), (4, 56, 4, 1), (5, 57, 4, 1)]
+    versions = spark.createDataFrame([(1, "head " + a), (1, b), (2, "other " + a), (3, None), (3, c), (4, c)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, bytes(r.kept)) for r in repeats.remove(versions, repeats.Settings(length=100)).collect())
+    assert got == sorted([(1, len(a) + 5, b"head"), (1, len(b), b.encode()), (2, len(a) + 6, b"other"), (3, 0, b""), (3, len(c), b""), (4, len(c), b"")])
+
+
 @needs_tables
 def test_registered_queries_run_and_match_their_sql(spark):
     con = duckdb.connect()

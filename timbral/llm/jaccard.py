@@ -24,8 +24,10 @@ entities in no pair are dropped before the shuffle by a bitmap of fixed size.
 No pair is cut off anywhere: the result is exact.
 
 Texts that are null or without words have the empty set, link with nothing and are
-components of one. Repeated rows of one id act as copies of it. Further columns are
-ignored; an empty table gives an empty result.
+components of one. Rows are told apart by id and text, so repeated rows of one id act as
+copies and different texts of one id as texts of their own. Rows with a null id link like
+others; a component without any id has a null component_id. Further columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import narrow, small_batches
-from .shared import components, likely_rows, written
+from .shared import components, likely_rows, row_key, without, written
 from .shingles import in_common, shingle_set
 
 
@@ -68,15 +70,15 @@ def _entity(found: np.ndarray) -> int:
 
 
 def _survey(rows: DataFrame, s: Settings) -> tuple[DataFrame, np.ndarray]:
-    """``(id, entity, n)`` of each row, and a byte for each bucket of shingles: 0, or the logarithm of how far it is above the mean."""
+    """``(id, key, entity, n)`` of each row, and a byte for each bucket of shingles: 0, or the logarithm of how far it is above the mean."""
     size, kind = 1 << s.bucket_bits, rows.schema["id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, total, kept = np.zeros(size, np.int32), 0, None
 
-        def table(ids, *columns):
+        def table(ids, keys, *columns):
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, types))], names=["id", "entity", "n", "bucket", "count"])
+            return pa.RecordBatch.from_arrays([ids, keys, *(pa.array(c, t) for c, t in zip(columns, types))], names=["id", "key", "entity", "n", "bucket", "count"])
 
         for batch in batches:
             sets = [shingle_set(text, s.shingle) for text in batch.column(1).to_pylist()]
@@ -84,20 +86,20 @@ def _survey(rows: DataFrame, s: Settings) -> tuple[DataFrame, np.ndarray]:
             np.add.at(counts, (tokens >> np.uint64(64 - s.bucket_bits)).astype(np.int64), 1)
             total, kept = total + len(tokens), batch.column(0).type
             none = [None] * len(sets)
-            yield table(batch.column(0), list(map(_entity, sets)), list(map(len, sets)), none, none)
+            yield table(batch.column(0), batch.column(2), list(map(_entity, sets)), list(map(len, sets)), none, none)
         if total:
             hot = np.flatnonzero(counts > 6 + 3 * total / size)
             none = [None] * (len(hot) + 1)
-            yield table(pa.array(none, kept), none, none, np.append(hot, -1).tolist(), np.append(counts[hot], total).tolist())
+            yield table(pa.array(none, kept), pa.array(none, pa.int64()), none, none, np.append(hot, -1).tolist(), np.append(counts[hot], total).tolist())
 
-    both = written(rows.mapInArrow(count, f"id {kind}, entity long, n int, bucket long, count long"))
+    both = written(rows.mapInArrow(count, f"id {kind}, key long, entity long, n int, bucket long, count long"))
     found = both.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("n")).collect()
     total = next((r.n for r in found if r.bucket < 0), 0)
     table = np.zeros(size, np.uint8)
     for r in found:  # fewer than a third of the buckets of a task can be so far above its mean
         if r.bucket >= 0:
             table[r.bucket] = min(31, 1 + int(np.log2(max(1.0, r.n / (3 * total / size + 1)))))
-    return both.where("bucket IS NULL").select("id", "entity", "n"), table
+    return both.where("bucket IS NULL").select("id", "key", "entity", "n"), table
 
 
 def _longest_prefixes(rows: DataFrame, table: np.ndarray, s: Settings) -> DataFrame:
@@ -226,10 +228,10 @@ def _across(prefixes: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
 def _verified(pairs: DataFrame, rows: DataFrame, first: DataFrame, s: Settings) -> DataFrame:
     """The pairs that link, by their whole shingle sets."""
     pairs = written(pairs)
-    reps = pairs.select(F.col("a").alias("entity")).union(pairs.select(F.col("b").alias("entity"))).distinct().join(first, "entity").select("entity", "id")
+    reps = pairs.select(F.col("a").alias("entity")).union(pairs.select(F.col("b").alias("entity"))).distinct().join(first, "entity").select("entity", "key")
     reps = written(reps)
-    likely = likely_rows(rows, reps)
-    texts = written(reps.join(likely, "id").groupBy("entity").agg(F.min("text").alias("text")))
+    likely = likely_rows(rows.select("key", "text"), reps, "key").groupBy("key").agg(F.min("text").alias("text"))  # equal keys, equal texts
+    texts = written(reps.join(likely, "key").select("entity", "text"))
     joined = pairs.join(texts.select(F.col("entity").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("entity").alias("b"), F.col("text").alias("text_b")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,29 +257,53 @@ def _verified(pairs: DataFrame, rows: DataFrame, first: DataFrame, s: Settings)
     return written(joined.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"))
 
 
-def classes(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_shingles, component_id, n_links)`` of each row.
+def _labelled(rows: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """``(id, key, entity, n)`` of each row, and of each entity ``(entity, component, component_id, stays, n_links)``.
 
-    component_id is the smallest id that links lead to; n_links counts verified links of
-    the row's set to other sets (copies are not expanded, and links inside a component
-    that is known already are not all tested).
+    stays is the key of the row that stands for the component: that of the smallest id.
     """
-    s, spark = settings, docs.sparkSession
-    small_batches(spark)
-    rows = narrow(docs, **{"id": id_col, "text": text_col})
     members, table = _survey(rows, s)
     filled = members.where("n > 0")
-    first = filled.groupBy("entity").agg(F.min("id").alias("id"))
-    prefixes = _prefixes(rows.where(F.col("id").isNotNull()), table, s)
+    first = filled.groupBy("entity").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "key")).alias("least")).select("entity", "least", F.col("least.key").alias("key"))
+    prefixes = _prefixes(rows, table, s)
     links = _verified(_stars(prefixes, s), rows, first, s)
     labels = components(links)
     links = written(links.union(_verified(_across(prefixes, labels, s), rows, first, s)).distinct())
     ends = links.select(F.col("a").alias("entity")).union(links.select(F.col("b").alias("entity"))).groupBy("entity").agg(F.count(F.lit(1)).alias("n_links"))
     labelled = first.join(components(links).withColumnRenamed("id", "entity"), "entity", "left").join(ends, "entity", "left")
-    labelled = labelled.select("entity", F.coalesce("component", "entity").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "id")
-    smallest = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
-    found = labelled.join(smallest, "component").select("entity", "component_id", "n_links")
+    labelled = labelled.select("entity", F.coalesce("component", "entity").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "least")
+    smallest = labelled.groupBy("component").agg(F.min("least").alias("least")).select("component", F.col("least.id").alias("component_id"), F.col("least.key").alias("stays"))
+    return members, labelled.join(smallest, "component").select("entity", "component", "component_id", "stays", "n_links")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return narrow(docs, id=id_col, text=text_col).withColumn("key", row_key("id", "text"))
+
+
+def classes(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, n_shingles, component_id, n_links)`` of each row.
+
+    component_id is the smallest id that links lead to; n_links counts verified links of
+    the row's set to other sets (copies are not expanded, and links inside a component
+    that is known already are not all tested).
+    """
+    members, found = _labelled(_rows(docs, id_col, text_col), settings)
+    found = found.drop("component", "stays")
     joined = members.join(found, (members.entity == found.entity) & (members.n > 0), "left")
     return joined.select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
+
+
+def one_of_each(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns, one row of each component: of the smallest id; rows without words stay."""
+    members, found = _labelled(_rows(docs, id_col, text_col), settings)
+    seen = written(members.where("n > 0").join(found.select("entity", "stays"), "entity").select(F.col("key").alias("__key"), (F.col("key") == F.col("stays")).alias("stays")))
+    rows = without(docs.withColumn("__key", row_key(id_col, text_col)), seen.where("NOT stays").select("__key"), "__key")
+    again = written(seen.where("stays").groupBy("__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__key"))
+    if again.limit(1).count():  # rows of one id and text: copies in one task are made one before they are shuffled
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        alike = likely_rows(rows, again, "__key").join(again, "__key", "left_semi").groupBy("__key").agg(F.first(F.struct(*columns)).alias("row"))
+        rows = without(rows, again, "__key").select(*columns).unionByName(alike.select("row.*"))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))

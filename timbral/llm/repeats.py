@@ -22,9 +22,10 @@ all of them without sorting every suffix of a corpus in one place:
 A core with more than ``split_from`` different contexts is split by its content: into
 runs of 16 starts with the much longer core that those have in common.
 
-Null and empty texts have no bytes. Repeated rows are copies of each other and repeat;
-rows with a null id take no part and are left as they are, as is a text shorter than
-the length. Further columns are ignored; an empty table gives an empty result.
+Null and empty texts have no bytes. Rows are told apart by id and text: repeated rows are
+copies of each other and repeat, different texts of one id are texts of their own, and
+rows with a null id take part like others. A text shorter than the length is left as it
+is. Further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import narrow, small_batches
-from .shared import likely_rows, written
+from .shared import likely_rows, row_key, written
 from .shingles import mix
 
 _FACTOR = 0xD6E8FEB86659FD93
@@ -212,7 +213,7 @@ def _places(rows: DataFrame, s: Settings, kind: str) -> DataFrame:
 def _contexts(places: DataFrame, rows: DataFrame, s: Settings, kind: str, with_bytes: bool) -> DataFrame:
     """Each place with the fingerprint of its context, or, with_bytes, the contexts (split where `many` says so)."""
     columns = ["core", "place", "low", "high", *["many"] * with_bytes]
-    listed = places.groupBy("id").agg(F.collect_list(F.struct(*columns)).alias("found"))
+    listed = places.groupBy("id").agg(F.collect_set(F.struct(*columns)).alias("found"))
     joined = listed.join(likely_rows(rows, places.select("id").distinct()), "id").select("id", "text", *(F.col(f"found.{c}").alias(c) for c in columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +275,7 @@ def _merged(contexts: DataFrame, s: Settings) -> DataFrame:
 
 
 def _intervals(docs_rows: DataFrame, s: Settings, kind: str) -> DataFrame:
-    """``(id, spans)``: repeated starts of each row that has any, as (first, last) pairs."""
+    """``(id, spans)``: repeated starts of each row that has any, as (first, last) pairs. Equal ids must have equal texts."""
     everywhere = written(_places(docs_rows, s, kind))
     # a table of its own, so that the join below is dealt anew and a core with very many places can be split
     cores = written(everywhere.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"))
@@ -298,7 +299,7 @@ def _intervals(docs_rows: DataFrame, s: Settings, kind: str) -> DataFrame:
     once = own.where("n = 1").select("core", "mark", "before", "after")
     found = written(whole.unionByName(runs.join(once, ["core", "mark", "before", "after"], "left_semi")))
     hits = marked.select("id", "low", "core", "mark", before, after).join(found, ["core", "mark", "before", "after"])
-    return written(hits.groupBy("id").agg(F.collect_list(F.struct((F.col("low") + F.col("first")).alias("first"), (F.col("low") + F.col("last")).alias("last"))).alias("spans")))
+    return written(hits.groupBy("id").agg(F.collect_set(F.struct((F.col("low") + F.col("first")).alias("first"), (F.col("low") + F.col("last")).alias("last"))).alias("spans")))
 
 
 def keep(text: bytes, spans: list[tuple[int, int]], length: int) -> tuple[bytes, list[tuple[int, int]]]:
@@ -320,9 +321,9 @@ def keep(text: bytes, spans: list[tuple[int, int]], length: int) -> tuple[bytes,
 def remove(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans)`` of each row, with the ``removed`` runs and the ``kept`` bytes, or with their digest."""
     small_batches(docs.sparkSession)
-    rows = narrow(docs, id=id_col, text=text_col)
+    rows = narrow(docs, id=id_col, text=text_col).withColumn("key", row_key("id", "text"))
     kind = rows.schema["id"].dataType.simpleString()
-    spans = _intervals(rows.where(F.col("id").isNotNull()), settings, kind)
+    spans = _intervals(narrow(rows, id="key", text="text"), settings, "bigint").withColumnRenamed("id", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,10 +339,10 @@ def remove(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_
 
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digests else "removed array<struct<begin: long, end: long>>, kept binary")
     # Rows without repeats stay where they are read; only those with some are shuffled to meet their runs.
-    touched = spans.select("id").distinct()
-    likely = likely_rows(rows, touched)
-    changed = likely.join(spans, "id", "left").select("id", "text", "spans")
-    rest = likely_rows(rows, touched, unlikely=True).select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    touched = spans.select("key")
+    likely = likely_rows(rows, touched, "key")
+    changed = likely.join(spans, "key", "left").select("id", "text", "spans")
+    rest = likely_rows(rows, touched, "key", unlikely=True).select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     return changed.mapInArrow(run, schema).unionByName(rest.mapInArrow(run, schema)).withColumnRenamed("id", id_col)
 
 
@@ -362,9 +363,9 @@ def on_characters(data: bytes, removed: list[tuple[int, int]]) -> str:
 def clean(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """The documents with all their columns, without repeats in the text; those of which no word is left go."""
     small_batches(docs.sparkSession)
-    rows = narrow(docs, id=id_col, text=text_col)
-    spans = _intervals(rows.where(F.col("id").isNotNull()), settings, rows.schema["id"].dataType.simpleString()).select(F.col("id").alias(id_col), F.col("spans").alias("__spans"))
-    touched = likely_rows(docs, spans.select(id_col), id_col).join(spans, id_col, "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__spans")
+    keyed = docs.withColumn("__key", row_key(id_col, text_col))
+    spans = _intervals(narrow(keyed, id="__key", text=text_col), settings, "bigint").select(F.col("id").alias("__key"), F.col("spans").alias("__spans"))
+    touched = likely_rows(keyed, spans.select("__key"), "__key").join(spans, "__key", "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__spans")
     at = docs.columns.index(text_col)
     chars_at = docs.columns.index(chars_col) if chars_col in docs.columns else None
 
@@ -384,4 +385,4 @@ def clean(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
                 columns[chars_at] = pa.array([None if t is None else len(t) for t in texts], batch.schema[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return likely_rows(docs, spans.select(id_col), id_col, unlikely=True).unionByName(touched.mapInArrow(run, docs.schema))
+    return likely_rows(keyed, spans.select("__key"), "__key", unlikely=True).drop("__key").unionByName(touched.mapInArrow(run, docs.schema))

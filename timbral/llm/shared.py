@@ -28,6 +28,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(id_col: str, text_col: str):
+    """A fingerprint of id and text: rows of one id with different texts differ, and rows without an id have one, too."""
+    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+
+
 def likely_rows(rows: DataFrame, ids: DataFrame, id_col: str = "id", bits: int = 24, unlikely: bool = False) -> DataFrame:
     """Rows whose id may be among the ids: all that are, few others. unlikely: the other rows.
 
