@@ -200,6 +200,22 @@ def test_decontamination(spark):
     assert decontaminate.find(rows, items.limit(0)).count() == 0 and decontaminate.find(rows.limit(0), items).count() == 0
 
 
+def test_decontamination_of_items_that_are_mostly_slots(spark):
+    """Every window has fewer than five literal words of eight, but the item has some of them in all."""
+    dense = "Give Anna Smith 12 kg and Bob Jones 30 kg or Carl Brown 45 kg but Dora White 70 kg for Emil Green 81 kg"
+    form, slots = decontaminate.canonical(dense)
+    assert all((slots[i : i + 8] == 0).sum() < 5 for i in range(len(slots) - 7))
+    other = dense
+    for a, b in {"Anna": "Ines", "Bob": "Otto", "Carl": "Paul", "12": "17", "30": "31", "45": "52", "kg": "lbs"}.items():
+        other = other.replace(a, b)
+    bare = "1 2 3 5 8 13 21 34 55 89"
+    texts = [f"First this. {dense} And more.", f"First this. {other} And more.", dense.lower(), dense.upper(), bare, "2 4 6 9 11 15 22 36 57 91", "Only Anna Smith has 12 kg and no one else here."]
+    items = spark.createDataFrame([(1, dense), (2, bare)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find(table(spark, texts), items).collect()}
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (3, 1), (4, 2)}
+    assert got[0, 1].share == 1 and got[0, 1].n_changed_slots == 0 and got[1, 1].n_changed_slots > 3
+
+
 def test_canonical_slots():
     form, slots = decontaminate.canonical("Anna has 3.5 kg and Émile has 12 kg. WHAT is it?")
     kinds = "".join({int(decontaminate.NUMBER): "N", int(decontaminate.NAME): "A", int(decontaminate.UNIT): "U"}.get(int(x), ".") for x in form)

@@ -10,9 +10,15 @@ the item must always stand for one value of the text, and the other way round. T
 is contaminated by the item if the windows left cover ``least_share`` of its words. So a
 question with other numbers or names is found, and prose that merely has the shape isn't.
 
+Windows that are mostly placeholders are used on both sides. Those whose slots have the
+item's own values count as they are; those with other values count if the windows taken
+hold at least as many literal words of the item as one window of mostly literal words has.
+Fewer than two literal words in a window prove nothing about other values, so such windows
+join on their values. Items are looked for in their own spelling and without capitals, as
+in a text that is all in lower or all in upper case, where names are literal words.
+
 Items of fewer than ``least_words`` words are too short to prove anything and are left
-out; those of fewer than a window are one window. Windows that are mostly placeholders
-are not used, unless the item has no others. Null and empty texts and items match nothing;
+out; those of fewer than a window are one window. Null and empty texts and items match nothing;
 repeated rows of an id are one text; further columns are ignored.
 """
 
@@ -59,6 +65,7 @@ class Settings:
     least_words: int = 5
     least_share: float = 0.5
     literal_share: float = 0.6
+    least_literal: int = 2
     bitmap_bits: int = 23
 
 
@@ -77,8 +84,8 @@ def _unit_hashes() -> np.ndarray:
 _UNIT_HASHES = _unit_hashes()
 
 
-def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """For each word: the fingerprint of its canonical form, and of its value if it is a slot, else 0."""
+def canonical(text: str | None, names: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """For each word: the fingerprint of its canonical form, and of its value if it is a slot, else 0. Without names, these are words."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     if not raw.isascii():
         for mark in MARKS:
@@ -113,13 +120,13 @@ def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     stops = np.concatenate([[0], np.cumsum(_STOP[data] & ~word)])
     inside = np.zeros(len(value), bool)
     inside[1:] = stops[begins[1:]] == stops[ends[:-1]]
-    name = capital & inside & ~number
+    name = capital & inside & ~number & names
     form = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, value)))
     return form, np.where(number | name | unit, value, np.uint64(0))
 
 
-def windows(form: np.ndarray, slots: np.ndarray, width: int, s: Settings, shapes: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Start and fingerprint of each window with enough literal words (with shapes: of all)."""
+def windows(form: np.ndarray, slots: np.ndarray, width: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Start and fingerprint of each window: of its forms, or of its values if it has next to no literal word."""
     n = len(form) - width + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -127,11 +134,16 @@ def windows(form: np.ndarray, slots: np.ndarray, width: int, s: Settings, shapes
     for i in range(1, width):
         total = total + form[i : n + i] * _FACTORS[i]
     hashes = mix(total + np.uint64(width))
-    if shapes or not slots.any():
-        return np.arange(n), hashes
-    literal = np.concatenate([[0], np.cumsum(slots == 0)])
-    keep = np.flatnonzero(literal[width:] - literal[:n] >= s.literal_share * width)
-    return keep, hashes[keep]
+    if slots.any():
+        literal = np.concatenate([[0], np.cumsum(slots == 0)])
+        few = np.flatnonzero(literal[width:] - literal[:n] < s.least_literal)
+        if len(few):
+            value = np.where(slots != 0, slots, form)
+            total = value[few] * _FACTORS[0]
+            for i in range(1, width):
+                total = total + value[few + i] * _FACTORS[i]
+            hashes[few] = mix(total + np.uint64(width + 64))
+    return np.arange(n), hashes
 
 
 _ROW = "id {}, at int, hash long, n_words int, width int, slots array<long>"
@@ -149,10 +161,13 @@ def _window_rows(rows: DataFrame, s: Settings, widths: list[int] | None, bitmap)
                 n = len(form)
                 if widths is None and n < s.least_words:
                     continue
+                if widths is None and ((bare := canonical(text, names=False))[0] != form).any():
+                    at, hashes = windows(*bare, min(n, s.window), s)
+                    for a, h in zip(at.tolist(), hashes.view(np.int64).tolist()):
+                        out.append((a, h, n, min(n, s.window), bare[1][a : a + s.window].view(np.int64).tolist()))
+                        of.append(i)
                 for width in widths or [min(n, s.window)]:
                     at, hashes = windows(form, slots, width, s)
-                    if widths is None and not len(at):
-                        at, hashes = windows(form, slots, width, s, shapes=True)
                     if widths is not None and len(at):
                         key = (hashes >> np.uint64(64 - s.bitmap_bits)).astype(np.int64)
                         hit = np.flatnonzero((bitmap.value[key >> 3] >> (key & 7).astype(np.uint8)) & 1)
@@ -167,15 +182,15 @@ def _window_rows(rows: DataFrame, s: Settings, widths: list[int] | None, bitmap)
     return rows.mapInArrow(run, _ROW.format(kind))
 
 
-def judge(matches: list[dict]) -> tuple[int, int, int, int]:
+def judge(matches: list[dict], s: Settings = Settings()) -> tuple[int, int, int, int]:
     """Words of the item covered by consistent windows, changed slots, first and last word in the text."""
     by_diagonal: dict[int, list[dict]] = {}
     for m in matches:
         by_diagonal.setdefault(m["at"] - m["place"], []).append(m)
     forth: dict[int, int] = {}
     back: dict[int, int] = {}
-    covered: set[int] = set()
-    words: list[int] = []
+    taken: list[tuple[dict, set, bool]] = []
+    literal: set[int] = set()
     for _, own in sorted(by_diagonal.items(), key=lambda x: (-len(x[1]), x[0])):
         for m in sorted(own, key=lambda m: m["place"]):
             pairs = {(a, b) for a, b in zip(m["item_slots"], m["slots"]) if a or b}
@@ -186,9 +201,15 @@ def judge(matches: list[dict]) -> tuple[int, int, int, int]:
                 continue
             forth |= new_forth
             back |= new_back
-            covered.update(range(m["place"], m["place"] + m["width"]))
-            words += [m["at"], m["at"] + m["width"] - 1]
-    return len(covered), sum(a != b for a, b in forth.items()), min(words, default=0), max(words, default=0)
+            own_words = {m["place"] + i for i, a in enumerate(m["item_slots"]) if not a}
+            literal |= own_words
+            taken.append((m, pairs, len(own_words) >= s.literal_share * m["width"] or all(a == b for a, b in pairs)))
+    if taken and len(literal) < s.literal_share * taken[0][0]["width"]:
+        taken = [t for t in taken if t[2]]
+    covered = {w for m, _, _ in taken for w in range(m["place"], m["place"] + m["width"])}
+    words = [w for m, _, _ in taken for w in (m["at"], m["at"] + m["width"] - 1)]
+    changed = {a for _, pairs, _ in taken for a, b in pairs if a != b}
+    return len(covered), len(changed), min(words, default=0), max(words, default=0)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -209,7 +230,7 @@ def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(),
 
     def make():
         def of_row(row):
-            covered, changed, first, last = judge(row[3])
+            covered, changed, first, last = judge(row[3], s)
             if covered >= s.least_share * row[2]:
                 yield row[0], row[1], covered / row[2], covered, changed, first, last
 
