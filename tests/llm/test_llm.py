@@ -268,6 +268,22 @@ def test_license_scan_equals_brute_force(spark):
 # --- 7 ------------------------------------------------------------------------------------------
 
 
+def test_html_keeps_all_words_of_broken_tables():
+    """Words are single letters, as those behind an end tag without a start can touch."""
+    words = lambda page: sorted(re.sub("<[^>]*>", " ", page).split())
+    for inner in (
+        "<tr><form><td>a<td>b</form><tr><td>c", "<tr><table><tr><td>a</table><td>b", "<tr>a<td>b", "<tbody>a<tr><td>b", "<tbody><td>a<td>b<tr><td>c", "<td>a<td>b", "a<tr>b<td>c</td>d</tr>e",
+        "<tr><div>a<td>b</div>c<tr><td>d", "<thead><th>a<tbody><td>b<tfoot><td>c", "<colgroup><col><tr><td>a", "<colgroup>a<tr><td>b", "<caption>a<tr><td>b", "<p>a<p>b<tr><td>c",
+        "<tr><td>a<table><td>b<tr>c</table>d<td>e", "<tr><p>a</p><td>b", "<tr><b>a</b><th>b", "<tbody><div>a<tr>b", "<tr><td>a</tr>b<tr><td>c", "<ul><li>a</ul><tr><li>b<td>c", "<tr><textarea>a</textarea><td>b",
+    ):
+        for page in (f"x<table>{inner}</table>y", f"x<table>{inner}", f"x<div><p>z <table>{inner}</table>y</div>", "<div>" * 185 + f"x<table>{inner}</table>y", f"x<tr>{inner}"):
+            assert sorted(re.sub("[^a-z]", "", html.render(page))) == words(page), page[-200:]
+        for depth in range(190, 202):  # flattened there
+            page = "<div>" * depth + f"<table>{inner}</table>y"
+            assert sorted(re.sub("[^a-z]", "", html.render(page))) == words(page), (depth, inner)
+    assert html.render("<table><tbody><td>a<td>b<tr>x<td>c</table>") == "x\n\na  b\nc"
+
+
 def test_html_rendering(spark):
     page = "<head><title>no</title></head><body>a<table><tr><td>x<td>long cell<tr><td>yyyy<td>z</table><ul><li>one<li>two<ol><li>i<li>j</ol></ul>b<br>c<pre> k\n  l</pre><p hidden>no<p style='display: none'>no<p>yes &amp; ok<script>no()</script><!-- no -->"
     assert html.render(page) == "a\n\nx     long cell\nyyyy  z\n\n- one\n- two\n\n  1. i\n  2. j\n\nb\nc\n\n k\n  l\n\nyes & ok"

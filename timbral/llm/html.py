@@ -36,6 +36,11 @@ IMPLIED = {
     "tbody": ({"td", "th", "tr", "tbody", "thead", "tfoot"}, {"table"}), "thead": ({"td", "th", "tr", "tbody", "thead", "tfoot"}, {"table"}),
     "tfoot": ({"td", "th", "tr", "tbody", "thead", "tfoot"}, {"table"}), "option": ({"option"}, {"select", "datalist"}),
 }
+#: Elements that hold no text themselves: what isn't part of a table goes before the table.
+FRAME = set("table tbody thead tfoot tr".split())
+#: Where a part of a table may be put, once what is open inside has ended.
+PARTS = {"td": FRAME, "th": FRAME, "tr": FRAME - {"tr"}} | dict.fromkeys("tbody thead tfoot caption colgroup col".split(), {"table"})
+INSIDE = set("caption colgroup col tbody thead tfoot tr td th script style template".split())
 P_SCOPE = set("table td th caption button object template".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>", re.DOTALL)
@@ -82,14 +87,22 @@ def build(source: str) -> Node:
                 del stack[deepest:]
                 return
 
+    def add(child: Node | str) -> None:
+        if stack[-1].tag in FRAME and (child.strip() if isinstance(child, str) else child.tag not in INSIDE):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == "table":  # an open table is the last child of what holds it
+                    stack[i - 1].children.insert(len(stack[i - 1].children) - 1, child)
+                    return
+        stack[-1].children.append(child)
+
     while at < n:
         m = TOKEN.search(source, at)
         if m is None:
-            stack[-1].children.append(html.unescape(source[at:]) if "&" in source[at:] else source[at:])
+            add(html.unescape(source[at:]) if "&" in source[at:] else source[at:])
             break
         if m.start() > at:
             text = source[at : m.start()]
-            stack[-1].children.append(html.unescape(text) if "&" in text else text)
+            add(html.unescape(text) if "&" in text else text)
         at = m.end()
         ending, tag, attributes = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
         if not tag:
@@ -112,8 +125,26 @@ def build(source: str) -> Node:
             close({"p"}, P_SCOPE)
         if tag == "body":
             close({"head"}, set())
+        if tag in PARTS:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in PARTS[tag]:
+                    del stack[i + 1 :]
+                    if tag in ("td", "th") and stack[-1].tag != "tr" and any(e.tag == "table" for e in stack) and len(stack) < DEEPEST:
+                        stack[-1].children.append(Node("tr"))
+                        stack.append(stack[-1].children[-1])
+                    break
+                if stack[i].tag in ("td", "th", "caption", "template", "table"):
+                    break
+        elif tag == "table" and stack[-1].tag in FRAME:  # ends the table that it is in, but not in a cell
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == "table":
+                    del stack[i:]
+                    break
         node = Node(tag, attributes)
-        stack[-1].children.append(node)
+        framed = stack[-1].tag in FRAME
+        add(node)
+        if tag == "colgroup" or tag == "form" and framed:  # holds nothing
+            continue
         if tag in RAW:
             end = re.compile(rf"</{tag}", re.I).search(source, at)
             body = source[at : end.start()] if end else source[at:]
