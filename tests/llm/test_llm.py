@@ -92,11 +92,29 @@ def test_jaccard_equals_brute_force(spark, size, percent):
     assert [got[i].component_id for i in range(len(texts))] == label
 
 
-def test_jaccard_plan_needs_enough_lists():
-    s, sizes = jaccard.Settings(shingle=5, percent=80), np.array([500] + [1] * 24)
-    assert jaccard.plan(100, np.arange(0), np.arange(0), s) is None
-    l, r, end, makes = jaccard.plan(100, np.arange(25), sizes, s)  # noqa: E741
-    assert l > r and not makes[0] and makes[1:].any() and end == 20 + l
+def test_jaccard_prefix_grows_with_the_candidates():
+    s = jaccard.Settings(shingle=5, percent=80)
+    assert jaccard.chosen_l(100, np.zeros(100), s) == 1
+    by_load = [jaccard.chosen_l(100, np.full(100, x), s) for x in (0.001, 0.02, 1.0, 1000.0)]
+    assert by_load == sorted(by_load) and 1 == by_load[0] < by_load[-1] <= s.longest_l(100)
+    late = np.where(np.arange(100) < 21, 0.01, 1000.0)  # lists behind the plain prefix are large: it stays short
+    assert jaccard.chosen_l(100, late, s) == 1
+
+
+@pytest.mark.parametrize("settings", [{}, {"wide_class": 1, "bucket_bits": 12}, {"rounds": 4, "pairs_a_row": 0.0, "pair_cost": 1000.0, "rare_others": 5.0}])
+def test_jaccard_of_a_group_of_near_copies(spark, settings):
+    """A group whose members are edits of a text that is not there: links inside are few, candidates many."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, texts = [word() for _ in range(70)], []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            w[rng.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:60] + [word() for _ in range(k)]) for k in range(0, 30, 3)]
+    got = {r.doc_id: r.component_id for r in jaccard.classes(table(spark, texts), jaccard.Settings(shingle=4, percent=85, **settings)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts, 4, 85)[1]
 
 
 def test_jaccard_empty_table(spark):
@@ -420,8 +438,8 @@ def test_one_id_with_two_texts(spark):
     rng = random.Random(6)
     a, b, c = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(3))
     two = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, None), (4, c), (5, c + " z")], "doc_id long, text string")
-    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.classes(two, jaccard.Settings(shingle=5, percent=80)).collect())
-    assert got == [(1, 56, 1, 1), (1, 56, 1, 1), (2, 57, 1, 1), (3, 57, 1, 1), (4, 0, 4, 0), (4, 56, 4, 1), (5, 57, 4, 1)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(two, jaccard.Settings(shingle=5, percent=80)).collect())
+    assert got == [(1, 56, 1), (1, 56, 1), (2, 57, 1), (3, 57, 1), (4, 0, 4), (4, 56, 4), (5, 57, 4)]
     versions = spark.createDataFrame([(1, "head " + a), (1, b), (2, "other " + a), (3, None), (3, c), (4, c)], "doc_id long, text string")
     got = sorted((r.doc_id, r.n_bytes, bytes(r.kept)) for r in repeats.remove(versions, repeats.Settings(length=100)).collect())
     assert got == sorted([(1, len(a) + 5, b"head"), (1, len(b), b.encode()), (2, len(a) + 6, b"other"), (3, 0, b""), (3, len(c), b""), (4, len(c), b"")])

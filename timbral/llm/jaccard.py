@@ -8,20 +8,22 @@ prefix may therefore ask for more shared shingles before a pair is verified.
 
 1. Frequency classes: each task counts shingles in 2**20 buckets and reports the
    buckets far above its mean; the sums make a table of one byte a bucket.
-2. Prefix rows ``(shingle, entity)`` for the longest prefix, shuffled once by shingle;
-   shingles of one entity end there.
-3. Each entity takes the l of least estimated cost: its prefix length, and the sizes
-   of its lists but for the largest l - r, as r of what is shared are in the others.
-   One that lacks l lists for some l has no partner, and drops out.
-4. Star round: entities are verified against the first entity of the lists they share
-   most; links make components.
-5. All remaining pairs, those across components only, are made by the one of the
-   smaller l from its lists but the largest; they must share r there and pass the
-   bounds of length, position and shingles of one's own; then they are verified.
+2. Each entity takes the l of least estimated cost by that table, where it is read:
+   a longer prefix costs rows, and leaves fewer candidates. Only that prefix is shuffled,
+   ``(shingle, entity)`` by shingle; shingles of one entity end there. Shingles of the
+   highest classes are known to be shared, and are dealt by entity instead.
+3. Star rounds: entities are verified against one head of the lists they share most;
+   links make components. Further rounds, over the contracted components and with other
+   heads, follow while they merge much and many pairs across components are left.
+4. All remaining pairs, those across components only, whose first shared shingle leaves
+   room for enough overlap, are made. Two entities must share as many prefix shingles as
+   the smaller l of both asks for; then they are verified.
 
 Verification compares whole shingle sets, made again from the texts; texts of
-entities in no pair are dropped before the shuffle by a bitmap of fixed size.
-No pair is cut off anywhere: the result is exact.
+entities in no pair are dropped before the shuffle by a bitmap.
+No pair is cut off anywhere: the classes are exact up to equal 64-bit fingerprints of
+different shingles or sets. Links inside a component that is known are not all tested,
+so that a group of near copies costs its size; the result is classes, not a count of links.
 
 Texts that are null or without words have the empty set, link with nothing and are
 components of one. Rows are told apart by id and text, so repeated rows of one id act as
@@ -42,16 +44,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import narrow, small_batches
-from .shared import components, likely_rows, row_key, without, written
+from .shared import components, drop, likely_rows, row_key, without, written
 from .shingles import in_common, shingle_set
 
+_PLACE_BITS, _L_BITS = 27, 5
+
 
 @dataclass(frozen=True)
 class Settings:
+    """``pair_cost``: verifying a candidate, in rows of a prefix. ``rare_others``: other entities in the list of a shingle of the
+    lowest class. ``wide_class``: from this class on, all shingles of a bucket are taken as shared. Star rounds go on, ``rounds`` at most,
+    while more than ``pairs_a_row`` pairs across components for each prefix row are left."""
+
     shingle: int = 5
     percent: int = 80
     bucket_bits: int = 20
-    pair_cost: int = 4
+    pair_cost: float = 8.0
+    rare_others: float = 0.02
+    wide_class: int = 4
+    rounds: int = 4
+    pairs_a_row: float = 2.0
 
     def need(self, n):
         """The least overlap with any partner of a set of n."""
@@ -59,7 +71,7 @@ class Settings:
 
     def longest_l(self, n: int) -> int:
         """The most shared prefix shingles that are asked for: a quarter of the plain prefix, and some for short texts."""
-        return min(self.need(n), 3 + (n - self.need(n)) // 4)
+        return min(self.need(n), 3 + (n - self.need(n)) // 4, (1 << _L_BITS) - 1)
 
     def linked(self, both: int, n: int, m: int) -> bool:
         return 100 * both >= self.percent * (n + m - both) and both > 0
@@ -69,8 +81,9 @@ def _entity(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _survey(rows: DataFrame, s: Settings) -> tuple[DataFrame, np.ndarray]:
-    """``(id, key, entity, n)`` of each row, and a byte for each bucket of shingles: 0, or the logarithm of how far it is above the mean."""
+def _survey(rows: DataFrame, s: Settings) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """``(id, key, entity, n)`` of each row; a byte for each bucket of shingles, its class: 0, or the logarithm of how far it is
+    above the mean; and the list size that each class stands for."""
     size, kind = 1 << s.bucket_bits, rows.schema["id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,140 +112,116 @@ def _survey(rows: DataFrame, s: Settings) -> tuple[DataFrame, np.ndarray]:
     for r in found:  # fewer than a third of the buckets of a task can be so far above its mean
         if r.bucket >= 0:
             table[r.bucket] = min(31, 1 + int(np.log2(max(1.0, r.n / (3 * total / size + 1)))))
-    return both.where("bucket IS NULL").select("id", "key", "entity", "n"), table
+    others = np.where(np.arange(32) > 0, np.exp2(np.arange(32) - 1) * (3 * total / size + 1), s.rare_others)
+    return both.where("bucket IS NULL").select("id", "key", "entity", "n"), table, others
+
+
+def chosen_l(n: int, others: np.ndarray, s: Settings) -> int:
+    """The l of least cost for n shingles, of which the first have lists of so many others: a row of each prefix shingle, its
+    list, and the candidates, who share l or more of the lists."""
+    most = s.longest_l(n)
+    ends = n - s.need(n) + np.arange(1, most + 1)
+    load = np.cumsum(others[: ends[-1]])[ends - 1]
+    return 1 + int(np.argmin(ends + load * (1 + s.pair_cost / np.arange(1, most + 1))))
+
 
+def _prefix_rows(rows: DataFrame, table: np.ndarray, others: np.ndarray, s: Settings) -> DataFrame:
+    """``(deal, token, entity, info)`` for each shingle of the prefix of each different set of a task; info is n, place and l.
 
-def _longest_prefixes(rows: DataFrame, table: np.ndarray, s: Settings) -> DataFrame:
-    """``(token, entity, n, place)`` for each shingle of the longest prefix of each row."""
+    deal is the token, or a hash of token and entity where the class alone says that the token is shared.
+    """
     classes = rows.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            made, sizes, tokens, many = [], [], [], []
+            tokens, ids, infos, wide = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text, s.shingle)
-                n = len(found)
-                bucket = (found >> np.uint64(64 - s.bucket_bits)).astype(np.int64)
-                order = np.argsort((classes.value[bucket].astype(np.uint64) << np.uint64(59)) | (found >> np.uint64(5)), kind="stable")
-                own = found[order[: n - s.need(n) + s.longest_l(n)]]
-                made.append(_entity(found))
-                sizes.append(n)
-                tokens.append(own.view(np.int64))
-                many.append(len(own))
+                n, entity = len(found), _entity(found)
+                if not n or entity in seen:
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(entity)
+                kind = classes.value[(found >> np.uint64(64 - s.bucket_bits)).astype(np.int64)]
+                order = np.argsort((kind.astype(np.uint64) << np.uint64(59)) | (found >> np.uint64(5)), kind="stable")[: n - s.need(n) + s.longest_l(n)]
+                l = chosen_l(n, others[kind[order]], s)  # noqa: E741
+                order = order[: n - s.need(n) + l]
+                tokens.append(found[order].view(np.int64))
+                wide.append(kind[order] >= s.wide_class)
+                ids.append(np.full(len(order), entity, np.int64))
+                infos.append((n << (_PLACE_BITS + _L_BITS)) | (np.arange(len(order), dtype=np.int64) << _L_BITS) | l)
             if tokens:
-                at = np.arange(sum(many)) - np.repeat(np.cumsum(many) - many, many)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.array(made, np.int64), many)), pa.array(np.repeat(np.array(sizes, np.int32), many)), pa.array(at.astype(np.int32))],
-                    names=["token", "entity", "n", "place"],
-                )
+                token, entity, info, known = map(np.concatenate, (tokens, ids, infos, wide))
+                deal = np.where(known, token ^ (entity * np.int64(0x2545F4914F6CDD1D)), token)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (deal, token, entity, info, known)], names=["deal", "token", "entity", "info", "wide"])
 
-    return rows.mapInArrow(run, "token long, entity long, n int, place int")
+    return rows.mapInArrow(run, "deal long, token long, entity long, info long, wide boolean")
 
 
-def plan(n: int, places: np.ndarray, others: np.ndarray, s: Settings) -> tuple[int, int, int, np.ndarray] | None:
-    """Of an entity with n shingles and its shared prefix shingles (their places, ascending, and list sizes less one): l, r, the end
-    of the prefix, and which of them generate pairs.
+def _prefixes(rows: DataFrame, table: np.ndarray, others: np.ndarray, s: Settings) -> DataFrame:
+    """``(token, entity, n, l, place, lonely)``: prefix rows of shingles that two entities or more may share; lonely is how many
+    shingles of its prefix the entity shares with nobody's prefix. Entities without a partner are gone."""
+    dealt = _prefix_rows(rows, table, others, s).repartition("deal").distinct()  # copies in different tasks give equal rows
+    met = dealt.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("deal"))).where("met > 1 OR wide")
+    info = lambda shift, bits: F.shiftright("info", shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    met = met.select("token", "entity", info(_PLACE_BITS + _L_BITS, 31).alias("n"), info(0, _L_BITS).alias("l"), info(_L_BITS, _PLACE_BITS).alias("place"))
+    own = Window.partitionBy("entity")
+    spare = F.floor(F.col("n") * (100 - s.percent) / 100).cast("int")  # n - need(n)
+    counted = met.withColumn("lonely", spare + F.col("l") - F.count(F.lit(1)).over(own)).withColumn("first", F.min("place").over(own))
+    return written(counted.where(F.col("first") <= spare).drop("first"))
 
-    A partner whose l is not smaller shares l or more of the first ``n - need + l``. So all
-    but the largest l - r of the lists there hold r or more of what is shared. None if some
-    l asks for more than the lists there are: then there is no partner.
-    """
-    longest, plain = s.longest_l(n), n - s.need(n)
-    ends = plain + np.arange(1, longest + 1)
-    inside = np.searchsorted(places, ends)
-    if (inside < np.arange(1, longest + 1)).any():
-        return None
-    best = None
-    for l in sorted({1, 2, 3, (longest + 1) // 2, longest}):  # noqa: E741
-        if l > longest:
-            continue
-        sizes = np.sort(others[: inside[l - 1]])
-        for r in range(1, min(3, l) + 1):
-            load = int(sizes[: len(sizes) - l + r].sum())
-            cost = int(ends[l - 1]) + load * (1 + s.pair_cost / (r * r))
-            if best is None or cost < best[0]:
-                best = (cost, l, r)
-    _, l, r = best  # noqa: E741
-    here = others[: inside[l - 1]]
-    makes = np.zeros(len(here), bool)
-    makes[np.argsort(here, kind="stable")[: len(here) - l + r]] = True
-    return l, r, int(ends[l - 1]), makes
-
-
-def _prefixes(rows: DataFrame, table: np.ndarray, s: Settings) -> DataFrame:
-    """Prefix rows of shingles that two entities or more share, cut to each entity's own l; entities without a partner are gone.
-
-    ``alone`` is how many shingles of the longest prefix no other entity has.
-    """
-    longest = _longest_prefixes(rows, table, s)
-    lists = longest.distinct().withColumn("others", (F.count(F.lit(1)).over(Window.partitionBy("token")) - 1).cast("int")).where("others > 0")
-    need = F.floor((F.lit(s.percent) * F.col("n") + 99) / 100).cast("int")
-    most = F.least(need, F.lit(3) + F.floor((F.col("n") - need) / 4).cast("int"))  # longest_l
-    by_entity = lists.groupBy("entity", "n").agg(F.sort_array(F.collect_list(F.struct("place", "token", "others"))).alias("found"))
-    alive = by_entity.where(F.size("found") >= most).withColumn("alone", F.col("n") - need + most - F.size("found"))
-    alive = alive.select("entity", "n", "alone", *(F.col(f"found.{c}").alias(c) for c in ("place", "token", "others")))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns: list[list] = [[] for _ in range(8)]
-            for i in range(batch.num_rows):
-                entity, n, alone = (batch.column(k)[i].as_py() for k in range(3))
-                place, token, others = (batch.column(k)[i].values.to_numpy() for k in range(3, 6))
-                if (chosen := plan(n, place, others, s)) is not None:
-                    l, r, _, makes = chosen  # noqa: E741
-                    m = len(makes)
-                    for column, values in zip(columns, (token[:m], *(np.full(m, x) for x in (entity, n)), place[:m], *(np.full(m, x) for x in (l, r, alone)), makes)):
-                        column.append(values)
-            if columns[0]:
-                types = (pa.int64(), pa.int64(), *(pa.int32(),) * 5, pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(columns, types)], names=["token", "entity", "n", "place", "l", "r", "alone", "makes"])
-
-    return written(alive.mapInArrow(cut, "token long, entity long, n int, place int, l int, r int, alone int, makes boolean"))
-
-
-def _can_link(n, m, alone_n, alone_m, s: Settings):
-    """Sizes, and the shingles that only one of both has, leave room for enough overlap."""
-    most = F.least(n - alone_n, m - alone_m)
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * s.percent) & (most * (100 + s.percent) >= (n + m) * s.percent)
-
-
-def _stars(prefixes: DataFrame, s: Settings) -> DataFrame:
-    """Pairs of each entity with the head with which it shares most lists. The head of a list is the entity with the fewest shingles
-    of its own: of near copies that is the text they were made from, if it is there."""
-    head = F.min(F.struct("alone", "n", "entity")).over(Window.partitionBy("token"))
-    paired = prefixes.withColumn("head", head).where("head.entity <> entity").where(_can_link(F.col("n"), F.col("head.n"), F.col("alone"), F.col("head.alone"), s))
-    counted = paired.groupBy("entity", "n", F.col("head.entity").alias("head")).agg(F.count(F.lit(1)).alias("shared"))
+
+def _room(overlap, n, m, s: Settings):
+    """An overlap that can't be larger is enough."""
+    return overlap * (100 + s.percent) >= (n + m) * s.percent
+
+
+def _stars(rows: DataFrame, heads: str, s: Settings) -> DataFrame:
+    """Pairs of each entity with the head with which it shares most lists, of those in another group."""
+    head = rows.groupBy("token").agg(F.min(F.expr(f"struct({heads}, entity, n, group)")).alias("head")).select("token", *(F.col(f"head.{c}").alias(f"head_{c}") for c in ("entity", "n", "group")))
+    paired = rows.join(head, "token").where("head_group <> group").where(_room(F.least("n", "head_n"), F.col("n"), F.col("head_n"), s))
+    counted = paired.groupBy("entity", "n", "l", "head_entity").agg(F.count(F.lit(1)).alias("shared"))
     fits = counted.where(F.col("shared") * 4 >= F.col("n") * (100 - s.percent) / 100)
-    best = fits.groupBy("entity").agg(F.max(F.struct("shared", "head")).alias("best"))
-    return best.select(F.col("entity").alias("a"), F.col("best.head").alias("b"))
+    best = fits.groupBy("entity").agg(F.max(F.struct("shared", "head_entity")).alias("best"))
+    return best.select(F.col("entity").alias("a"), F.col("best.head_entity").alias("b"))
 
 
-def _across(prefixes: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    """Pairs across components that share enough prefix shingles."""
-    rows = prefixes.join(labels, prefixes.entity == labels.id, "left").withColumn("group", F.coalesce("component", "entity")).drop("id", "component")
+def _grouped(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Prefix rows with the group of the entity, of the lists that hold two groups or more."""
+    rows = prefixes.join(labels.withColumnRenamed("id", "entity"), "entity", "left").withColumn("group", F.coalesce("component", "entity")).drop("component")
     mixed = rows.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("token")
-    rows = rows.join(mixed, "token", "left_semi")
-    a, b = rows.where("makes").alias("a"), rows.alias("b")
-    rest = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) + F.least("a.place", "b.place")
-    pairs = a.join(
-        b,
-        (F.col("a.token") == F.col("b.token")) & (F.col("a.group") != F.col("b.group"))
-        & ((F.col("a.l") < F.col("b.l")) | ((F.col("a.l") == F.col("b.l")) & (F.col("a.entity") < F.col("b.entity"))))
-        & _can_link(F.col("a.n"), F.col("b.n"), F.col("a.alone"), F.col("b.alone"), s)
-        & (rest * (100 + s.percent) >= (F.col("a.n") + F.col("b.n")) * s.percent),
-    )
-    shared = pairs.groupBy(F.col("a.entity").alias("a"), F.col("b.entity").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min("a.r").alias("r"))
-    return shared.where("shared >= r").select("a", "b")
+    return written(rows.join(mixed, "token", "left_semi"))
+
+
+def _pairs_a_row(rows: DataFrame) -> float:
+    """How many pairs of different groups the lists hold, for each of their rows."""
+    sizes = rows.groupBy("token", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    total = sizes.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs")).first()
+    return total.pairs / total.n if total.n else 0.0
+
+
+def _across(rows: DataFrame, s: Settings) -> DataFrame:
+    """Pairs across groups that may link, by their first shared shingle, and share as many prefix shingles as the smaller l says."""
+    a, b = rows.alias("a"), rows.alias("b")
+    left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))  # if this shingle is the first they share
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.group") != F.col("b.group")) & (F.col("a.entity") < F.col("b.entity")) & _room(left, F.col("a.n"), F.col("b.n"), s))
+    pairs = written(pairs.select(F.col("a.entity").alias("a"), F.col("b.entity").alias("b"), F.least("a.l", "b.l").alias("l")).distinct())
+    ends = pairs.select(F.col("a").alias("entity")).union(pairs.select(F.col("b").alias("entity"))).distinct()
+    lists = rows.join(ends, "entity", "left_semi").groupBy("entity").agg(F.collect_list("token").alias("tokens"))
+    met = pairs.where("l > 1").join(lists.select(F.col("entity").alias("a"), F.col("tokens").alias("of_a")), "a").join(lists.select(F.col("entity").alias("b"), F.col("tokens").alias("of_b")), "b")
+    return pairs.where("l = 1").select("a", "b").unionByName(met.where(F.size(F.array_intersect("of_a", "of_b")) >= F.col("l")).select("a", "b"))
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, first: DataFrame, s: Settings) -> DataFrame:
     """The pairs that link, by their whole shingle sets."""
-    pairs = written(pairs)
-    reps = pairs.select(F.col("a").alias("entity")).union(pairs.select(F.col("b").alias("entity"))).distinct().join(first, "entity").select("entity", "key")
-    reps = written(reps)
-    likely = likely_rows(rows.select("key", "text"), reps, "key").groupBy("key").agg(F.min("text").alias("text"))  # equal keys, equal texts
-    texts = written(reps.join(likely, "key").select("entity", "text"))
-    joined = pairs.join(texts.select(F.col("entity").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("entity").alias("b"), F.col("text").alias("text_b")), "b")
+    key = lambda end: first.select(F.col("entity").alias(end), F.col("key").alias(f"key_{end}"))
+    pairs = written(pairs.join(key("a"), "a").join(key("b"), "b"))
+    keys = written(pairs.select(F.col("key_a").alias("key")).union(pairs.select(F.col("key_b").alias("key"))).distinct())
+    likely = likely_rows(rows.select("key", "text"), keys, "key").join(keys, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))  # equal keys, equal texts
+    text = lambda end: likely.select(F.col("key").alias(f"key_{end}"), F.col("text").alias(f"text_{end}"))
+    joined = pairs.join(text("b"), "key_b").join(text("a"), "key_a")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held = {}, 0  # sets of entities met lately, of bounded total size
@@ -240,7 +229,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, first: DataFrame, s: Settings)
         def made(entity, text):
             nonlocal known, held
             if (found := known.get(entity)) is None:
-                if held > 4_000_000:
+                if held > 1_000_000:
                     known, held = {}, 0
                 found = known[entity] = shingle_set(text.as_py(), s.shingle)
                 held += len(found) + 100
@@ -254,26 +243,43 @@ def _verified(pairs: DataFrame, rows: DataFrame, first: DataFrame, s: Settings)
                 mask.append(s.linked(in_common(one, other), len(one), len(other)))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(mask, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    return written(joined.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"))
+    links = written(joined.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"))
+    drop(pairs, keys)
+    return links
 
 
 def _labelled(rows: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """``(id, key, entity, n)`` of each row, and of each entity ``(entity, component, component_id, stays, n_links)``.
+    """``(id, key, entity, n)`` of each row, and of each entity ``(entity, component, component_id, stays)``.
 
     stays is the key of the row that stands for the component: that of the smallest id.
     """
-    members, table = _survey(rows, s)
+    members, table, others = _survey(rows, s)
     filled = members.where("n > 0")
     first = filled.groupBy("entity").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "key")).alias("least")).select("entity", "least", F.col("least.key").alias("key"))
-    prefixes = _prefixes(rows, table, s)
-    links = _verified(_stars(prefixes, s), rows, first, s)
+    first = written(first)
+    prefixes = _prefixes(rows, table, others, s)
+    # the head of a list is first the entity with the fewest shingles of its own: of near copies, the text they were made from, if it is there
+    links = _verified(_stars(prefixes.withColumn("group", F.col("entity")), "lonely", s), rows, first, s)
     labels = components(links)
-    links = written(links.union(_verified(_across(prefixes, labels, s), rows, first, s)).distinct())
-    ends = links.select(F.col("a").alias("entity")).union(links.select(F.col("b").alias("entity"))).groupBy("entity").agg(F.count(F.lit(1)).alias("n_links"))
-    labelled = first.join(components(links).withColumnRenamed("id", "entity"), "entity", "left").join(ends, "entity", "left")
-    labelled = labelled.select("entity", F.coalesce("component", "entity").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "least")
+    lists = _grouped(prefixes, labels)
+    before = first.count() - labels.where("id <> component").count()
+    for turn in range(1, s.rounds):
+        if _pairs_a_row(lists) <= s.pairs_a_row:
+            break
+        more = _verified(_stars(lists, f"xxhash64(entity, token, {turn})", s), rows, first, s)
+        links, labels = (merged := written(links.union(more))), components(merged)
+        drop(lists)
+        lists = _grouped(prefixes, labels)
+        left = first.count() - labels.where("id <> component").count()
+        if before - left < before // 1000 + 10:
+            break
+        before = left
+    drop(prefixes)
+    links = written(links.union(_verified(_across(lists, s), rows, first, s)))
+    labelled = first.join(components(links).withColumnRenamed("id", "entity"), "entity", "left")
+    labelled = labelled.select("entity", F.coalesce("component", "entity").alias("component"), "least")
     smallest = labelled.groupBy("component").agg(F.min("least").alias("least")).select("component", F.col("least.id").alias("component_id"), F.col("least.key").alias("stays"))
-    return members, labelled.join(smallest, "component").select("entity", "component", "component_id", "stays", "n_links")
+    return members, labelled.join(smallest, "component").select("entity", "component", "component_id", "stays")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -282,18 +288,11 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def classes(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_shingles, component_id, n_links)`` of each row.
-
-    component_id is the smallest id that links lead to; n_links counts verified links of
-    the row's set to other sets (copies are not expanded, and links inside a component
-    that is known already are not all tested).
-    """
+    """``(id, n_shingles, component_id)`` of each row; component_id is the smallest id that links lead to, the row's own included."""
     members, found = _labelled(_rows(docs, id_col, text_col), settings)
     found = found.drop("component", "stays")
     joined = members.join(found, (members.entity == found.entity) & (members.n > 0), "left")
-    return joined.select(
-        F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    return joined.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

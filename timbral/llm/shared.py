@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+import math
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,19 +15,34 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (as in tests), one of our own."""
+    """The folder named by spark.checkpoint.dir. In local mode (as in tests) it may be unset; on a cluster it must not be."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (named or "/tmp/checkpoints/timbral").rstrip("/")
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or f"{tempfile.gettempdir()}/timbral-scratch").rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs a reread only."""
+    """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs a reread only.
+
+    Shuffle files go when the driver collects its garbage; that is asked for here, as the table replaces them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/timbral-{uuid.uuid4().hex}"
     df.write.parquet(path)
     gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets the cleaner drop shuffle files that the table replaces
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables made by :func:`written` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_key(id_col: str, text_col: str):
@@ -33,33 +50,27 @@ def row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
 
 
-def likely_rows(rows: DataFrame, ids: DataFrame, id_col: str = "id", bits: int = 24, unlikely: bool = False) -> DataFrame:
+def likely_rows(rows: DataFrame, ids: DataFrame, id_col: str = "id", bits: int | None = None, unlikely: bool = False) -> DataFrame:
     """Rows whose id may be among the ids: all that are, few others. unlikely: the other rows.
 
-    A bitmap of fixed size (2 MB) goes to all tasks, so that texts which no join needs are
-    not shuffled. It is made of parts that tasks have marked; it fills up as the ids grow,
-    and then lets more rows pass, never fewer.
+    A bitmap goes to all tasks, so that texts which no join needs are not shuffled. It has
+    some 16 bits for each id, 2**16 at least and 2**27 (16 MB) at most; where there are more
+    ids it fills up and lets more rows pass, never fewer.
     """
-    size, spark = 1 << bits, rows.sparkSession
+    spark = rows.sparkSession
+    if bits is None:
+        bits = min(27, max(16, math.ceil(math.log2(16 * ids.count() + 1))))
+    size = 1 << bits
     place = F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(size))
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.zeros(size, bool)
-        for batch in batches:
-            marked[batch.column(0).to_numpy().astype(np.int64)] = True
-        packed = np.packbits(marked)
-        at = np.flatnonzero(packed)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(packed[at].astype(np.int32))], names=["byte", "bits"])
-
-    bitmap = np.zeros(size // 8, np.uint8)
-    for r in ids.select(place.alias("place")).mapInArrow(mark, "byte long, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits")).collect():
-        bitmap[r.byte] = r.bits
+    marks = ids.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 AS int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(size >> 6, np.int64)
+    bitmap[marks.column(0).to_numpy()] = marks.column(1).to_numpy()
     known = spark.sparkContext.broadcast(bitmap)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(batch.num_columns - 1).to_numpy().astype(np.int64)
-            mask = pa.array(((known.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool) ^ unlikely)
+            at = batch.column(batch.num_columns - 1).to_numpy()
+            mask = pa.array(((known.value[at >> 6] >> (at & 63)) & 1).astype(bool) ^ unlikely)
             yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
 
     return rows.select("*", place.alias("__place")).mapInArrow(pick, rows.schema)
@@ -80,13 +91,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct()
     both = written(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")))
+    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.lit(None).cast("long").alias("before"), F.least("id", "m").alias("label")))
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("id").alias("low"), F.col("label").alias("next"))
+        now = labels.select("id", "label")
+        near = both.join(now.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        lower = now.join(near, "id").select("id", "label", F.least("label", "near").alias("low"))
+        jump = now.select(F.col("id").alias("low"), F.col("label").alias("next"))
         after = written(lower.join(jump, "low").select("id", F.col("label").alias("before"), F.least("low", "next").alias("label")))
-        changed = after.where("before <> label").limit(1).count()
-        labels = after.select("id", "label")
-        if not changed:
+        drop(labels)
+        labels = after
+        if not labels.where("before <> label").limit(1).count():
+            drop(both)
             return labels.select("id", F.col("label").alias("component"))
