@@ -63,7 +63,7 @@ class Settings:
     rare_others: float = 0.02
     wide_class: int = 4
     rounds: int = 4
-    pairs_a_row: float = 2.0
+    pairs_a_row: float = 4.0
 
     def need(self, n):
         """The least overlap with any partner of a set of n."""
@@ -195,19 +195,23 @@ def _grouped(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
     return written(rows.join(mixed, "token", "left_semi"))
 
 
-def _pairs_a_row(rows: DataFrame) -> float:
-    """How many pairs of different groups the lists hold, for each of their rows."""
-    sizes = rows.groupBy("token", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-    total = sizes.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs")).first()
-    return total.pairs / total.n if total.n else 0.0
+def _candidates(rows: DataFrame, s: Settings) -> DataFrame:
+    """Pairs ``(a, b, l)`` across groups that may link if a shingle of a list is the first that they share; a row for each such list."""
+    a, b = rows.alias("a"), rows.alias("b")
+    left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.group") != F.col("b.group")) & (F.col("a.entity") < F.col("b.entity")) & _room(left, F.col("a.n"), F.col("b.n"), s))
+    return pairs.select(F.col("a.entity").alias("a"), F.col("b.entity").alias("b"), F.least("a.l", "b.l").alias("l"))
+
+
+def _pairs_a_row(rows: DataFrame, s: Settings) -> float:
+    """How many candidates there are for each row, estimated from a 64th of the lists; it only settles whether to contract further."""
+    few = rows.where(F.pmod(F.xxhash64("token"), F.lit(64)) == 0)
+    return _candidates(few, s).count() / max(1, few.count())
 
 
 def _across(rows: DataFrame, s: Settings) -> DataFrame:
-    """Pairs across groups that may link, by their first shared shingle, and share as many prefix shingles as the smaller l says."""
-    a, b = rows.alias("a"), rows.alias("b")
-    left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))  # if this shingle is the first they share
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.group") != F.col("b.group")) & (F.col("a.entity") < F.col("b.entity")) & _room(left, F.col("a.n"), F.col("b.n"), s))
-    pairs = written(pairs.select(F.col("a.entity").alias("a"), F.col("b.entity").alias("b"), F.least("a.l", "b.l").alias("l")).distinct())
+    """The candidates that share as many prefix shingles as the smaller l of both asks for."""
+    pairs = written(_candidates(rows, s).distinct())
     ends = pairs.select(F.col("a").alias("entity")).union(pairs.select(F.col("b").alias("entity"))).distinct()
     lists = rows.join(ends, "entity", "left_semi").groupBy("entity").agg(F.collect_list("token").alias("tokens"))
     met = pairs.where("l > 1").join(lists.select(F.col("entity").alias("a"), F.col("tokens").alias("of_a")), "a").join(lists.select(F.col("entity").alias("b"), F.col("tokens").alias("of_b")), "b")
@@ -264,7 +268,7 @@ def _labelled(rows: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     lists = _grouped(prefixes, labels)
     before = first.count() - labels.where("id <> component").count()
     for turn in range(1, s.rounds):
-        if _pairs_a_row(lists) <= s.pairs_a_row:
+        if _pairs_a_row(lists, s) <= s.pairs_a_row:
             break
         more = _verified(_stars(lists, f"xxhash64(entity, token, {turn})", s), rows, first, s)
         links, labels = (merged := written(links.union(more))), components(merged)

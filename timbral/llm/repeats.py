@@ -19,8 +19,11 @@ all of them without sorting every suffix of a corpus in one place:
 4. Repeated intervals go back to all places of their contexts, and the union of what
    they cover is removed.
 
-A core with more than ``split_from`` different contexts is split by its content: into
-runs of 16 starts with the much longer core that those have in common.
+A core with more than ``split_from`` different contexts, as at the edge of a passage that very
+many texts share, would make one task too large. Its contexts are counted string by string
+instead, with the same result: runs of 16 starts whose common bytes no other context has are
+left out, of the others each start is counted by the fingerprint of its string, a grouped count
+that Spark adds up on both sides of the shuffle. So no task holds all contexts of a core.
 
 Null and empty texts have no bytes. Rows are told apart by id and text: repeated rows are
 copies of each other and repeat, different texts of one id are texts of their own, and
@@ -41,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import narrow, small_batches
-from .shared import likely_rows, row_key, written
+from .shared import drop, likely_rows, row_key, written
 from .shingles import mix
 
 _FACTOR = 0xD6E8FEB86659FD93
@@ -51,8 +54,8 @@ _BLOCK = 1 << 15
 @dataclass(frozen=True)
 class Settings:
     length: int = 400
-    split_from: int = 4000
-    batch_bytes: int = 4 << 20
+    split_from: int = 500
+    batch_bytes: int = 1 << 20
     shards: int = 2
 
     @property
@@ -210,53 +213,48 @@ def _places(rows: DataFrame, s: Settings, kind: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, core long, place int, low int, high int")
 
 
-def _contexts(places: DataFrame, rows: DataFrame, s: Settings, kind: str, with_bytes: bool) -> DataFrame:
-    """Each place with the fingerprint of its context, or, with_bytes, the contexts (split where `many` says so)."""
-    columns = ["core", "place", "low", "high", *["many"] * with_bytes]
+def _on_contexts(places: DataFrame, rows: DataFrame, names: str, types: tuple, make, s: Settings) -> DataFrame:
+    """What make(text, core, place, low, high, id) yields for each place, next to the text that it is in."""
+    columns = ["core", "place", "low", "high"]
     listed = places.groupBy("id").agg(F.collect_set(F.struct(*columns)).alias("found"))
     joined = listed.join(likely_rows(rows, places.select("id").distinct()), "id").select("id", "text", *(F.col(f"found.{c}").alias(c) for c in columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            out, of = [], []
-            for i, row in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
-                text = row[0].encode("utf-8", "surrogatepass")
-                for core, place, low, high, *many in zip(*row[1:]):
-                    context = text[low : high + s.length]
-                    mark = xxhash.xxh3_64_intdigest(context) - (1 << 63)
-                    if not with_bytes:
-                        out.append((core, place, low, high, mark))
-                        of.append(i)
-                    elif many[0] <= s.split_from:
-                        out.append((core, core, mark, place - low, place - high, 0, context))
-                    else:
-                        for j in range((place - high) // 16, (place - low) // 16 + 1):
-                            a, b = max(low, place - 16 * j - 15), min(high, place - 16 * j)
-                            inner = text[place - 16 * j : place - 16 * j - 15 + s.length]
-                            out.append((xxhash.xxh3_64_intdigest(inner, core & 0xFFFF) - (1 << 63), core, mark, place - low, place - high, a - low, text[a : b + s.length]))
-            if not out:
-                continue
-            if with_bytes:
-                yield _table("key core mark before after offset context", *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(),) * 3 + (pa.int32(),) * 3 + (pa.binary(),))))
-            else:
-                yield _table("id core place low high mark", ids.take(pa.array(of)), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))))
-
-    schema = "key long, core long, mark long, before int, after int, offset int, context binary" if with_bytes else f"id {kind}, core long, place int, low int, high int, mark long"
-    return joined.mapInArrow(run, schema)
-
-
-def _merged(contexts: DataFrame, s: Settings) -> DataFrame:
-    """Runs of repeated starts of each context ``(key, context, owners)``, relative to its first start."""
-    dealt = contexts.repartition("key").sortWithinPartitions("key")
+            for i in range(0, batch.num_rows, 50):
+                out = []
+                for key, text, *found in zip(*(c.to_pylist() for c in batch.slice(i, 50).columns)):
+                    data = text.encode("utf-8", "surrogatepass")
+                    for core, place, low, high in zip(*found):
+                        out += make(data, core, place, low, high, key)
+                if out:
+                    yield _table(names, *(pa.array(c, t) for c, t in zip(zip(*out), types)))
+
+    spark = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+    return joined.mapInArrow(run, ", ".join(f"{n} {spark[t]}" for n, t in zip(names.split(), types)))
+
+
+def _mark(data: bytes, seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(data, seed) - (1 << 63)
+
+
+def _marked(places: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
+    """Each place with the fingerprint of its context."""
+    make = lambda text, core, place, low, high, key: [(key, core, place, low, high, _mark(text[low : high + s.length]))]
+    return _on_contexts(places, rows, "id core place low high mark", (pa.int64(),) * 2 + (pa.int32(),) * 3 + (pa.int64(),), make, s)
+
+
+def _merged(contexts: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
+    """Runs of repeated starts ``(core, mark, before, after, first, last)`` of contexts that meet by core, relative to their first start."""
+    make = lambda text, core, place, low, high, key: [(core, _mark(c := text[low : high + s.length]), place - low, place - high, c)]
+    made = _on_contexts(contexts, rows, "core mark before after context", (pa.int64(),) * 2 + (pa.int32(),) * 2 + (pa.binary(),), make, s)
+    dealt = made.repartition("core").sortWithinPartitions("core")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held):
             out = []
-            for row, flags in zip(held, repeated_starts([r[1] for r in held], s)):
-                whole = len(row[2]) > 1
-                for first, last in [(0, len(row[1]) - s.length)] if whole else _runs(flags):
-                    out += [(core, mark, before, after, first + offset, last + offset) for core, mark, before, after, offset in zip(*row[2:])]
+            for row, flags in zip(held, repeated_starts([r[4] for r in held], s)):
+                out += [(*row[:4], first, last) for first, last in _runs(flags)]
             return _table("core mark before after first last", *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(),) * 2 + (pa.int32(),) * 4))) if out else None
 
         held, used, key = [], 0, None
@@ -267,39 +265,64 @@ def _merged(contexts: DataFrame, s: Settings) -> DataFrame:
                         yield done
                     held, used = [], 0
                 held.append(row)
-                used, key = used + len(row[1]), row[0]
+                used, key = used + len(row[4]), row[0]
         if held and (done := flush(held)) is not None:
             yield done
 
     return dealt.mapInArrow(run, "core long, mark long, before int, after int, first int, last int")
 
 
+def _counted(contexts: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
+    """The same of contexts of very common cores: their starts are counted by the fingerprint of their strings."""
+
+    def pieces(low, high, place):
+        for j in range((place - high) // 16, (place - low) // 16 + 1):  # runs of 16 starts, equally cut in all contexts of the core
+            yield place - 16 * j - 15, max(low, place - 16 * j - 15), min(high, place - 16 * j)
+
+    inner = lambda text, core, at: _mark(text[at + 15 : at + s.length], core & 0xFFFF)
+    parts = lambda text, core, place, low, high, key: [(key, inner(text, core, at), core, place, low, high, a, b) for at, a, b in pieces(low, high, place)]
+    wide = (pa.int64(),) * 3 + (pa.int32(),) * 5
+    cut = written(_on_contexts(contexts, rows, "id inner core place low high a b", wide, parts, s))
+    alike = cut.groupBy("inner").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("inner")
+    left = cut.join(alike, "inner", "left_semi").select("id", F.col("inner").alias("core"), "place", F.col("a").alias("low"), F.col("b").alias("high"), F.struct("core", "low", "high").alias("whole"))
+    left = written(left)
+    strings = lambda text, core, place, low, high, key: [(key, core, place, i, _mark(text[i : i + s.length])) for i in range(low, high + 1)]
+    starts = written(_on_contexts(left, rows, "id core place start string", (pa.int64(),) * 2 + (pa.int32(),) * 2 + (pa.int64(),), strings, s))
+    twice = starts.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("string")
+    hit = starts.join(twice, "string", "left_semi").select("id", "core", "place", "start")
+    owner = left.select("id", "core", "place", F.col("whole.core").alias("whole"), F.col("whole.low").alias("low"), F.col("whole.high").alias("high"), F.col("low").alias("a"))
+    found = hit.join(owner, ["id", "core", "place"]).where("start >= low AND start <= high AND start >= a AND start < a + 16")
+    return found.select("id", F.col("whole").alias("core"), "place", "low", "high", (F.col("start") - F.col("low")).alias("first"), (F.col("start") - F.col("low")).alias("last"))
+
+
 def _intervals(docs_rows: DataFrame, s: Settings, kind: str) -> DataFrame:
     """``(id, spans)``: repeated starts of each row that has any, as (first, last) pairs. Equal ids must have equal texts."""
     everywhere = written(_places(docs_rows, s, kind))
     # a table of its own, so that the join below is dealt anew and a core with very many places can be split
     cores = written(everywhere.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"))
     places = written(everywhere.join(cores, "core", "left_semi"))
-    marked = written(_contexts(places, docs_rows, s, kind, with_bytes=False))
+    drop(everywhere)
+    marked = written(_marked(places, docs_rows, s))
+    drop(places)
     before, after = (F.col("place") - F.col("low")).alias("before"), (F.col("place") - F.col("high")).alias("after")
     own = written(marked.groupBy("core", "mark", before, after).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "place", "low", "high")).alias("owner")))
     mixed = own.groupBy("core").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     # every context of such a core is a partner, but only those met once are in doubt
     doubtful = own.where("n = 1").select("core").distinct()
-    owners = own.join(mixed, "core").join(doubtful, "core", "left_semi").select("owner.*", "core", "many")
-    contexts = _contexts(owners.where(F.col("many") <= s.split_from), docs_rows, s, kind, with_bytes=True)
-    owner = F.struct("core", "mark", "before", "after", "offset")
-    contexts = contexts.select("key", "context", F.array(owner).alias("owners"))
+    owners = written(own.join(mixed, "core").join(doubtful, "core", "left_semi").select("owner.*", "core", "mark", "many"))
+    context = ["core", "mark", "before", "after"]
+    runs = _merged(owners.where(F.col("many") <= s.split_from), docs_rows, s)
     large = owners.where(F.col("many") > s.split_from)
-    if large.limit(1).count():  # parts of different contexts can be equal: they are collapsed before they meet by key
-        parts = _contexts(large, docs_rows, s, kind, with_bytes=True)
-        contexts = contexts.unionByName(parts.groupBy("key", F.sha2("context", 256).alias("same")).agg(F.first("context").alias("context"), F.collect_list(owner).alias("owners")).drop("same"))
-    runs = _merged(contexts.select("key", "context", *(F.col(f"owners.{c}").alias(c) for c in ("core", "mark", "before", "after", "offset"))), s)
-    whole = own.where("n > 1").select("core", "mark", "before", "after", F.lit(0).alias("first"), (F.col("before") - F.col("after")).alias("last"))
-    once = own.where("n = 1").select("core", "mark", "before", "after")
-    found = written(whole.unionByName(runs.join(once, ["core", "mark", "before", "after"], "left_semi")))
-    hits = marked.select("id", "low", "core", "mark", before, after).join(found, ["core", "mark", "before", "after"])
-    return written(hits.groupBy("id").agg(F.collect_set(F.struct((F.col("low") + F.col("first")).alias("first"), (F.col("low") + F.col("last")).alias("last"))).alias("spans")))
+    if large.limit(1).count():
+        counted = _counted(large, docs_rows, s).join(large.select("id", "core", "place", "low", "high", "mark"), ["id", "core", "place", "low", "high"])
+        runs = runs.unionByName(counted.select("core", "mark", before, after, "first", "last"))
+    whole = own.where("n > 1").select(*context, F.lit(0).alias("first"), (F.col("before") - F.col("after")).alias("last"))
+    once = own.where("n = 1").select(*context)
+    found = written(whole.unionByName(runs.join(once, context, "left_semi")))
+    hits = marked.select("id", "low", "core", "mark", before, after).join(found, context)
+    spans = written(hits.groupBy("id").agg(F.collect_set(F.struct((F.col("low") + F.col("first")).alias("first"), (F.col("low") + F.col("last")).alias("last"))).alias("spans")))
+    drop(cores, marked, own, owners, found)
+    return spans
 
 
 def keep(text: bytes, spans: list[tuple[int, int]], length: int) -> tuple[bytes, list[tuple[int, int]]]:
