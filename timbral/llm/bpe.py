@@ -32,6 +32,10 @@ from pyspark.sql import types as T
 from .common import map_rows, narrow, small_batches
 
 
+#: Tokens whose bytes the streaming decoder takes at once where a whole text is decoded.
+FED_AT_ONCE = 512
+
+
 def parse_ranks(data: bytes) -> dict[bytes, int]:
     """The lines ``base64 rank`` of a rank file."""
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
@@ -185,6 +189,20 @@ class Utf8Stream:
         self.held, self.due, self.low, self.high = bytearray(), 0, 0x80, 0xBF
 
     def feed(self, data: bytes) -> str:
+        if not self.due:
+            end = len(data)
+            while end > max(0, len(data) - 3) and data[end - 1] & 0xC0 == 0x80:
+                end -= 1
+            end -= bool(end and data[end - 1] >= 0xC0)  # before the last character that isn't ASCII, which may be incomplete
+            try:
+                ready = data[:end].decode("utf-8")
+            except UnicodeDecodeError:
+                return self._step(data)
+            return ready + self._step(data[end:]) if end < len(data) else ready
+        return self._step(data)
+
+    def _step(self, data: bytes) -> str:
+        """The state machine, byte by byte: ends of pieces and ill-formed data."""
         out: list[str] = []
         at, n = 0, len(data)
         while at < n:
@@ -238,14 +256,11 @@ class ByteBPE:
     def encode(self, text: str | None) -> list[int]:
         return list(itertools.chain.from_iterable(map(self.words.__getitem__, self.split(text or ""))))
 
-    def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
-    def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text pieces, each as soon as it is certain."""
-        stream = Utf8Stream()
-        for token in ids:
-            if piece := stream.feed(self.bytes_of[token]):
+    def decode_stream(self, ids: Iterable[int], width: int = 1) -> Iterator[str]:
+        """Text pieces, each as soon as it is certain; width tokens are fed at once."""
+        stream, ids = Utf8Stream(), iter(ids)
+        while some := list(itertools.islice(ids, width)):
+            if piece := stream.feed(b"".join(map(self.bytes_of.__getitem__, some))):
                 yield piece
         if piece := stream.close():
             yield piece
@@ -300,7 +315,10 @@ def decode_documents(tokens: DataFrame, path: str, pattern: str, id_col: str = "
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encoding, then decoding of the ids, with digests in place of ids and bytes, so that neither crosses to the JVM."""
+    """Encoding, then streaming decoding of the ids, with digests in place of ids and bytes, so that neither crosses to the JVM.
+
+    Nulls, empty and long texts, repeated rows, further columns and empty tables are as in :func:`encode_documents`.
+    """
     small_batches(docs.sparkSession)
     data = _shared(docs, path)
 
@@ -311,7 +329,10 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "
         def of_row(row):
             ids = tokenizer.encode(row[1])
             listed = ",".join(map(names.__getitem__, ids)).encode()
-            yield row[0], len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(tokenizer.decode_bytes(ids)).hexdigest()
+            decoded = hashlib.sha256()
+            for piece in tokenizer.decode_stream(ids, FED_AT_ONCE):
+                decoded.update(piece.encode("utf-8"))
+            yield row[0], len(ids), hashlib.sha256(listed).hexdigest(), decoded.hexdigest()
 
         return of_row
 
@@ -321,19 +342,23 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "
 
 
 def replace_text(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """The rows with ``ids`` and ``n_tokens`` in place of the text, and whether decoding gives the text again."""
+    """The rows with ``ids`` and ``n_tokens`` in place of the text, and whether streaming decoding gives the text again (``round_trip``).
+
+    Other columns of these names are replaced. A null text counts as empty; nothing else of a row matters; an empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     data = _shared(docs, path)
     at = docs.columns.index(text_col)
-    rest = [f for f in docs.schema if f.name != text_col]
+    rest = [f for f in docs.schema if f.name not in (text_col, "ids", "n_tokens", "round_trip")]
+    kept = [docs.columns.index(f.name) for f in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(data.value, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             ids = [tokenizer.encode(t) for t in texts]
-            same = [tokenizer.decode_bytes(i) == t.encode("utf-8") for t, i in zip(texts, ids)]
-            columns = [c for i, c in enumerate(batch.columns) if i != at]
+            same = ["".join(tokenizer.decode_stream(i, FED_AT_ONCE)) == t for t, i in zip(texts, ids)]
+            columns = [batch.column(i) for i in kept]
             made = [pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns + made, names=[f.name for f in rest] + ["ids", "n_tokens", "round_trip"])
 
