@@ -111,6 +111,53 @@ def test_intervals(spark):
     assert intervals.hysteresis([0.1] * 3 + [0.9] * 10 + [0.1] * 10) == [(pytest.approx(3 * 0.096 - 0.03), pytest.approx(13 * 0.096 + 0.03))]
 
 
+def test_speech_by_windows_equals_arrays(spark):
+    """The array form against a plain state machine written from the rule, and the window form against the array form."""
+    rng = random.Random(7)
+
+    def plain(p, threshold=0.5, frame=0.096, least_silence=0.1):
+        raw, i = [], 0
+        while i < len(p):
+            if p[i] < threshold:
+                i += 1
+                continue
+            start, j, end = i, i, None
+            while end is None and j < len(p):
+                nxt = next((k for k in range(j + 1, len(p)) if p[k] >= threshold), len(p))
+                low = [k for k in range(j, nxt) if p[k] < threshold - 0.15]
+                if low and (low[-1] - low[0]) * frame >= least_silence:
+                    end = low[0]
+                j = nxt
+            raw.append((start, len(p) if end is None else end, end is not None))
+            i = j
+        return raw
+
+    rows = []
+    for u in range(12):
+        level, p = rng.random(), []
+        for _ in range(rng.randrange(1, 120)):
+            level = rng.random() if rng.random() < 0.3 else level
+            p.append(round(min(1.0, max(0.0, level + rng.uniform(-0.2, 0.2))), 3))
+        first, stop, closed = intervals.raw_speech(np.array(p))
+        assert list(zip(first.tolist(), stop.tolist(), closed.tolist())) == plain(p)
+        rows += [(u, i, x) for i, x in enumerate(p)]
+    got = {}
+    for r in intervals.voice_activity(spark.createDataFrame(rows, "utt long, frame long, p double")).collect():
+        got.setdefault(r.utt, []).append((r.begin, r.end))
+    for u in range(12):
+        assert np.allclose(sorted(got.get(u, [])), intervals.hysteresis([x for k, _, x in rows if k == u]))
+
+
+def test_missing_vectors_and_broken_waves(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0])], "utt long, emb array<double>")
+    trials = spark.createDataFrame([(1, 2), (1, 3)], "enroll long, test long")
+    assert scoring.attach(trials, vectors, on_missing="drop").count() == 1
+    with pytest.raises(Exception, match="no vector of test 3"):
+        scoring.attach(trials, vectors).collect()
+    broken = spark.createDataFrame([(1, bytearray(b"junk"))], "utt long, content binary")
+    assert binary.decode_waves(broken).count() == 0
+
+
 def test_datadir(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "utt long, spk string")
     assert {r.utt for r in datadir.filter_ids(df, spark.createDataFrame([(1,)], "x long"), "utt", exclude=True).collect()} == {2, 3}

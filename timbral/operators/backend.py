@@ -52,17 +52,33 @@ class ClassStats:
 
 
 def class_stats(df: DataFrame, label: str = "spk", emb: str = "emb") -> ClassStats:
+    """One job for the means of all class sizes: each task adds up its own, by size; there are at most sqrt(2 n) sizes."""
     labelled = df.where(F.col(label).isNotNull())
     n, total, _ = moments(df, emb)
     mean = total / n  # over all vectors, labelled or not
     centred = labelled.select(label, vec.minus(F.col(emb), vec.lit_vector(mean)).alias("emb"))
     _, _, scatter = moments(centred, "emb")
-    sizes = centred.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    means = scoring.mean_vector(centred, "emb", label).join(sizes, label)
+    sizes = centred.groupBy(label).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    means = scoring.mean_vector(centred, "emb", label).join(sizes, label).select("n", "mean")
+    d = len(mean)
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+        for pdf in batches:
+            for size, part in pdf.groupby("n"):
+                x = np.stack(part["mean"].to_numpy()).astype(float)
+                k, s, ss = sums.get(size, (0, 0.0, 0.0))
+                sums[size] = (k + len(x), s + x.sum(0), ss + x.T @ x)
+        for size, (k, s, ss) in sums.items():
+            yield pd.DataFrame([(size, np.concatenate([[k], s, np.ravel(ss)]).tobytes())], columns=["n", "sums"])
+
+    def total_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(pdf["n"].iloc[0], sum(np.frombuffer(x) for x in pdf["sums"]).tobytes())], columns=["n", "sums"])
+
     by_size = {}
-    for row in sizes.select("n").distinct().collect():
-        k, s, ss = moments(means.where(F.col("n") == row.n), "mean")
-        by_size[row.n] = (k, s, ss)
+    for row in means.mapInPandas(add_up, "n int, sums binary").groupBy("n").applyInPandas(total_of, "n int, sums binary").toLocalIterator():
+        v = np.frombuffer(row.sums)
+        by_size[row.n] = (int(v[0]), v[1 : d + 1], v[d + 1 :].reshape(d, d))
     return ClassStats(n, mean, scatter, by_size)
 
 

@@ -143,3 +143,39 @@ def copied(tables: dict[str, DataFrame], key: str, ids: DataFrame | None = None,
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Whether both hold the same rows, each as often."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def within_durations(df: DataFrame, durations: DataFrame, least: float, most: float, key: str = "utt") -> DataFrame:
+    """Rows whose duration, of the map ``(key, dur)``, lies between both ends; rows that the map lacks go."""
+    return df.join(durations.where(F.col("dur").between(least, most)), key)
+
+
+def ranged(df: DataFrame, key: str, cuts: list[str], names: list[str], out: str = "part") -> DataFrame:
+    """The range of a key in the order of strings: names[i] before cuts[i], the last name from the last cut on. A null key has a null range."""
+    part = F.when(F.col(key).isNull(), None)
+    for cut, name in zip(cuts, names):
+        part = part.when(F.col(key) < cut, name)
+    return df.withColumn(out, part.otherwise(names[-1]))
+
+
+def recoded(df: DataFrame, column: str, codes: dict[str, str], default: str, out: str) -> DataFrame:
+    """Labels by a table of codes; what it lacks, nulls too, gets the default."""
+    code = F.lit(default)
+    for old, new in codes.items():
+        code = F.when(F.col(column) == old, new).otherwise(code)
+    return df.withColumn(out, code)
+
+
+def speaker_of(df: DataFrame, key: str, separator: str = "-", out: str = "spk") -> DataFrame:
+    """The speaker as the part of the utterance's id before the first separator; an id without one is its own speaker."""
+    return df.withColumn(out, F.substring_index(key, separator, 1))
+
+
+def own_speaker(df: DataFrame, key: str, out: str = "spk") -> DataFrame:
+    """Each utterance as a speaker of its own."""
+    return df.withColumn(out, F.col(key))
+
+
+def prefixed(df: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """Ids with a prefix for each of the columns, as copies of a directory beside the original need."""
+    return df.withColumns({c: F.concat(F.lit(p), F.col(c).cast("string")) for c, p in prefixes.items()})

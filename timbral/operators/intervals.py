@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import permutations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,44 +46,66 @@ def frame_chunks(v: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(padded) - 1) / size).cast("int")), lambda i: F.slice(padded, i * size + 1, size))
 
 
-def hysteresis(probabilities: list[float], threshold: float = 0.5, frame: float = 0.096, least_silence: float = 0.1, least_speech: float = 0.25, pad: float = 0.03, least_span: float = 0.255) -> list[tuple[float, float]]:
-    """Speech from the first frame at the threshold to where it has been 0.15 below for least_silence; short speech goes, pads share short silences, and padded spans below least_span go."""
-    spans, start, quiet = [], None, None
-    for i, p in enumerate(probabilities):
-        if p >= threshold:
-            quiet = None
-            start = i if start is None else start
-        elif start is not None and p < threshold - 0.15:
-            quiet = i if quiet is None else quiet
-            if (i - quiet) * frame >= least_silence:
-                if (quiet - start) * frame > least_speech:
-                    spans.append([start * frame, quiet * frame])
-                start = quiet = None
-    total = len(probabilities) * frame
-    if start is not None:
-        spans.append([start * frame, total])
-    for i, span in enumerate(spans):
-        if i == 0:
-            span[0] = max(0.0, span[0] - pad)
-        if i + 1 < len(spans):
-            silence = spans[i + 1][0] - span[1]
-            share = silence / 2 if silence < 2 * pad else pad
-            span[1] += share
-            spans[i + 1][0] -= share
-        else:
-            span[1] = min(total, span[1] + pad)
-    return [(a, b) for a, b in spans if b - a >= least_span]
-
-
-def voice_activity(df: DataFrame, key: str = "utt", **settings) -> DataFrame:
-    """``(key, begin, end)`` of frames ``(key, frame, p)``."""
+def raw_speech(p: np.ndarray, threshold: float = 0.5, frame: float = 0.096, least_silence: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First frames, end frames and whether a silence closed them, of the stretches of speech in an array of probabilities.
+
+    Frames at the threshold cut the array into pieces, each from one of them to the next. The frames of a piece that are more
+    than 0.15 below it are quiet; if the quiet ones of a piece span least_silence, speech ends at the first of them.
+    """
+    at = np.flatnonzero(p >= threshold)
+    if not len(at):
+        none = np.empty(0, int)
+        return none, none, none.astype(bool)
+    low = np.flatnonzero(p < threshold - 0.15)
+    piece = np.searchsorted(at, low) - 1
+    low, piece = low[piece >= 0], piece[piece >= 0]
+    first, last = np.full(len(at), len(p)), np.full(len(at), -1)
+    np.minimum.at(first, piece, low)
+    np.maximum.at(last, piece, low)
+    closed = (last >= 0) & ((last - first) * frame >= least_silence)
+    ends = np.flatnonzero(closed)
+    starts = np.concatenate([[0], ends + 1])
+    starts = starts[starts < len(at)]
+    stop = np.append(first[ends], len(p))[: len(starts)]
+    return at[starts], stop, np.append(closed[ends], False)[: len(starts)]
+
+
+def padded(begin: np.ndarray, end: np.ndarray, total: float, pad: float = 0.03, least_span: float = 0.255) -> list[tuple[float, float]]:
+    """Spans in order, widened by the pad, or by half of a silence that two pads would fill; of those, the ones of least_span or more."""
+    if not len(begin):
+        return []
+    gap = begin[1:] - end[:-1]
+    share = np.where(gap < 2 * pad, gap / 2, pad)
+    b = np.concatenate([[max(0.0, begin[0] - pad)], begin[1:] - share])
+    e = np.append(end[:-1] + share, min(total, end[-1] + pad))
+    return [(x, y) for x, y in zip(b.tolist(), e.tolist()) if y - x >= least_span]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        spans = hysteresis(pdf.sort_values("frame")["p"].tolist(), **settings)
-        return pd.DataFrame([(pdf[key].iloc[0], a, b) for a, b in spans], columns=[key, "begin", "end"])
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, "frame", "p").groupBy(key).applyInPandas(run, f"{key} {kind}, begin double, end double")
+def hysteresis(probabilities: list[float], threshold: float = 0.5, frame: float = 0.096, least_silence: float = 0.1, least_speech: float = 0.25, pad: float = 0.03, least_span: float = 0.255) -> list[tuple[float, float]]:
+    """Speech of one array of probabilities: stretches closed by a silence that are longer than least_speech, and an open last one, padded."""
+    first, stop, closed = raw_speech(np.asarray(probabilities, float), threshold, frame, least_silence)
+    kept = ~closed | ((stop - first) * frame > least_speech)
+    return padded(first[kept] * frame, stop[kept] * frame, len(probabilities) * frame, pad, least_span)
+
+
+def voice_activity(df: DataFrame, key: str = "utt", threshold: float = 0.5, frame: float = 0.096, least_silence: float = 0.1, least_speech: float = 0.25, pad: float = 0.03, least_span: float = 0.255) -> DataFrame:
+    """``(key, begin, end)`` of frames ``(key, frame, p)``: :func:`hysteresis` of each key as pieces, islands and neighbours in windows."""
+    order = Window.partitionBy(key).orderBy("frame")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    at = df.select(key, "frame", "p", (F.row_number().over(order) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(key)).alias("n"), F.sum((F.col("p") >= threshold).cast("int")).over(so_far).alias("piece"))
+    low = F.when(F.col("p") < threshold - 0.15, F.col("i"))
+    pieces = at.where("piece > 0").groupBy(key, "n", "piece").agg(F.min("i").alias("first"), F.min(low).alias("quiet"), F.max(low).alias("last"))
+    pieces = pieces.withColumn("closes", F.coalesce((F.col("last") - F.col("quiet")) * frame >= least_silence, F.lit(False)))
+    before = Window.partitionBy(key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    islands = pieces.withColumn("island", F.coalesce(F.sum(F.col("closes").cast("int")).over(before), F.lit(0)))
+    spans = islands.groupBy(key, "n", "island").agg(F.min("first").alias("first"), F.max(F.when(F.col("closes"), F.col("quiet"))).alias("quiet"))
+    spans = spans.where(F.col("quiet").isNull() | ((F.col("quiet") - F.col("first")) * frame > least_speech))
+    spans = spans.select(key, (F.col("n") * frame).alias("total"), (F.col("first") * frame).alias("begin"), (F.coalesce("quiet", "n") * frame).alias("end"))
+    w = Window.partitionBy(key).orderBy("begin")
+    share = lambda gap: F.when(gap < 2 * pad, gap / 2).when(gap >= 2 * pad, F.lit(pad))
+    begin = F.coalesce(F.col("begin") - share(F.col("begin") - F.lag("end").over(w)), F.greatest(F.lit(0.0), F.col("begin") - pad))
+    end = F.coalesce(F.col("end") + share(F.lead("begin").over(w) - F.col("end")), F.least("total", F.col("end") + pad))
+    return spans.select(key, begin.alias("begin"), end.alias("end")).where(F.col("end") - F.col("begin") >= least_span)
 
 
 def elementary(ref: DataFrame, hyp: DataFrame, key: str = "utt", collar: float = 0.25, slot: float = 10.0) -> DataFrame:

@@ -16,11 +16,18 @@ def mean_vector(df: DataFrame, emb: str, *keys: str) -> DataFrame:
     return listed.select(*keys, F.transform("m", lambda e: e["x"]).alias("mean"))
 
 
-def attach(trials: DataFrame, vectors: DataFrame, emb: str = "emb") -> DataFrame:
-    """Trials ``(enroll, test)`` with both vectors, of ``(utt, emb)``."""
+def attach(trials: DataFrame, vectors: DataFrame, emb: str = "emb", on_missing: str = "error") -> DataFrame:
+    """Trials ``(enroll, test)`` with both vectors, of ``(utt, emb)``. A trial without a vector fails the job, or (drop) goes."""
+    how = "inner" if on_missing == "drop" else "left"
     left = vectors.select(F.col("utt").alias("enroll"), F.col(emb).alias("enroll_emb"))
     right = vectors.select(F.col("utt").alias("test"), F.col(emb).alias("test_emb"))
-    return trials.join(left, "enroll").join(right, "test")
+    joined = trials.join(left, "enroll", how).join(right, "test", how)
+    if on_missing == "drop":
+        return joined
+    for side in ("enroll", "test"):
+        lacks = F.raise_error(F.concat(F.lit(f"no vector of {side} "), F.coalesce(F.col(side).cast("string"), F.lit("null"))))
+        joined = joined.withColumn(f"{side}_emb", F.coalesce(f"{side}_emb", lacks.cast(joined.schema[f"{side}_emb"].dataType)))
+    return joined
 
 
 def cosine_scores(trials: DataFrame, vectors: DataFrame, mean: DataFrame | None = None, scale: str = "raw") -> DataFrame:

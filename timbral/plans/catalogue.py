@@ -610,10 +610,21 @@ def sessions(spark, sf):
     return out.select("key", F.unix_micros("begin").alias("begin_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id AS utt, event_id AS frame, value / 100::DOUBLE AS p FROM events),
+t AS (SELECT utt, p, row_number() OVER (PARTITION BY utt ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY utt) AS n,
+  sum(CASE WHEN p >= 0.36::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY utt ORDER BY frame ROWS UNBOUNDED PRECEDING) AS piece FROM e),
+c AS (SELECT utt, n, piece, min(i) AS f, min(i) FILTER (p < 0.36::DOUBLE - 0.15::DOUBLE) AS q, max(i) FILTER (p < 0.36::DOUBLE - 0.15::DOUBLE) AS l FROM t WHERE piece > 0 GROUP BY utt, n, piece),
+k AS (SELECT *, coalesce((l - q) * 0.096::DOUBLE >= 0.1::DOUBLE, false) AS closes FROM c),
+s AS (SELECT *, coalesce(sum(CASE WHEN closes THEN 1 ELSE 0 END) OVER (PARTITION BY utt ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM k),
+x AS (SELECT utt, n, min(f) AS f, max(q) FILTER (closes) AS q FROM s GROUP BY utt, n, island),
+y AS (SELECT utt, n * 0.096::DOUBLE AS total, f * 0.096::DOUBLE AS a, coalesce(q, n) * 0.096::DOUBLE AS b FROM x WHERE q IS NULL OR (q - f) * 0.096::DOUBLE > 0.25::DOUBLE),
+g AS (SELECT *, a - lag(b) OVER (PARTITION BY utt ORDER BY a) AS gap, lead(a) OVER (PARTITION BY utt ORDER BY a) - b AS room FROM y),
+z AS (SELECT utt, CASE WHEN gap IS NULL THEN greatest(0, a - 0.03::DOUBLE) WHEN gap < 0.06::DOUBLE THEN a - gap / 2 ELSE a - 0.03::DOUBLE END AS a,
+  CASE WHEN room IS NULL THEN least(total, b + 0.03::DOUBLE) WHEN room < 0.06::DOUBLE THEN b + room / 2 ELSE b + 0.03::DOUBLE END AS b FROM g)
+SELECT utt, round(a, 5) AS begin, round(b, 5) AS end FROM z WHERE b - a >= 0.255::DOUBLE""")
 def vad_hysteresis(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("utt"), F.col("event_id").alias("frame"), (F.col("value") / 100).alias("p"))
-    return intervals.voice_activity(e, threshold=0.36)
+    return intervals.voice_activity(e, threshold=0.36).withColumns({"begin": r("begin"), "end": r("end")})
 
 
 @query()

@@ -110,7 +110,8 @@ def decode_waves(df: DataFrame, content: str = "content", on_error: str = "drop"
                     made.append(None)
             ok = [m is not None for m in made]
             good = [m for m in made if m is not None]
-            yield pdf.loc[ok, [f.name for f in rest]].assign(sample_rate=[m[0] for m in good], samples=[m[1] for m in good], duration=[m[2] for m in good])
+            if good:  # a batch of broken rows only gives nothing
+                yield pdf.loc[ok, [f.name for f in rest]].assign(sample_rate=[m[0] for m in good], samples=[m[1] for m in good], duration=[m[2] for m in good])
 
     return df.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "sample_rate int, samples array<double>, duration double"]))
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.intervals import hysteresis
+from ..operators.intervals import padded, raw_speech
 
 
 def _timed(df: DataFrame, time: str, late: str | None) -> DataFrame:
@@ -56,22 +57,39 @@ def chunk_stream(df: DataFrame, size: int, key: str = "utt") -> DataFrame:
     return df.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, chunk long, samples array<double>", "number long, rest array<double>", "append", "NoTimeout")
 
 
-def speech_stream(df: DataFrame, key: str = "utt", **settings) -> DataFrame:
-    """``(key, begin, end)`` of a stream of frames ``(key, frame, p, last)``. Frames wait in the state until the one marked last, so
-    that spans are those of the batch form, whatever the batches were."""
+def speech_stream(df: DataFrame, key: str = "utt", threshold: float = 0.5, frame: float = 0.096, least_silence: float = 0.1, least_speech: float = 0.25, pad: float = 0.03, least_span: float = 0.255) -> DataFrame:
+    """``(key, begin, end)`` of a stream of frames ``(key, frame, p, last)``; batches of a key come in order of frame, from 0.
+
+    The state keeps the frames since the last closed stretch of speech, that stretch, which waits for its neighbour, and where the one
+    before it ended. Spans are those of the batch form, whatever the batches were.
+    """
     kind = df.schema[key].dataType.simpleString()
 
     def run(group: tuple, pieces: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get)) if state.exists else []
-        rows = pd.concat(list(pieces))
-        held += list(zip(rows["frame"].tolist(), rows["p"].tolist()))
-        if not rows["last"].any():
-            state.update(([f for f, _ in held], [p for _, p in held]))
-            return
-        if state.exists:
-            state.remove()
-        spans = hysteresis([p for _, p in sorted(held)], **settings)
-        if spans:
-            yield pd.DataFrame([(group[0], a, b) for a, b in spans], columns=[key, "begin", "end"])
+        at, held, spans, told = state.get if state.exists else (0, [], [], 0)
+        rows = pd.concat(list(pieces)).sort_values("frame")
+        p = np.concatenate([np.asarray(held, float), rows["p"].to_numpy(float)])
+        over = bool(rows["last"].any())
+        first, stop, closed = raw_speech(p, threshold, frame, least_silence)
+        last_cut = int(stop[closed].max()) if closed.any() else 0
+        take = closed | over
+        for a, b, c in zip(first[take], stop[take], closed[take]):
+            if not c or (b - a) * frame > least_speech:
+                spans = [*spans, (at + int(a)) * frame, (at + int(b)) * frame]
+        begin, end = np.array(spans[::2]), np.array(spans[1::2])
+        total = (at + len(p)) * frame if over else float("inf")
+        out = padded(begin, end, total, pad, 0.0)
+        known = len(out) if over else len(out) - 1  # the last span's end depends on the next one
+        rest = spans[-4:]
+        new = [(group[0], a, b) for a, b in out[int(told) : max(known, 0)] if b - a >= least_span]
+        if over:
+            if state.exists:
+                state.remove()
+        else:
+            if first.size == 0:
+                last_cut = len(p)  # nothing open: silence needn't be kept
+            state.update((at + last_cut, p[last_cut:].tolist(), rest, max(0, len(rest) // 2 - 1)))
+        if new:
+            yield pd.DataFrame(new, columns=[key, "begin", "end"])
 
-    return df.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, begin double, end double", "frames array<long>, ps array<double>", "append", "NoTimeout")
+    return df.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, begin double, end double", "at long, held array<double>, spans array<double>, told long", "append", "NoTimeout")
