@@ -79,23 +79,28 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     same = (F.col("g.hash") == F.col("t.hash")) & (F.col("g.a") == F.col("t.a")) & (F.col("g.b") == F.col("t.b")) & (F.col("g.c") == F.col("t.c"))
     votes = g.join(t, same).select("g.id", "g.mark", "t.template", "t.label", "t.base", "t.length", "g.at", "t.place", (F.col("g.at") - F.col("t.place")).alias("diagonal"))
     diagonals = votes.groupBy(*key, "template", "label", "base", "length", "diagonal").agg(F.collect_set("place").alias("places"), F.min("at").alias("low"), F.max("at").alias("high"))
-    complete = diagonals.where(F.col("base") & (F.size("places") == F.col("length") - 2))
-    base = complete.groupBy(*key).agg(F.count(F.lit(1)).alias("n_base"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.collect_set("label").alias("base_set"))
+    # a place of a base phrase is a diagonal of its own; diagonals of a notice that lie near each other are one span
     line = Window.partitionBy(*key, "template").orderBy("diagonal")
-    fresh = F.when(F.col("diagonal") - F.lag("diagonal").over(line) <= NEAR, 0).otherwise(1)
-    merged = diagonals.where(~F.col("base")).withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(line))
-    spans = merged.groupBy(*key, "template", "label", "length", "run").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("hits"), F.min("low").alias("low"), F.max("high").alias("high"))
+    fresh = F.when(~F.col("base") & (F.col("diagonal") - F.lag("diagonal").over(line) <= NEAR), 0).otherwise(1)
+    merged = diagonals.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(line))
+    spans = merged.groupBy(*key, "template", "label", "base", "length", "run").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("hits"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("diagonal").alias("diagonal")
+    )
     share = F.col("hits") / (F.col("length") - 2)
-    found = spans.withColumn("share", share).where((F.col("share") >= LEAST_SHARE) & (F.col("high") - F.col("low") + 3 <= MOST_EXTENT * F.col("length")))
-    by_method = found.groupBy(*key).agg(F.collect_set("label").alias("method_set"), F.max("share").alias("share"))
-    results = base.join(by_method, key, "full_outer")
+    like = (F.col("share") >= LEAST_SHARE) & (F.col("high") - F.col("low") + 3 <= MOST_EXTENT * F.col("length"))
+    found = spans.withColumn("share", share).where(F.when(F.col("base"), F.col("hits") == F.col("length") - 2).otherwise(like))
+    of_base = lambda c: F.when(F.col("base"), F.col(c))
+    results = found.groupBy(*key).agg(
+        F.count(of_base("diagonal")).alias("n_base"), F.min(of_base("diagonal")).alias("first_word"), F.max(of_base("diagonal")).alias("last_word"),
+        F.collect_set(of_base("label")).alias("base_set"), F.collect_set("label").alias("label_set"), F.max("share").alias("share"),
+    )
     none = F.array().cast("array<string>")
     out = rows.select(*key, F.size(words(F.col("text"))).cast("long").alias("n_words")).alias("d").join(
         results.alias("r"), F.col("d.id").eqNullSafe(F.col("r.id")) & (F.col("d.mark") == F.col("r.mark")), "left"
     )
-    listed = lambda *sets: F.array_join(F.array_sort(F.array_distinct(F.concat(*(F.coalesce(x, none) for x in sets)))), ",")
+    listed = lambda found: F.array_join(F.array_sort(F.coalesce(found, none)), ",")
     return out.select(
         F.col("d.id").alias(id_col), "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), F.col("first_word").cast("long"), F.col("last_word").cast("long"),
-        listed(F.col("base_set")).alias("base_labels"), listed(F.col("base_set"), F.col("method_set")).alias("labels"),
-        F.when(F.coalesce("n_base", F.lit(0)) > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
+        listed(F.col("base_set")).alias("base_labels"), listed(F.col("label_set")).alias("labels"),
+        F.coalesce("share", F.lit(0.0)).alias("score"),  # a base phrase has a share of 1
     )
