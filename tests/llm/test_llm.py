@@ -278,6 +278,9 @@ def test_license_scan_equals_brute_force(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min(at, default=None), max(at, default=None))
         assert r.base_labels == ",".join(sorted({x for _, x in places})) and 0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
     assert got[len(texts) - 2].labels == "mit" and got[len(texts) - 1].labels == "gpl-3"
+    both = "under the mit license x y z licensed under the gnu general public license version 3"
+    alone = licenses.scan(spark.createDataFrame([(None, both), (None, None)], "doc_id long, text string")).collect()
+    assert sorted((r.n_words, r.n_base, r.base_labels, r.labels) for r in alone) == [(0, 0, "", ""), (16, 1, "mit", "gpl-3,mit")]
     doubled = table(spark, texts[:2]).union(table(spark, texts[:2]))
     assert sorted(r.n_base for r in licenses.scan(doubled).collect()) == [1, 1, 2, 2]
     assert licenses.scan(doubled.limit(0)).count() == 0
@@ -307,6 +310,12 @@ def test_html_rendering(spark):
     assert html.render(page) == "a\n\nx     long cell\nyyyy  z\n\n- one\n- two\n\n  1. i\n  2. j\n\nb\nc\n\n k\n  l\n\nyes & ok"
     assert html.render("<p>one<p>two<div>three") == "one\n\ntwo\n\nthree"
     assert html.render("a < b and <3 <") == "a < b and <3 <"
+    assert html.render("<div>" * 250 + "<p hidden>secret</p>visible") == "visible"
+    assert html.render("<table><td>a<td>b<tr><td colspan=2>c</table>") == "a  b\nc"
+    assert html.render("<table><tr><td rowspan=2>long<td>b<tr><td>c<tr><td colspan=2>wide cell<td>d</table>") == "long  b\n      c\nwide cell  d"
+    assert html.render("<details><summary>s</summary>no</details><details open><summary>t</summary>yes</details>") == "s\nt\nyes"
+    assert html.render("<p style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</p>") == "yes"
+    assert html.render("<ul><li>" * 300 + "x").endswith("- x") and html.render("<table><td>" * 2000 + "x") == "x"
     for broken in (None, "", "<", "<div", "<div>" * 5000 + "x", "</p></td>", "<table><tr>", "<!--", "<script>", "<a href='x>y"):
         html.render(broken)
     assert html.render("<div>" * 5000 + "x") == "x"

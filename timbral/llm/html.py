@@ -3,14 +3,17 @@
 A tokenizer and a tree builder (void elements, raw text, implied end tags inside their
 scopes) give a tree; a renderer walks it and writes all visible text. Not visible: the
 head, scripts, styles, templates and the like, elements with ``hidden`` or with an own
-style of ``display:none`` or ``visibility:hidden``, and comments. Blocks start on lines
-of their own; paragraphs, headings, lists and tables have a blank line around them; list
-items carry a dash or their number and their depth; cells of a table are aligned in
-columns; ``pre`` keeps its white space; ``br`` ends a line.
-
-Null and empty pages give an empty text. Markup may be broken in any way: what isn't a
-tag is text, and elements nested deeper than :data:`DEEPEST` are flattened. Pages are
-independent: repeated rows give equal texts; further columns are ignored.
+style of ``display:none``, text under ``visibility:hidden`` (down to elements that are
+``visibility:visible`` again), what a closed ``details`` holds beside its summary, and
+comments. Blocks start on lines of their own; paragraphs, headings, lists and tables have
+a blank line around them; list items carry a dash or their number and their depth; cells
+of a table are aligned in columns, those with ``colspan`` and ``rowspan`` too; ``pre``
+keeps its white space; ``br`` ends a line.
+
+Null and empty pages give an empty text; an empty table gives an empty result. Markup may
+be broken in any way: what isn't a tag is text. Elements may be nested to any depth, and
+pages may be of any length: both the tree builder and the renderer keep stacks of their
+own. Pages are independent: repeated rows give equal texts; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,16 +48,17 @@ P_SCOPE = set("table td th caption button object template".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-CONCEALED = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I).search
-DEEPEST = 200
-WIDEST_PAD = 60
+CONCEALED = re.compile(r"display\s*:\s*none", re.I).search
+VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I).findall
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "lit")
 
-    def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def __init__(self, tag: str, attributes: str = "", lit: bool = True):
+        self.tag, self.attributes, self.children, self.lit = tag, attributes, [], lit
+        if "visibility" in attributes.lower() and (own := VISIBILITY(self.attribute("style") or "")):
+            self.lit = own[-1].lower() == "visible"  # else as in the element around it
 
     def attribute(self, name: str) -> str | None:
         for m in ATTRIBUTE.finditer(self.attributes):
@@ -88,6 +92,8 @@ def build(source: str) -> Node:
                 return
 
     def add(child: Node | str) -> None:
+        if isinstance(child, str) and not stack[-1].lit:
+            return
         if stack[-1].tag in FRAME and (child.strip() if isinstance(child, str) else child.tag not in INSIDE):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "table":  # an open table is the last child of what holds it
@@ -129,8 +135,8 @@ def build(source: str) -> Node:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in PARTS[tag]:
                     del stack[i + 1 :]
-                    if tag in ("td", "th") and stack[-1].tag != "tr" and any(e.tag == "table" for e in stack) and len(stack) < DEEPEST:
-                        stack[-1].children.append(Node("tr"))
+                    if tag in ("td", "th") and stack[-1].tag != "tr" and any(e.tag == "table" for e in stack):
+                        stack[-1].children.append(Node("tr", lit=stack[-1].lit))
                         stack.append(stack[-1].children[-1])
                     break
                 if stack[i].tag in ("td", "th", "caption", "template", "table"):
@@ -140,7 +146,7 @@ def build(source: str) -> Node:
                 if stack[i].tag == "table":
                     del stack[i:]
                     break
-        node = Node(tag, attributes)
+        node = Node(tag, attributes, stack[-1].lit)
         framed = stack[-1].tag in FRAME
         add(node)
         if tag == "colgroup" or tag == "form" and framed:  # holds nothing
@@ -148,11 +154,11 @@ def build(source: str) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{tag}", re.I).search(source, at)
             body = source[at : end.start()] if end else source[at:]
-            node.children.append(html.unescape(body) if tag == "textarea" else body)
+            if node.lit:
+                node.children.append(html.unescape(body) if tag == "textarea" else body)
             at = source.find(">", end.start()) + 1 or n if end else n
         elif tag not in VOID and not attributes.endswith("/") or tag in BLOCK and tag not in VOID:
-            if len(stack) < DEEPEST:
-                stack.append(node)
+            stack.append(node)
     return root
 
 
@@ -206,29 +212,90 @@ def _rows(table: Node) -> list[list[Node]]:
     return [r for r in out if r]
 
 
-def _lines(node: Node) -> list[str]:
+def _span(cell: Node, name: str, most: int) -> int:
+    found = re.match(r"\s*(\d{1,6})", cell.attribute(name) or "") if name in cell.attributes.lower() else None
+    return max(1, min(most, int(found[1]))) if found else 1
+
+
+def _grid(rows: list[list[tuple[Node, str]]]) -> list[list[tuple[int, int, str]]]:
+    """Cells of each row as (column, columns wide, text), with the places that cells of the rows above take left out."""
+    out, taken = [], {}
+    for row in rows:
+        line, at, below = [], 0, {c: n - 1 for c, n in taken.items() if n > 1}
+        for cell, text in row:
+            while taken.get(at):
+                at += 1
+            wide, high = _span(cell, "colspan", 1000), _span(cell, "rowspan", 65534)
+            line.append((at, wide, text))
+            if high > 1:
+                below |= dict.fromkeys(range(at, at + wide), high - 1)
+            at += wide
+        out.append(line)
+        taken = below
+    return out
+
+
+def _aligned(rows: list[list[tuple[Node, str]]], widest: int) -> list[str]:
+    grid = _grid(rows)
+    widths: dict[int, int] = {}
+    for line in grid:
+        for at, wide, text in line:
+            if wide == 1:
+                widths[at] = min(widest, max(widths.get(at, 0), len(text)))
+    last = max((at for line in grid for at, _, _ in line), default=0)
+    begin = [0]
+    for c in range(last + 1):
+        begin.append(begin[-1] + (widths[c] + 2 if c in widths else 0))
+    out = []
+    for line in grid:
+        shown = ""
+        for at, _, text in line:
+            shown = shown.ljust(max(begin[at], len(shown) + 2 * bool(shown))) + text
+        out.append(shown.rstrip())
+    return out
+
+
+# The functions of the renderer are generators: they yield the call that they wait for, and _run() keeps the stack.
+
+
+def _run(call):
+    stack, value = [call], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            value = end.value
+            stack.pop()
+    return value
+
+
+def _lines(node: Node, widest: int):
     page = _Page()
-    _walk(node, page)
+    yield _walk(node, page, widest)
     page.end_line()
     return page.lines
 
 
-def _walk(node: Node, page: _Page) -> None:
+def _walk(node: Node, page: _Page, widest: int):
     for child in node.children:
         if isinstance(child, str):
             page.text(child)
         elif child.seen():
-            _element(child, page)
+            if child.tag in BLOCK or child.tag in ("br", "img"):
+                yield _element(child, page, widest)
+            else:
+                yield _walk(child, page, widest)
 
 
-def _element(node: Node, page: _Page) -> None:
+def _element(node: Node, page: _Page, widest: int):
     tag = node.tag
     if tag == "br":
         page.end_line(keep_empty=True)
     elif tag == "hr":
         page.space()
     elif tag == "img":
-        page.text(node.attribute("alt") or "")
+        page.text(node.attribute("alt") or "" if node.lit else "")
     elif tag == "pre":
         page.space()
         parts, stack = [], list(reversed(node.children))
@@ -253,48 +320,57 @@ def _element(node: Node, page: _Page) -> None:
                 page.end_line()
                 mark = f"{number}. " if tag == "ol" else "- "
                 number += 1
-                for i, line in enumerate(_lines(child)):
+                for i, line in enumerate((yield _lines(child, widest))):
                     page.put((mark if not i else " " * len(mark)) + line if line else "")
             elif child.seen():
-                _element(child, page)
+                yield _element(child, page, widest)
         page.space()
     elif tag == "table":
         page.space()
         for child in node.children:
             if isinstance(child, Node) and child.tag == "caption" and child.seen():
-                for line in _lines(child):
+                for line in (yield _lines(child, widest)):
                     page.put(line)
-        cells = [[" ".join(filter(None, _lines(cell))) for cell in row] for row in _rows(node)]
-        widths = [min(WIDEST_PAD, max(len(r[i]) for r in cells if i < len(r))) for i in range(max(map(len, cells), default=0))]
-        for row in cells:
-            page.put("  ".join(cell.ljust(widths[i]) for i, cell in enumerate(row)).rstrip())
+        rows = []
+        for row in _rows(node):
+            rows.append([])
+            for cell in row:
+                rows[-1].append((cell, " ".join(filter(None, (yield _lines(cell, widest))))))
+        for line in _aligned(rows, widest):
+            page.put(line)
         inner = {"tr", "tbody", "thead", "tfoot", "caption", "colgroup", "col"}
         for child in node.children:  # what broken markup has put between rows
             if isinstance(child, str):
                 page.text(child)
             elif child.tag not in inner and child.seen():
-                _element(child, page)
+                yield _element(child, page, widest)
         page.space()
     elif tag in SPACED:
         page.space()
-        _walk(node, page)
+        yield _walk(node, page, widest)
         page.space()
+    elif tag == "details" and node.attribute("open") is None:
+        page.end_line()
+        for child in node.children:
+            if isinstance(child, Node) and child.tag == "summary" and child.seen():
+                yield _element(child, page, widest)
+                break
     elif tag in BLOCK:
         page.end_line()
-        _walk(node, page)
+        yield _walk(node, page, widest)
         page.end_line()
     else:
-        _walk(node, page)
+        yield _walk(node, page, widest)
 
 
-def render(source: str | None) -> str:
-    """All visible text of a page."""
-    return "\n".join(_lines(build(source or ""))).strip("\n")
+def render(source: str | None, widest: int = 60) -> str:
+    """All visible text of a page. Columns of tables are as wide as their widest cell, but widest at most: a longer text shifts its row."""
+    return "\n".join(_run(_lines(build(source or ""), widest))).strip("\n")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """``(id, text, n_chars, n_lines)`` of each page."""
+def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", widest: int = 60) -> DataFrame:
+    """``(id, text, n_chars, n_lines)`` of each page; widest as in :func:`render`."""
     small_batches(pages.sparkSession)
     rows = narrow(pages, id=id_col, html=html_col)
     kind = rows.schema["id"].dataType.simpleString()
-    return map_rows(rows, lambda: lambda row: ((row[0], text := render(row[1]), len(text), text.count("\n") + 1 if text else 0),), f"`{id_col}` {kind}, text string, n_chars bigint, n_lines bigint")
+    return map_rows(rows, lambda: lambda row: ((row[0], text := render(row[1], widest), len(text), text.count("\n") + 1 if text else 0),), f"`{id_col}` {kind}, text string, n_chars bigint, n_lines bigint")
