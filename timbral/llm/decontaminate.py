@@ -5,7 +5,9 @@ inside a sentence) and units (behind a number) become typed placeholders, other
 are lower-cased. Windows of eight canonical words are hashed, those of the texts pass a
 bitmap of fixed size that the benchmark's windows fill, and join on the hash. For each
 text and item, the joined windows are taken diagonal by diagonal, those first that cover
-more; a window whose slots contradict the slots taken so far is left out: one value of
+more. Values of the item that stand for several values of the text in turn (for one of them in
+fewer than two thirds of their places), or the other way round, leave only windows without
+them and with the item's own values; then a window whose slots contradict those taken is left out: one value of
 the item must always stand for one value of the text, and the other way round. The text
 is contaminated by the item if the windows left cover ``least_share`` of its words. So a
 question with other numbers or names is found, and prose that merely has the shape isn't.
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, narrow, small_batches
-from .shared import without
+from .shared import without, written
 from .shingles import _FACTORS, _VALUE, mix, powers
 
 # Units that can follow a number.
@@ -182,11 +184,28 @@ def _window_rows(rows: DataFrame, s: Settings, widths: list[int] | None, bitmap)
     return rows.mapInArrow(run, _ROW.format(kind))
 
 
+def _untorn(windows: list[dict]) -> list[dict]:
+    """The windows of a diagonal, if none of its values is torn: stands for one value of the other side in fewer than two thirds
+    of its places. With torn values this is no consistent re-parameterisation, and only what is verbatim and without them counts."""
+    pairs = {m["place"] + i: ab for m in windows for i, ab in enumerate(zip(m["item_slots"], m["slots"])) if ab[0] or ab[1]}
+    torn = []
+    for side in (0, 1):
+        met: dict[int, dict[int, int]] = {}
+        for ab in pairs.values():
+            own = met.setdefault(ab[side], {})
+            own[ab[1 - side]] = own.get(ab[1 - side], 0) + 1
+        torn.append({x for x, own in met.items() if 3 * max(own.values()) < 2 * sum(own.values())})
+    if not any(torn):
+        return windows
+    return [m for m in windows if m["item_slots"] == m["slots"] and torn[0].isdisjoint(m["item_slots"])]
+
+
 def judge(matches: list[dict], s: Settings = Settings()) -> tuple[int, int, int, int]:
     """Words of the item covered by consistent windows, changed slots, first and last word in the text."""
     by_diagonal: dict[int, list[dict]] = {}
     for m in matches:
         by_diagonal.setdefault(m["at"] - m["place"], []).append(m)
+    by_diagonal = {d: whole for d, own in by_diagonal.items() if (whole := _untorn(own))}
     forth: dict[int, int] = {}
     back: dict[int, int] = {}
     taken: list[tuple[dict, set, bool]] = []
@@ -216,12 +235,12 @@ def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(),
     """``(doc id, item id, share, n_covered, n_changed_slots, first_word, last_word)`` of each contaminated text and item."""
     s = settings
     small_batches(docs.sparkSession)
-    items = _window_rows(narrow(benchmark, id=item_col, text=item_text_col), s, None, None).cache()
+    items = written(_window_rows(narrow(benchmark, id=item_col, text=item_text_col), s, None, None))
     size = 1 << s.bitmap_bits
     marks = items.select(F.shiftrightunsigned("hash", 64 - s.bitmap_bits).alias("key")).groupBy(F.expr("key >> 3").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(key & 7 AS int))")).alias("bits"))
     bitmap = np.zeros(size // 8, np.uint8)  # 1 MB, whatever the benchmark is
-    for r in marks.collect():
-        bitmap[r.byte] = r.bits
+    marks = marks.toArrow()
+    bitmap[marks.column(0).to_numpy()] = marks.column(1).to_numpy()
     widths = [r.width for r in items.select("width").distinct().orderBy("width").collect()]
     rows = narrow(docs, id=id_col, text=text_col)
     found = _window_rows(rows, s, widths or [s.window], docs.sparkSession.sparkContext.broadcast(bitmap)).select("id", "at", "hash", "width", "slots")
