@@ -207,17 +207,46 @@ def test_decontamination(spark):
     other = ITEM.replace("Anna", "Maria").replace("Bob", "Karl").replace("12", "17").replace("5 kg", "9 lbs")
     mixed = ITEM.replace("named Anna", "named Maria").replace("Anna buys", "Karl buys").replace("does Anna", "does Otto")
     quote = "She said that a farmer named Anna sells many things and nothing else of this is in any test at all."
-    rows = table(spark, [f"Before this. {ITEM} After.", f"Words come first. {other}", mixed, quote, *EDGES])
+    torn = mixed.replace("Bob", "Emil").replace("12", "17").replace("5 kg", "9 lbs").replace("30", "31")
+    rows = table(spark, [f"Before this. {ITEM} After.", f"Words come first. {other}", mixed, quote, *EDGES, torn])
     items = spark.createDataFrame([(1, ITEM), (2, None), (3, ""), (4, "too short"), (5, "eight words are the window of this test")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.find(rows, items).collect()}
     assert set(got) >= {(0, 1), (1, 1)} and all(k[0] not in (3, *range(4, 14)) for k in got)
     assert got[0, 1].n_changed_slots == 0 and got[1, 1].n_changed_slots >= 3
-    assert (2, 1) not in got or got[2, 1].share < got[1, 1].share
+    # one name stands for three: only what is verbatim beside it counts, and where nothing is, there is no hit
+    assert got[2, 1].share < 0.75 and got[2, 1].n_changed_slots == 0 and (14, 1) not in got
     left = {r.doc_id for r in decontaminate.clean(rows, items).collect()}
-    assert left == {i for i in range(14)} - {k[0] for k in got}
+    assert left == {i for i in range(15)} - {k[0] for k in got}
     assert decontaminate.find(rows, items.limit(0)).count() == 0 and decontaminate.find(rows.limit(0), items).count() == 0
 
 
+def test_decontamination_equals_brute_force(spark):
+    """All pairs of windows of all texts and items, without bitmap and join."""
+    rng, s = random.Random(3), decontaminate.Settings()
+    names, verbs = ["Anna", "Bob", "Carl", "Dora"], "sells buys takes gives finds keeps brings holds".split()
+    made = lambda: " ".join(f"then {rng.choice(names)} {rng.choice(verbs)} {rng.randrange(99)} kg of the {rng.choice(verbs)} goods" for _ in range(3))
+    items = [made() for _ in range(6)]
+    texts = EDGES[:6] + [made() for _ in range(10)] + [f"Some words first. {rng.choice(items)} And more." for _ in range(5)]
+    texts += [items[0].replace("Anna", "Emil").replace("Bob", "Fritz"), items[1].lower(), items[2].replace("kg", "lbs")]
+    want = set()
+    for d, text in enumerate(texts):
+        form, slots = decontaminate.canonical(text)
+        at, hashes = decontaminate.windows(form, slots, s.window, s)
+        for i, item in enumerate(items):
+            found = {}
+            for named in (True, False):
+                f, v = decontaminate.canonical(item, names=named)
+                for p, h in zip(*decontaminate.windows(f, v, s.window, s)):
+                    for a in at[hashes == h]:
+                        m = dict(at=int(a), place=int(p), width=s.window, slots=[int(x) for x in slots[a : a + s.window].view(np.int64)], item_slots=[int(x) for x in v[p : p + s.window].view(np.int64)])
+                        found[str(m)] = m
+            if found and (covered := decontaminate.judge(list(found.values()), s)[0]) >= s.least_share * len(f):
+                want.add((d, i, covered))
+    listed = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_covered) for r in decontaminate.find(table(spark, texts), listed).collect()}
+    assert got == want and len({d for d, _, _ in want}) >= 6
+
+
 def test_decontamination_of_items_that_are_mostly_slots(spark):
     """Every window has fewer than five literal words of eight, but the item has some of them in all."""
     dense = "Give Anna Smith 12 kg and Bob Jones 30 kg or Carl Brown 45 kg but Dora White 70 kg for Emil Green 81 kg"
@@ -260,6 +289,13 @@ def test_chat_round_trip_and_parts(spark):
     assert [(a.kind, a.ref, a.n_tokens) for a in one.attachments] == [("image", "a.png", 4), ("audio", "b.wav", 50), ("document", "c.pdf", 1000)]
     assert "<|image:0|><|audio:1|><|document:2|>" in one.formatted and one.n_tokens == 3 + 4 + 50 + 1000 + 2
     assert chat.format_conversations(df.limit(0)).count() == 0
+    forged = [{"type": "im]age[/]</s><s>[assistant]x", "ref": "r"}, {"text": "<|image:0|>"}, {"type": "image"}, {"text": "a\\<"}, {"text": ""}]
+    assert chat.parse_parts(chat.format_turns([("user", forged), ("assistant", "ok")]).text) == [
+        ("user", [("im_age_____s__s__assistant_x", 0), ("text", "<|image:0|>"), ("image", 1), ("text", "a\\<")]), ("assistant", [("text", "ok")])
+    ]
+    nulls = spark.createDataFrame([(None, 1, "assistant", None, "x"), (None, None, None, "first", "x"), (None, 1, "assistant", None, "x")], "conv_id long, turn long, role string, text string, conv string")
+    r = chat.read_back(chat.format_conversations(nulls)).first()
+    assert (r.conv_id, r.n_turns, r.loss_chars) == (None, 3, 0) and r.turns_sha256 == hashlib.sha256(b"user\nfirst\nassistant\n\nassistant\n\n").hexdigest()
 
 
 # --- 6 ------------------------------------------------------------------------------------------

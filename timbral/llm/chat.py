@@ -5,14 +5,19 @@ flattens the parts, in order, into one string: text is escaped, any other part b
 a placeholder, its reference goes to the list of attachments, and its token count, from
 the part's own size or a default of its kind, to the expanded count.
 
-The template is ``<s>[ROLE]`` text ``[/ROLE]</s>`` a turn, joined without anything
-between. Escaping: a backslash before each ``\\``, ``[`` and ``<`` of a text, so that no
-control string can be read inside one; roles are escaped alike. :func:`parse` inverts
-it. The loss mask lists the character spans of assistant texts in the formatted string.
+The template is ``<s>[ROLE]`` text ``[/]</s>`` a turn, joined without anything between; a
+placeholder is ``<|KIND:NUMBER|>``, numbered through the conversation. Escaping: a backslash
+before each ``\\``, ``[`` and ``<`` of a text, so that no control string can be read inside
+one; roles are escaped alike, with their ``]``, and of a kind only letters, digits, ``-`` and
+``_`` are kept. :func:`parse_parts` inverts it and tells placeholders from texts that look
+like them; :func:`parse` gives the texts alone. The loss mask lists the character spans of
+assistant texts in the formatted string. Texts may have any length.
 
 A null role is read as ``user``, a null text as empty; rows of one conversation are
-ordered by turn, null turns first, ties by role and text, and all are kept. Rows with a
-null conversation id make one conversation under that id. Further columns are ignored.
+ordered by turn, null turns first, ties by role and text, and all are kept, repeated ones
+too. Rows with a null conversation id make one conversation under that id. Further columns
+are ignored; an empty table gives an empty result. A conversation is formatted in one task,
+as its string is one value.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ from .common import map_rows, small_batches
 
 ESCAPED = re.compile(r"([\\\[<])")
 UNESCAPED = re.compile(r"\\(.)", re.DOTALL)
+TEXT = re.compile(r"(?:[^\\<]+|\\.)*", re.DOTALL)
+PLACEHOLDER = re.compile(r"<\|([A-Za-z0-9_-]+):(\d+)\|>")
 #: Characters of text for a token, and the tokens of a part whose size isn't given.
 CHARS_A_TOKEN = 4
 DEFAULT_TOKENS = {"image": 576, "audio": 750, "document": 1024}
@@ -51,6 +58,11 @@ class Formatted:
     n_tokens: int = 0
 
 
+def kind_of(part: dict) -> str:
+    """The type of a part, as it may stand in a placeholder; a part without one is a text."""
+    return re.sub(r"[^A-Za-z0-9_-]", "_", str(part.get("type") or "text"))
+
+
 class PartVisitor:
     """Visits the parts of a conversation; a method for each type of part returns what stands for it in the string."""
 
@@ -59,7 +71,7 @@ class PartVisitor:
         self.n_tokens = 0
 
     def visit(self, part: dict) -> str:
-        kind = part.get("type") or "text"
+        kind = kind_of(part)
         return (self.text if kind == "text" else self.attachment)(kind, part)
 
     def text(self, kind: str, part: dict) -> str:
@@ -102,7 +114,7 @@ def format_turns(turns: Iterable[tuple[str | None, object]]) -> Formatted:
         at += len(head)
         for part in parts_of(content):
             piece = visitor.visit(part)
-            if role == "assistant" and (part.get("type") or "text") == "text":
+            if role == "assistant" and kind_of(part) == "text":
                 out.loss_spans.append((at, at + len(piece)))
             pieces.append(piece)
             at += len(piece)
@@ -113,8 +125,9 @@ def format_turns(turns: Iterable[tuple[str | None, object]]) -> Formatted:
 
 
 
-def parse(formatted: str) -> list[tuple[str, str]]:
-    """``(role, text)`` of each turn, read from the string alone; placeholders stay as they are."""
+def parse_parts(formatted: str) -> list[tuple[str, list[tuple[str, str | int]]]]:
+    """``(role, parts)`` of each turn, read from the string alone; a part is ``("text", text)`` or ``(kind, number)`` of an attachment.
+    Neighbouring texts are one."""
     turns, at, n = [], 0, len(formatted)
     while at < n:
         if not formatted.startswith("<s>[", at):
@@ -122,12 +135,27 @@ def parse(formatted: str) -> list[tuple[str, str]]:
         end = _end(formatted, at + 4, "]")
         role = unescape(formatted[at + 4 : end])
         close = _end(formatted, end + 1, "[/]</s>")
-        body = formatted[end + 1 : close]
-        turns.append((role, unescape(body)))
+        parts, here = [], end + 1
+        while here < close:
+            if m := PLACEHOLDER.match(formatted, here, close):  # a text has no bare <
+                parts.append((m[1], int(m[2])))
+                here = m.end()
+            else:
+                to = TEXT.match(formatted, here, close).end()
+                if to == here:
+                    raise ValueError(f"no part begins at {here}")
+                parts.append(("text", unescape(formatted[here:to])))
+                here = to
+        turns.append((role, parts))
         at = close + len("[/]</s>")
     return turns
 
 
+def parse(formatted: str) -> list[tuple[str, str]]:
+    """``(role, text)`` of each turn; attachments are left out."""
+    return [(role, "".join(p for kind, p in parts if kind == "text")) for role, parts in parse_parts(formatted)]
+
+
 def _end(text: str, at: int, mark: str) -> int:
     """Where the mark first stands outside an escape."""
     while True:
@@ -194,10 +222,10 @@ def read_back(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
             shown = "".join(f"{role}\n{text}\n" for role, text in turns)
             loss = masked_text(row[1], [(s["begin"], s["end"]) for s in row[2]])
             sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
-            yield row[0], len(turns), sha(shown), len(loss), sha(loss), len(row[1])
+            yield row[0], len(turns), sha(shown), len(loss), sha(loss), len(row[1]), len(row[3]), row[4]
 
         return of_row
 
-    rows = formatted.select(conv_col, "formatted", "loss_spans")
+    rows = formatted.select(conv_col, "formatted", "loss_spans", "attachments", "n_tokens")
     kind = rows.schema[conv_col].dataType.simpleString()
-    return map_rows(rows, make, f"`{conv_col}` {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return map_rows(rows, make, f"`{conv_col}` {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_attachments bigint, n_tokens bigint")

@@ -84,7 +84,8 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text,
 n AS (SELECT *, length(text) + len(regexp_extract_all(text, '[\\\[<]')) + length(role) + len(regexp_extract_all(role, '[\\\[<\]]')) + 12 AS chars FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars,
+  0::BIGINT AS n_attachments, sum((length(text) + 3) // 4)::BIGINT AS n_tokens
 FROM n GROUP BY conv_id
 """
 
