@@ -157,6 +157,19 @@ def test_repeats_equal_brute_force(spark, settings):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, settings.length)
 
 
+def test_passages_are_reported_however_short(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 4)))
+    prose = lambda n: [word() for _ in range(n)]
+    shared, less = prose(50), prose(25)
+    texts = [" ".join(prose(rng.randrange(40)) + shared + prose(rng.randrange(40))) for _ in range(20)]
+    texts += [" ".join(prose(60) + less + prose(60)) for _ in range(10)] + [" ".join(prose(80)) for _ in range(10)] + EDGES
+    got = {r.doc_id: r for r in repeats.remove(table(spark, texts), repeats.Settings(length=400), digests=True, passage_words=50).collect()}
+    assert all(got[i].n_passages >= 1 and got[i].n_removed == 0 for i in range(20)) and not any(got[i].n_passages for i in range(20, 40 + len(EDGES)))
+    plain = [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for _, r in sorted(got.items())]
+    assert plain == brute_repeats(texts, 400) and not len(repeats.passage_cores(" ".join(shared[1:]), 50))
+
+
 def test_transform_merge_finds_equal_strings():
     rng = np.random.default_rng(0)
     strings = rng.integers(0, 3, (200, 4)).astype(np.uint64)

@@ -22,7 +22,7 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove(read_table(spark, sf_dir, "documents"), repeats.Settings(length=400), digests=True)
+    return repeats.remove(read_table(spark, sf_dir, "documents"), repeats.Settings(length=400), digests=True, passage_words=50)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

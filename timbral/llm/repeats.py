@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .common import narrow, small_batches
 from .shared import drop, likely_rows, row_key, written
-from .shingles import mix
+from .shingles import mix, word_hashes
 
 _FACTOR = 0xD6E8FEB86659FD93
 _BLOCK = 1 << 15
@@ -341,12 +341,60 @@ def keep(text: bytes, spans: list[tuple[int, int]], length: int) -> tuple[bytes,
     return b"".join(parts), [tuple(r) for r in removed]
 
 
-def remove(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """``(id, n_bytes, n_removed, n_spans)`` of each row, with the ``removed`` runs and the ``kept`` bytes, or with their digest."""
+def passage_cores(text: str | None, words: int) -> np.ndarray:
+    """Fingerprints of the strings of words that stand for passages: each passage of ``words`` words holds one, chosen by the
+    passage alone (the least 4-gram among its first 2/5 of starts), of the 3/5 of its words that follow."""
+    h = word_hashes(text)
+    total, wide = len(h) - words + 1, 2 * words // 5
+    if total <= 0:
+        return np.empty(0, np.uint64)
+    core = words - wide + 1
+    places = total + wide - 1
+    low = (mix(_grams(h, [4])[4][:places]) & ~np.uint64((1 << 28) - 1)) | np.arange(places, dtype=np.uint64)
+    width = 1
+    while 2 * width <= wide:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    low = np.minimum(low[:total], low[wide - width : wide - width + total])
+    return np.unique(_wide(h, core)[np.unique(low & np.uint64((1 << 28) - 1)).astype(np.int64)])
+
+
+def passages(rows: DataFrame, words: int = 50) -> DataFrame:
+    """``(key, n_passages)`` of rows ``(key, text)``: how many of its passage strings another key has, too, if any.
+
+    Every passage of so many words (A-Z lower-cased) that two texts share counts, however few its bytes are; no
+    string of fewer than 3/5 of them does.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [passage_cores(text, words) for text in batch.column(1).to_pylist()]
+            many = list(map(len, found))
+            if sum(many):
+                yield _table("key core", batch.column(0).take(pa.array(np.repeat(np.arange(len(many)), many))), np.concatenate(found).view(np.int64))
+
+    cores = written(rows.select("key", "text").mapInArrow(run, "key long, core long"))
+    shared = written(cores.groupBy("core").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("core"))
+    counted = written(cores.join(shared, "core", "left_semi").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_passages")))
+    drop(cores, shared)
+    return counted
+
+
+def remove(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", digests: bool = False, passage_words: int | None = None) -> DataFrame:
+    """``(id, n_bytes, n_removed, n_spans)`` of each row, with the ``removed`` runs and the ``kept`` bytes, or with their digest.
+
+    passage_words adds ``n_passages``: passages of so many words that other rows hold, too, which are reported
+    whether or not they have the bytes to be removed; see :func:`passages`.
+    """
     small_batches(docs.sparkSession)
     rows = narrow(docs, id=id_col, text=text_col).withColumn("key", row_key("id", "text"))
     kind = rows.schema["id"].dataType.simpleString()
     spans = _intervals(narrow(rows, id="key", text="text"), settings, "bigint").withColumnRenamed("id", "key")
+    if passage_words:
+        spans = written(spans.join(passages(rows, passage_words), "key", "full_outer"))
+    else:
+        spans = spans.withColumn("n_passages", F.lit(0).cast("long"))
+    more = "n_passages" if passage_words else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,14 +406,15 @@ def remove(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_
                 out.append((*line, hashlib.sha256(kept).hexdigest()) if digests else (*line, [{"begin": a, "end": b} for a, b in removed], kept))
             types = (pa.int64(),) * 3 + ((pa.string(),) if digests else (pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.binary()))
             names = "id n_bytes n_removed n_spans " + ("kept_sha256" if digests else "removed kept")
-            yield _table(names, batch.column(0), *(pa.array(list(c), t) for c, t in zip(zip(*out), types))) if out else _table(names, batch.column(0), *(pa.array([], t) for t in types))
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types]
+            yield _table(names + f" {more}" * bool(more), batch.column(0), *columns, *[batch.column(3).fill_null(0)] * bool(more))
 
-    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digests else "removed array<struct<begin: long, end: long>>, kept binary")
+    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digests else "removed array<struct<begin: long, end: long>>, kept binary") + ", n_passages long" * bool(more)
     # Rows without repeats stay where they are read; only those with some are shuffled to meet their runs.
     touched = spans.select("key")
     likely = likely_rows(rows, touched, "key")
-    changed = likely.join(spans, "key", "left").select("id", "text", "spans")
-    rest = likely_rows(rows, touched, "key", unlikely=True).select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    changed = likely.join(spans, "key", "left").select("id", "text", "spans", "n_passages")
+    rest = likely_rows(rows, touched, "key", unlikely=True).select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), F.lit(0).cast("long").alias("n_passages"))
     return changed.mapInArrow(run, schema).unionByName(rest.mapInArrow(run, schema)).withColumnRenamed("id", id_col)
 
 
