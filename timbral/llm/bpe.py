@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_rows, narrow, small_batches
+from .common import map_rows, narrow, small_batches, tidy
 
 
 #: Tokens whose bytes the streaming decoder takes at once where a whole text is decoded.
@@ -44,7 +44,7 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """Encodes one word (a match of the splitting pattern) at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 40_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.next: dict[int, int] = {}  # trie: node * 256 + byte -> node
@@ -92,7 +92,7 @@ class Transducer:
                 known = self.merge(self.bytes_of[token]) == (token,)
             else:
                 known = self.follows(-1, token) and self.merge(self.bytes_of[before] + self.bytes_of[token]) == (before, token)
-            if len(self.fits) > 4 * self.max_states:
+            if len(self.fits) > 2 * self.max_states:
                 self.fits.clear()
             self.fits[key] = known
         return known
@@ -164,7 +164,7 @@ class Transducer:
 class _Words(dict):
     """Encodings of short words that were met before, in two generations: a full young one replaces the old one."""
 
-    def __init__(self, transducer: Transducer, most: int = 100_000):
+    def __init__(self, transducer: Transducer, most: int = 60_000):
         super().__init__()
         self.transducer, self.most, self.old = transducer, most, {}
 
@@ -354,7 +354,7 @@ def replace_text(docs: DataFrame, path: str, pattern: str, text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(data.value, pattern)
-        for batch in batches:
+        for batch in (whole.slice(i, 40) for whole in batches for i in range(0, whole.num_rows, 40)):  # ids as Python lists take much room
             texts = [t or "" for t in batch.column(at).to_pylist()]
             ids = [tokenizer.encode(t) for t in texts]
             same = ["".join(tokenizer.decode_stream(i, FED_AT_ONCE)) == t for t, i in zip(texts, ids)]
@@ -362,4 +362,4 @@ def replace_text(docs: DataFrame, path: str, pattern: str, text_col: str = "text
             made = [pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns + made, names=[f.name for f in rest] + ["ids", "n_tokens", "round_trip"])
 
-    return docs.mapInArrow(run, T.StructType([*rest, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*rest, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())]))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, narrow, small_batches
+from .common import map_rows, narrow, small_batches, tidy
 from .shared import without, written
 from .shingles import _FACTORS, _VALUE, mix, powers
 
@@ -181,7 +181,7 @@ def _window_rows(rows: DataFrame, s: Settings, widths: list[int] | None, bitmap)
                 types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *(pa.array(c, t) for c, t in zip(zip(*out), types))], names=["id", "at", "hash", "n_words", "width", "slots"])
 
-    return rows.mapInArrow(run, _ROW.format(kind))
+    return rows.mapInArrow(tidy(run), _ROW.format(kind))
 
 
 def _untorn(windows: list[dict]) -> list[dict]:

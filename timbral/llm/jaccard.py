@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import narrow, small_batches
+from .common import narrow, small_batches, tidy
 from .shared import components, drop, likely_rows, row_key, without, written
 from .shingles import in_common, shingle_set
 
@@ -105,7 +105,7 @@ def _survey(rows: DataFrame, s: Settings) -> tuple[DataFrame, np.ndarray, np.nda
             none = [None] * (len(hot) + 1)
             yield table(pa.array(none, kept), pa.array(none, pa.int64()), none, none, np.append(hot, -1).tolist(), np.append(counts[hot], total).tolist())
 
-    both = written(rows.mapInArrow(count, f"id {kind}, key long, entity long, n int, bucket long, count long"))
+    both = written(rows.mapInArrow(tidy(count), f"id {kind}, key long, entity long, n int, bucket long, count long"))
     found = both.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("n")).collect()
     total = next((r.n for r in found if r.bucket < 0), 0)
     table = np.zeros(size, np.uint8)
@@ -157,7 +157,7 @@ def _prefix_rows(rows: DataFrame, table: np.ndarray, others: np.ndarray, s: Sett
                 deal = np.where(known, token ^ (entity * np.int64(0x2545F4914F6CDD1D)), token)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (deal, token, entity, info, known)], names=["deal", "token", "entity", "info", "wide"])
 
-    return rows.mapInArrow(run, "deal long, token long, entity long, info long, wide boolean")
+    return rows.mapInArrow(tidy(run), "deal long, token long, entity long, info long, wide boolean")
 
 
 def _prefixes(rows: DataFrame, table: np.ndarray, others: np.ndarray, s: Settings) -> DataFrame:
@@ -247,7 +247,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, first: DataFrame, s: Settings)
                 mask.append(s.linked(in_common(one, other), len(one), len(other)))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(mask, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    links = written(joined.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"))
+    links = written(joined.select("a", "b", "text_a", "text_b").mapInArrow(tidy(verify), "a long, b long"))
     drop(pairs, keys)
     return links
 

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_rows, narrow, small_batches
+from .common import map_rows, narrow, small_batches, tidy
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 SYMBOLS = re.compile(r"[#*$%&|<>]").findall
@@ -161,5 +161,5 @@ def filter_documents(docs: DataFrame, rules: Rules = Rules(), text_col: str = "t
                 columns[chars_at] = pa.array([len(t) for t in texts], batch.schema[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, small_batches
+from .common import narrow, small_batches, tidy
 from .shared import drop, likely_rows, row_key, written
 from .shingles import mix, word_hashes
 
@@ -210,7 +210,7 @@ def _places(rows: DataFrame, s: Settings, kind: str) -> DataFrame:
                 ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(many)), many)))
                 yield _table("id core place low high", ids, core.view(np.int64), place.astype(np.int32), low.astype(np.int32), high.astype(np.int32))
 
-    return rows.mapInArrow(run, f"id {kind}, core long, place int, low int, high int")
+    return rows.mapInArrow(tidy(run), f"id {kind}, core long, place int, low int, high int")
 
 
 def _on_contexts(places: DataFrame, rows: DataFrame, names: str, types: tuple, make, s: Settings) -> DataFrame:
@@ -231,7 +231,7 @@ def _on_contexts(places: DataFrame, rows: DataFrame, names: str, types: tuple, m
                     yield _table(names, *(pa.array(c, t) for c, t in zip(zip(*out), types)))
 
     spark = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
-    return joined.mapInArrow(run, ", ".join(f"{n} {spark[t]}" for n, t in zip(names.split(), types)))
+    return joined.mapInArrow(tidy(run), ", ".join(f"{n} {spark[t]}" for n, t in zip(names.split(), types)))
 
 
 def _mark(data: bytes, seed: int = 0) -> int:
@@ -269,7 +269,7 @@ def _merged(contexts: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
         if held and (done := flush(held)) is not None:
             yield done
 
-    return dealt.mapInArrow(run, "core long, mark long, before int, after int, first int, last int")
+    return dealt.mapInArrow(tidy(run), "core long, mark long, before int, after int, first int, last int")
 
 
 def _counted(contexts: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
@@ -373,7 +373,7 @@ def passages(rows: DataFrame, words: int = 50) -> DataFrame:
             if sum(many):
                 yield _table("key core", batch.column(0).take(pa.array(np.repeat(np.arange(len(many)), many))), np.concatenate(found).view(np.int64))
 
-    cores = written(rows.select("key", "text").mapInArrow(run, "key long, core long"))
+    cores = written(rows.select("key", "text").mapInArrow(tidy(run), "key long, core long"))
     shared = written(cores.groupBy("core").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("core"))
     counted = written(cores.join(shared, "core", "left_semi").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_passages")))
     drop(cores, shared)
@@ -415,7 +415,7 @@ def remove(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_
     likely = likely_rows(rows, touched, "key")
     changed = likely.join(spans, "key", "left").select("id", "text", "spans", "n_passages")
     rest = likely_rows(rows, touched, "key", unlikely=True).select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), F.lit(0).cast("long").alias("n_passages"))
-    return changed.mapInArrow(run, schema).unionByName(rest.mapInArrow(run, schema)).withColumnRenamed("id", id_col)
+    return changed.mapInArrow(tidy(run), schema).unionByName(rest.mapInArrow(tidy(run), schema)).withColumnRenamed("id", id_col)
 
 
 def on_characters(data: bytes, removed: list[tuple[int, int]]) -> str:
@@ -457,4 +457,4 @@ def clean(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
                 columns[chars_at] = pa.array([None if t is None else len(t) for t in texts], batch.schema[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return likely_rows(keyed, spans.select("__key"), "__key", unlikely=True).drop("__key").unionByName(touched.mapInArrow(run, docs.schema))
+    return likely_rows(keyed, spans.select("__key"), "__key", unlikely=True).drop("__key").unionByName(touched.mapInArrow(tidy(run), docs.schema))
