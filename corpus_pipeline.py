@@ -55,7 +55,7 @@ STAGES = [
     ("byte-level bpe", tokens),
 ]
 
-#: No stage but the first could be said in SQL; tests compare run() with a brute-force version.
+#: No stage but the first could be said in SQL; tests compare the first two stages with brute force, the others by operator.
 ORACLE_SQL = None
 
 
