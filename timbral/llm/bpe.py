@@ -44,7 +44,7 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """Encodes one word (a match of the splitting pattern) at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 40_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.next: dict[int, int] = {}  # trie: node * 256 + byte -> node
@@ -164,7 +164,7 @@ class Transducer:
 class _Words(dict):
     """Encodings of short words that were met before, in two generations: a full young one replaces the old one."""
 
-    def __init__(self, transducer: Transducer, most: int = 60_000):
+    def __init__(self, transducer: Transducer, most: int = 250_000):
         super().__init__()
         self.transducer, self.most, self.old = transducer, most, {}
 
