@@ -19,7 +19,6 @@ byte pieces into text by a state machine that holds at most three pending bytes.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import itertools
 from collections.abc import Iterable, Iterator
@@ -164,7 +163,7 @@ class Transducer:
 class _Words(dict):
     """Encodings of short words that were met before, in two generations: a full young one replaces the old one."""
 
-    def __init__(self, transducer: Transducer, most: int = 250_000):
+    def __init__(self, transducer: Transducer, most: int = 120_000):
         super().__init__()
         self.transducer, self.most, self.old = transducer, most, {}
 
@@ -266,8 +265,8 @@ class ByteBPE:
             yield piece
 
 
-@functools.lru_cache(maxsize=2)
 def _tokenizer(data: bytes, pattern: str) -> ByteBPE:
+    """One for each task: Spark hands tasks to its idle Python workers in turn, and kept tables would add up over all of them."""
     return ByteBPE(parse_ranks(data), pattern)
 
 

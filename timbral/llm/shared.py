@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. In local mode (as in tests) it may be unset; on a cluster it must not be."""
@@ -73,7 +75,7 @@ def likely_rows(rows: DataFrame, ids: DataFrame, id_col: str = "id", bits: int |
             mask = pa.array(((known.value[at >> 6] >> (at & 63)) & 1).astype(bool) ^ unlikely)
             yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
 
-    return rows.select("*", place.alias("__place")).mapInArrow(pick, rows.schema)
+    return rows.select("*", place.alias("__place")).mapInArrow(tidy(pick), rows.schema)
 
 
 def without(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
