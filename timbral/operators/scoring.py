@@ -17,12 +17,12 @@ def mean_vector(df: DataFrame, emb: str, *keys: str) -> DataFrame:
 
 
 def attach(trials: DataFrame, vectors: DataFrame, emb: str = "emb", on_missing: str = "error") -> DataFrame:
-    """Trials ``(enroll, test)`` with both vectors, of ``(utt, emb)``. A trial without a vector fails the job, or (drop) goes."""
+    """Trials ``(enroll, test)`` with both vectors, of ``(utt, emb)``. A trial without a vector fails the job, or (drop) goes, or (keep) has a null."""
     how = "inner" if on_missing == "drop" else "left"
     left = vectors.select(F.col("utt").alias("enroll"), F.col(emb).alias("enroll_emb"))
     right = vectors.select(F.col("utt").alias("test"), F.col(emb).alias("test_emb"))
     joined = trials.join(left, "enroll", how).join(right, "test", how)
-    if on_missing == "drop":
+    if on_missing in ("drop", "keep"):
         return joined
     for side in ("enroll", "test"):
         lacks = F.raise_error(F.concat(F.lit(f"no vector of {side} "), F.coalesce(F.col(side).cast("string"), F.lit("null"))))
@@ -30,11 +30,11 @@ def attach(trials: DataFrame, vectors: DataFrame, emb: str = "emb", on_missing:
     return joined
 
 
-def cosine_scores(trials: DataFrame, vectors: DataFrame, mean: DataFrame | None = None, scale: str = "raw") -> DataFrame:
-    """Trials with ``score``, after subtraction of the one mean if it is given."""
+def cosine_scores(trials: DataFrame, vectors: DataFrame, mean: DataFrame | None = None, scale: str = "raw", on_missing: str = "error") -> DataFrame:
+    """Trials with ``score``, after subtraction of the one mean if it is given; on_missing as in :func:`attach`."""
     if mean is not None:
         vectors = vectors.crossJoin(F.broadcast(mean)).select("utt", vec.minus(F.col("emb"), F.col("mean")).alias("emb"))  # one row
-    joined = attach(trials, vectors)
+    joined = attach(trials, vectors, on_missing=on_missing)
     return joined.withColumn("score", vec.cosine(F.col("enroll_emb"), F.col("test_emb"), scale)).drop("enroll_emb", "test_emb")
 
 

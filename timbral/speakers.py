@@ -29,8 +29,7 @@ class Speakers:
 
     def similarity(self, trials: DataFrame, embeddings: DataFrame) -> DataFrame:
         """Scores from 0 to 1 of ``(enroll, test)``; 0 where one has no embedding."""
-        found = scoring.cosine_scores(trials, embeddings, scale="unit")
-        return trials.join(found.select("enroll", "test", "score"), ["enroll", "test"], "left").fillna({"score": 0.0})
+        return scoring.cosine_scores(trials, embeddings, scale="unit", on_missing="keep").fillna({"score": 0.0})
 
     def register(self, named: DataFrame) -> None:
         """Adds ``(name, emb)``; a name that is there is replaced."""
