@@ -423,6 +423,16 @@ def test_bpe_equals_the_library(spark, encoding):
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_bpe_pairs_that_stay_apart_are_those_that_plain_merging_keeps():
+    own, rng = bpe.load(RANKS, PATTERN).transducer, random.Random(3)
+    low = list(own.bytes_of)[:9000]
+    short = [rank for rank, token in own.bytes_of.items() if len(token) <= 3]
+    for _ in range(20_000):
+        a, b = rng.choice(short), rng.choice(short if rng.random() < 0.5 else low)
+        assert own.apart(a, b) == (own.merge(own.bytes_of[a] + own.bytes_of[b]) == (a, b))
+    assert all(own.follows(-1, rank) == (own.merge(own.bytes_of[rank]) == (rank,)) for rank in short)
+
+
 def test_utf8_stream_replaces_as_python_does():
     rng = random.Random(3)
     for _ in range(2000):

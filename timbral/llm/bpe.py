@@ -65,6 +65,7 @@ class Transducer:
                 node = self.next[key]
             self.token_at[node] = rank
         self.fits: dict[int, bool] = {}
+        self.parts: dict[int, tuple[int, ...]] = {}  # of tokens, so no more than the vocabulary
         self.reset()
 
     def reset(self) -> None:
@@ -72,25 +73,46 @@ class Transducer:
         self.states, self.ids = [start], {start: 0}
         self.moves: dict[int, tuple[int, int]] = {}
 
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Plain merging by rank; used on single tokens and pairs of tokens only."""
+    def merge(self, piece: bytes, left: int = 1) -> tuple[int, ...]:
+        """Plain merging by rank until so many parts are left, or none merge; used on single tokens only."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
+        while len(parts) > left:
             rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
             if rank == 1 << 60:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return tuple(self.ranks[p] for p in parts)
 
+    def halves(self, token: int) -> tuple[int, ...]:
+        """The two tokens whose merge made this one; itself, if it is a byte; more, if its own bytes never become it."""
+        known = self.parts.get(token)
+        if known is None:
+            known = self.parts[token] = self.merge(self.bytes_of[token], 2)
+        return known
+
+    def apart(self, before: int, token: int) -> bool:
+        """Whether no merge crosses the border of the two, seen backwards: the later merge of both is undone again and again.
+        What faces each other before it would have merged instead if its rank is lower, or equal and further left."""
+        limit = 1 << 60
+        while True:
+            if self.ranks.get(self.bytes_of[before] + self.bytes_of[token], limit) < limit:
+                return False
+            left, right = self.halves(before), self.halves(token)
+            if len(left) == 2 and (len(right) == 1 or before > token):
+                limit, before = before, left[1]
+            elif len(right) == 2:
+                limit, token = token + 1, right[0]
+            else:
+                return True
+
     def follows(self, before: int, token: int) -> bool:
         """Whether the two tokens are the encoding of their joined bytes (before -1: whether the token is its own)."""
-        key = (before + 1) << 32 | token
+        if before < 0:
+            return len(self.halves(token)) <= 2
+        key = before << 32 | token
         known = self.fits.get(key)
         if known is None:
-            if before < 0:
-                known = self.merge(self.bytes_of[token]) == (token,)
-            else:
-                known = self.follows(-1, token) and self.merge(self.bytes_of[before] + self.bytes_of[token]) == (before, token)
+            known = self.follows(-1, token) and self.apart(before, token)
             if len(self.fits) > 2 * self.max_states:
                 self.fits.clear()
             self.fits[key] = known
