@@ -34,6 +34,9 @@ from .common import map_rows, narrow, small_batches, tidy
 #: Tokens whose bytes the streaming decoder takes at once where a whole text is decoded.
 FED_AT_ONCE = 512
 
+#: Tables of a tokenizer in a task that holds nothing else: some 200 MB, and a fifth less time than with the defaults, which take 160.
+WIDE = {"max_words": 300_000, "max_states": 200_000}
+
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
     """The lines ``base64 rank`` of a rank file."""
@@ -185,7 +188,7 @@ class Transducer:
 class _Words(dict):
     """Encodings of short words that were met before, in two generations: a full young one replaces the old one."""
 
-    def __init__(self, transducer: Transducer, most: int = 120_000):
+    def __init__(self, transducer: Transducer, most: int):
         super().__init__()
         self.transducer, self.most, self.old = transducer, most, {}
 
@@ -268,10 +271,10 @@ class Utf8Stream:
 class ByteBPE:
     """A tokenizer: a splitting pattern and a rank table."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_words: int = 120_000, max_states: int = 100_000):
+        self.transducer = Transducer(ranks, max_states)
         self.split = regex.compile(pattern).findall
-        self.words = _Words(self.transducer)
+        self.words = _Words(self.transducer, max_words)
         self.bytes_of = self.transducer.bytes_of
 
     def encode(self, text: str | None) -> list[int]:
@@ -287,9 +290,9 @@ class ByteBPE:
             yield piece
 
 
-def _tokenizer(data: bytes, pattern: str) -> ByteBPE:
+def _tokenizer(data: bytes, pattern: str, **sizes: int) -> ByteBPE:
     """One for each task: Spark hands tasks to its idle Python workers in turn, and kept tables would add up over all of them."""
-    return ByteBPE(parse_ranks(data), pattern)
+    return ByteBPE(parse_ranks(data), pattern, **sizes)
 
 
 def load(path: str, pattern: str) -> ByteBPE:
@@ -344,7 +347,7 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "
     data = _shared(docs, path)
 
     def make():
-        tokenizer = _tokenizer(data.value, pattern)
+        tokenizer = _tokenizer(data.value, pattern, **WIDE)
         names = {rank: str(rank) for rank in tokenizer.bytes_of}
 
         def of_row(row):
