@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, jaccard, licenses, quality, repeats, toxicity, warc
+from . import bpe, chat, codes, decontaminate, html, imatch, infill, jaccard, licenses, quality, repeats, toxicity, warc
 from .common import read_table
 
 
@@ -138,9 +138,76 @@ FROM met
 """
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut at lines, half of the texts suffix first, and read back."""
+    cut = infill.transform(read_table(spark, sf_dir, "documents"), infill.Settings())
+    digest = lambda c: F.sha2(c, 256)
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(infill.restored(infill.Settings())).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, [('0x' || substr(h, 8 * i + 1, 8))::UBIGINT::BIGINT FOR i IN range(0, 4)] AS k FROM d),
+c AS (SELECT *, len(u) AS n, least(k[1] % (len(u) + 1), k[2] % (len(u) + 1)) AS a, greatest(k[1] % (len(u) + 1), k[2] % (len(u) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR k[3] % 100 >= 100 THEN 'plain' WHEN k[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+x AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM x
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(read_table(spark, sf_dir, "embeddings"), codes.Settings(parts=8, entries=16, rounds=6, scale=4096))
+
+
+def _op12_sql(rounds: int) -> str:
+    """Each round is two steps: the nearest entry of each part, then the floored means."""
+    d = "list_sum(list_transform(range(1, 9), lambda j: (v[j] - c[j]) * (v[j] - c[j])))"
+    steps = [f"""r AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT rid, k AS part, v[8 * k + 1:8 * k + 8] AS v FROM r, (SELECT unnest(range(0, 8)) AS k)),
+c0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, v AS c FROM p WHERE rid <= 16)"""]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT rid, part, any_value(v) AS v, min({d}::BIGINT * 16 + entry) AS x FROM p JOIN c{i} USING (part) GROUP BY rid, part)")
+        if i < rounds:
+            steps.append(f"""m{i} AS (SELECT part, entry, list(floor(total / n)::BIGINT ORDER BY pos) AS c FROM (SELECT part, x % 16 AS entry, pos, sum(v[pos])::DOUBLE AS total, count(*) AS n FROM a{i}, (SELECT unnest(range(1, 9)) AS pos) GROUP BY 1, 2, 3) GROUP BY part, entry),
+c{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (part, entry))""")
+    return f"""WITH {", ".join(steps)},
+b AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(range(1, 9)) AS pos, unnest(c) AS x FROM c{rounds})),
+e AS (SELECT rid, string_agg(printf('%02x', x % 16), '' ORDER BY part) AS code, sum(x // 16)::BIGINT AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM e JOIN r USING (rid), b"""
+
+
+def op13_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = {c: F.round(c, 9) for c in ("near_edited", "near_next")}
+    return imatch.against_edited(read_table(spark, sf_dir, "documents"), imatch.Settings()).withColumns(near)
+
+
+OP13_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id) AS i, count(*) OVER () AS total FROM documents),
+n AS MATERIALIZED (SELECT a.i, a.doc_id, a.t, left(a.t, length(a.t) - length(a.t) // 2) || left(b.t, length(a.t) // 2) AS e, b.i AS j FROM d a JOIN d b ON b.i = a.i % a.total + 1),
+v AS (SELECT i, 0 AS version, t AS text FROM n UNION ALL SELECT i, 1, e FROM n),
+w AS MATERIALIZED (SELECT i, version, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+'))) AS term FROM v),
+l AS (SELECT term FROM w WHERE version = 0 GROUP BY term HAVING count(*) * 10 <= (SELECT count(*) FROM d) AND count(*) * 2000 >= (SELECT count(*) FROM d)),
+h AS (SELECT term, s, g, sha256(term || ' ' || s || ' ' || g) AS digits FROM l, (SELECT unnest(range(0, 3)) AS s), (SELECT unnest(range(0, 2)) AS g)),
+m AS MATERIALIZED (SELECT term, 0 AS k FROM l UNION ALL
+  SELECT term, 1 + s * 32 + 16 * g + k FROM h, (SELECT unnest(range(0, 16)) AS k) WHERE ('0x' || substr(digits, 4 * k + 1, 4))::INTEGER < 65536 // (CASE s WHEN 0 THEN 16 WHEN 1 THEN 128 ELSE 1024 END)),
+g AS MATERIALIZED (SELECT i, version, k, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 4) AS sig FROM w JOIN m USING (term) GROUP BY i, version, k),
+f AS MATERIALIZED (SELECT i, version, string_agg(coalesce(sig, '----'), '' ORDER BY k) AS fp FROM (SELECT i, version, k FROM (SELECT DISTINCT i, version FROM v), (SELECT unnest(range(0, 97)) AS k)) LEFT JOIN g USING (i, version, k) GROUP BY i, version),
+x AS (SELECT n.i, n.doc_id, n.t, n.e, a.fp AS a, b.fp AS b, c.fp AS c FROM n JOIN f a ON a.i = n.i AND a.version = 0 JOIN f b ON b.i = n.i AND b.version = 1 JOIN f c ON c.i = n.j AND c.version = 0),
+y AS (SELECT *, list_filter([{'x': substr(a, 4 * k + 1, 4), 'y': substr(b, 4 * k + 1, 4)} FOR k IN range(0, 97)], lambda p: p.x <> '----' OR p.y <> '----') AS ab,
+  list_filter([{'x': substr(a, 4 * k + 1, 4), 'y': substr(c, 4 * k + 1, 4)} FOR k IN range(0, 97)], lambda p: p.x <> '----' OR p.y <> '----') AS ac FROM x)
+SELECT doc_id, length(t) AS n_chars, sha256(e) AS edited_sha256, a AS fingerprint, b AS edited_fingerprint,
+  round(CASE WHEN len(ab) = 0 THEN 1 ELSE len(list_filter(ab, lambda p: p.x = p.y)) / len(ab) END, 9)::DOUBLE AS near_edited,
+  round(CASE WHEN len(ac) = 0 THEN 1 ELSE len(list_filter(ac, lambda p: p.x = p.y)) / len(ac) END, 9)::DOUBLE AS near_next
+FROM y
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op5_chat_format": OP5_SQL, "op10_warc_revisits": OP10_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op5_chat_format": OP5_SQL, "op10_warc_revisits": OP10_SQL, "op11_infill": OP11_SQL, "op12_vector_codes": _op12_sql(6), "op13_imatch": OP13_SQL}
