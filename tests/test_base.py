@@ -215,6 +215,7 @@ def test_streams_equal_batches(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame(frames[20 * k : 20 * k + 20], "utt string, frame long, p double, last boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("utt string, frame long, p double, last boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    windows.use_timers(spark)
     q = windows.speech_stream(stream).writeStream.format("memory").queryName("spans").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()

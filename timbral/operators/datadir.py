@@ -10,6 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import pinned
+from .prefix import numbered, running_before
+
 
 def filter_ids(df: DataFrame, ids: DataFrame, key: str, exclude: bool = False) -> DataFrame:
     """Rows whose key is (exclude: is not) among the first column of ids."""
@@ -54,6 +57,29 @@ def consistent(tables: dict[str, DataFrame], key: str) -> dict[str, DataFrame]:
     return {name: t.join(common, key, "left_semi") for name, t in tables.items()}
 
 
+def closed(tables: dict[str, DataFrame], keys: tuple[str, ...] = ("utt", "spk", "rec")) -> dict[str, DataFrame]:
+    """The largest parts of the tables in which each key of each level stands in all tables that have a column of that level.
+
+    A table may have several levels, as one of utterances with their speakers and recordings: a recording that is lost takes its
+    utterances along, they the speakers that have no other one, and so on, until a round of semi-joins drops nothing. Rows with a
+    null key go. Each round is written, so that the plan does not grow with the number of rounds.
+    """
+    now = {name: pinned(t) for name, t in tables.items()}
+    sizes = {name: t.count() for name, t in now.items()}
+    while True:
+        for key in keys:
+            holders = [name for name, t in now.items() if key in t.columns]
+            if len(holders) > 1:
+                common = pinned(reduce(lambda a, b: a.join(b, key, "left_semi"), (now[name].select(key).distinct() for name in holders)))
+                now |= {name: now[name].join(common, key, "left_semi").select(now[name].columns) for name in holders}
+            elif holders:
+                now[holders[0]] = now[holders[0]].where(F.col(key).isNotNull())
+        now = {name: pinned(t) for name, t in now.items()}
+        before, sizes = sizes, {name: t.count() for name, t in now.items()}
+        if sizes == before:
+            return now
+
+
 def combine(sources: list[dict[str, DataFrame]]) -> dict[str, DataFrame]:
     """Unions of the tables that all sources have."""
     names = set.intersection(*(set(s) for s in sources))
@@ -74,9 +100,9 @@ def hashed(key: Column, seed: str) -> Column:
 
 def groups_up_to(df: DataFrame, group: str, n: int, seed: str) -> DataFrame:
     """Whole groups, in hash order, as long as the rows before a group are fewer than n."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(hashed(F.col(group), seed), group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(sizes.withColumn("__before", before).where(F.col("__before") < n).select(group), group, "left_semi")
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    before = running_before(sizes, "n", hashed(F.col(group), seed), group)
+    return df.join(before.where(F.col("before") < n).select(group), group, "left_semi")
 
 
 def least_members(df: DataFrame, group: str, n: int) -> DataFrame:
@@ -86,7 +112,7 @@ def least_members(df: DataFrame, group: str, n: int) -> DataFrame:
 
 def dense_ids(df: DataFrame, name: str, out: str = "id") -> DataFrame:
     """``(name, id)``: 0 to N - 1 in the order of the distinct names."""
-    return df.select(name).distinct().withColumn(out, (F.row_number().over(Window.orderBy(name)) - 1).cast("long"))
+    return numbered(df.select(name).distinct(), name, out=out)
 
 
 def copies(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -115,8 +141,9 @@ def calibration_trials(utts: DataFrame, short: tuple[float, float], long: float,
     u = u.join(both, "spk", "left_semi")
     ranked = u.withColumn("rank", F.row_number().over(Window.partitionBy("spk", "kind").orderBy(hashed(F.col("utt"), seed), "utt")))
     firsts = ranked.where("rank = 1").groupBy("spk").agg(F.max(F.when(F.col("kind") == "short", F.col("utt"))).alias("short"), F.max(F.when(F.col("kind") == "long", F.col("utt"))).alias("long"))
-    order = Window.orderBy(hashed(F.col("spk"), seed), "spk")
-    drawn = firsts.withColumn("at", F.row_number().over(order)).withColumn("other", F.lead("long").over(order)).where(F.col("at") <= n)
+    placed = pinned(numbered(firsts, hashed(F.col("spk"), seed), "spk"))
+    following = placed.select((F.col("at") - 1).alias("at"), F.col("long").alias("other"))
+    drawn = placed.where(F.col("at") < n).join(following, "at", "left")
     pairs = F.inline(F.array(F.struct(F.col("short").alias("enroll"), F.col("long").alias("test"), F.lit("target").alias("label")), F.struct(F.col("short").alias("enroll"), F.col("other").alias("test"), F.lit("nontarget").alias("label"))))
     return drawn.select(pairs).where("test IS NOT NULL")
 

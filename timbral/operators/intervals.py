@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -136,53 +134,69 @@ def elementary(ref: DataFrame, hyp: DataFrame, key: str = "utt", collar: float =
     return out
 
 
+def best_assignment(gain: np.ndarray) -> np.ndarray:
+    """The column of each row, all different, with the largest sum; gain has at least as many columns as rows.
+
+    Rows are placed one by one, each on the cheapest path of exchanges with those before it. Prices of rows and columns keep
+    every step's cost from being negative, so that the cheapest path is found as in a graph of distances: n * n * m steps.
+    """
+    rows, columns = gain.shape
+    cost = gain.max(initial=0.0) - gain
+    row_price, column_price, owner = np.zeros(rows), np.zeros(columns), np.full(columns, -1)
+    for new in range(rows):
+        reach, came, settled = np.full(columns, np.inf), np.full(columns, -1), np.zeros(columns, bool)
+        row, column, so_far = new, -1, 0.0
+        while True:
+            step = so_far + cost[row] - row_price[row] - column_price
+            nearer = ~settled & (step < reach)
+            reach[nearer], came[nearer] = step[nearer], column
+            column = int(np.argmin(np.where(settled, np.inf, reach)))
+            so_far = reach[column]
+            if owner[column] < 0:
+                break
+            settled[column] = True
+            row = owner[column]
+        slack = so_far - reach[settled]
+        row_price[owner[settled]] += slack
+        column_price[settled] -= slack
+        row_price[new] += so_far
+        while column >= 0:
+            owner[column] = owner[came[column]] if came[column] >= 0 else new
+            column = came[column]
+    out = np.full(rows, -1)
+    out[owner[owner >= 0]] = np.flatnonzero(owner >= 0)
+    return out
+
+
 def best_mapping(weights: dict[tuple[str, str], float]) -> dict[str, str]:
-    """System labels to reference labels, one to one, of the largest common time: exact up to eight labels of a side, greedy with swaps beyond."""
+    """System labels to reference labels, one to one, of the largest common time, for any number of labels. Weights aren't negative."""
     refs, hyps = sorted({r for r, _ in weights}), sorted({h for _, h in weights})
-    if min(len(refs), len(hyps)) <= 8 and max(len(refs), len(hyps)) <= 8:
-        small, large, turn = (hyps, refs, False) if len(hyps) <= len(refs) else (refs, hyps, True)
-        gain = lambda a, b: weights.get((a, b) if turn else (b, a), 0.0)
-        best = max(permutations(large, len(small)), key=lambda p: sum(gain(a, b) for a, b in zip(small, p)))
-        return {(b if turn else a): (a if turn else b) for a, b in zip(small, best)}
-    out: dict[str, str] = {}
-    for (r, h), _ in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
-        if h not in out and r not in out.values():
-            out[h] = r
-    changed = True
-    while changed:
-        changed = False
-        for a in out:
-            for b in out:
-                if a < b:
-                    now = weights.get((out[a], a), 0) + weights.get((out[b], b), 0)
-                    if weights.get((out[b], a), 0) + weights.get((out[a], b), 0) > now + 1e-12:
-                        out[a], out[b], changed = out[b], out[a], True
-    return out
+    gain = np.array([[weights.get((r, h), 0.0) for h in hyps] for r in refs], float).reshape(len(refs), len(hyps))
+    if len(refs) <= len(hyps):
+        return {hyps[c]: r for r, c in zip(refs, best_assignment(gain).tolist())}
+    return {h: refs[c] for h, c in zip(hyps, best_assignment(gain.T).tolist())}
 
 
 def diarization_error(ref: DataFrame, hyp: DataFrame, key: str = "utt", collar: float = 0.25, slot: float = 10.0) -> DataFrame:
-    """``(key, scored, miss, false_alarm, confusion, der)`` with the best label mapping of each recording."""
-    spans = elementary(ref, hyp, key, collar, slot)
+    """``(key, scored, miss, false_alarm, confusion, der)`` with the best label mapping of each recording.
+
+    Times are sums over spans. What one task sees of a recording is the common time of each pair of its labels, not its spans.
+    """
+    spans = elementary(ref, hyp, key, collar, slot).withColumn("d", F.col("end") - F.col("begin"))
     kind = ref.schema[key].dataType.simpleString()
+    r, h = F.size("ref"), F.size("hyp")
+    times = spans.groupBy(key).agg(*(F.sum(F.col("d") * n).alias(name) for name, n in (("scored", r), ("miss", F.greatest(r - h, F.lit(0))), ("false_alarm", F.greatest(h - r, F.lit(0))), ("both", F.least(r, h)))))
+    pairs = spans.select(key, "d", "hyp", F.explode("ref").alias("r")).select(key, "d", "r", F.explode("hyp").alias("h"))
+    common = pairs.groupBy(key, "r", "h").agg(F.sum("d").alias("w"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        weights: dict[tuple[str, str], float] = {}
-        rows = [(b - a, set(r), set(h)) for a, b, r, h in zip(pdf["begin"], pdf["end"], pdf["ref"], pdf["hyp"])]
-        for d, r, h in rows:
-            for x in r:
-                for y in h:
-                    weights[x, y] = weights.get((x, y), 0.0) + d
-        to = best_mapping(weights) if weights else {}
-        scored = miss = alarm = confusion = 0.0
-        for d, r, h in rows:
-            right = sum(to.get(y) in r for y in h)
-            scored += d * len(r)
-            miss += d * max(0, len(r) - len(h))
-            alarm += d * max(0, len(h) - len(r))
-            confusion += d * (min(len(r), len(h)) - right)
-        return pd.DataFrame([(pdf[key].iloc[0], scored, miss, alarm, confusion, (miss + alarm + confusion) / scored if scored else 0.0)], columns=[key, "scored", "miss", "false_alarm", "confusion", "der"])
-
-    return spans.groupBy(key).applyInPandas(run, f"{key} {kind}, scored double, miss double, false_alarm double, confusion double, der double")
+        weights = dict(zip(zip(pdf["r"], pdf["h"]), pdf["w"]))
+        return pd.DataFrame([(pdf[key].iloc[0], sum(weights.get((b, a), 0.0) for a, b in best_mapping(weights).items()))], columns=[key, "right"])
+
+    right = common.groupBy(key).applyInPandas(run, f"{key} {kind}, right double")
+    confusion = F.greatest(F.col("both") - F.coalesce("right", F.lit(0.0)), F.lit(0.0))
+    out = times.join(right, key, "left").select(key, "scored", "miss", "false_alarm", confusion.alias("confusion"))
+    return out.withColumn("der", F.when(F.col("scored") > 0, (F.col("miss") + F.col("false_alarm") + F.col("confusion")) / F.col("scored")).otherwise(0.0))
 
 
 def rttm_line(key: str = "utt", begin: str = "begin", end: str = "end", label: str = "label") -> Column:

@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.prefix import numbered
+from . import ranges
+
 _SHAPES = {b"FV": ("<f4", 1), b"DV": ("<f8", 1), b"FM": ("<f4", 2), b"DM": ("<f8", 2)}
 
 
@@ -42,16 +45,8 @@ def archive_record(key: str, array: np.ndarray) -> bytes:
 
 
 def read_archives(spark: SparkSession, path: str, matrix: bool = False) -> DataFrame:
-    """``(utt, emb)``, or ``(utt, feat)`` of matrices, of all archives at the path."""
-    name, kind = ("feat", "array<array<double>>") if matrix else ("emb", "array<double>")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for content in pdf["content"]:
-                rows = [(k, v.astype(float).tolist()) for k, v in parse_archive(bytes(content))]
-                yield pd.DataFrame(rows, columns=["utt", name])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, f"utt string, {name} {kind}")
+    """``(utt, emb)``, or ``(utt, feat)`` of matrices, of all archives at the path, read by byte ranges."""
+    return ranges.read_archives(spark, path, matrix=matrix)
 
 
 def pack_archives(df: DataFrame, column: str = "emb") -> DataFrame:
@@ -117,27 +112,8 @@ def decode_waves(df: DataFrame, content: str = "content", on_error: str = "drop"
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """``(shard, key, members map<suffix, bytes>)``: members with a common name before the last dot are one row; a group with a broken member goes."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for shard, content in zip(pdf["path"], pdf["content"]):
-                groups: dict[str, dict | None] = {}
-                with tarfile.open(fileobj=io.BytesIO(bytes(content))) as tar:
-                    for member in tar:
-                        if member.isfile() and "." in member.name:
-                            key, suffix = member.name.rsplit(".", 1)
-                            try:
-                                data = tar.extractfile(member).read()
-                                if len(data) != member.size:
-                                    raise tarfile.ReadError("short member")
-                                if (own := groups.setdefault(key, {})) is not None:
-                                    own[suffix] = data
-                            except (tarfile.TarError, OSError):
-                                groups[key] = None
-                yield pd.DataFrame([(shard, k, m) for k, m in groups.items() if m], columns=["shard", "key", "members"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "shard string, key string, members map<string, binary>")
+    """``(shard, run, key, members map<suffix, bytes>)`` of tar files, read by byte ranges; see :func:`ranges.read_shards`."""
+    return ranges.read_shards(spark, path)
 
 
 def pack_shards(df: DataFrame, per_shard: int = 1000) -> DataFrame:
@@ -159,9 +135,8 @@ def pack_shards(df: DataFrame, per_shard: int = 1000) -> DataFrame:
 
 
 def pick_random(store: DataFrame, df: DataFrame, key: str, seed: str) -> DataFrame:
-    """Each row with one blob ``(data)`` of the store ``(key, data)``, chosen by a hash of its key."""
+    """Each row with one blob ``(data)`` of the store ``(key, data)``, chosen by a hash of its key. Keys are numbered without their blobs."""
     n = store.count()
-    from pyspark.sql import Window
-
-    numbered = store.select(F.col("key").alias("blob_key"), "data", (F.row_number().over(Window.orderBy("key")) - 1).alias("__at"))
-    return df.withColumn("__at", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(n))).join(numbered, "__at").drop("__at")
+    places = numbered(store.select(F.col("key").alias("blob_key")), "blob_key", out="__at")
+    chosen = df.withColumn("__at", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(n))).join(places, "__at").drop("__at")
+    return chosen.join(store.select(F.col("key").alias("blob_key"), "data"), "blob_key")
