@@ -137,6 +137,12 @@ def brute_prints(rows, s):
     return mark
 
 
+def alike(a, b):
+    pairs = [(a[i : i + 4], b[i : i + 4]) for i in range(0, len(a), 4)]
+    met = [x == y for x, y in pairs if (x, y) != ("----", "----")]
+    return sum(met) / len(met) if met else 1.0
+
+
 @pytest.mark.parametrize("most_terms", [1 << 19, 3])
 def test_fingerprints_against_edited_texts(spark, most_terms):
     rng = random.Random(4)
@@ -148,13 +154,13 @@ def test_fingerprints_against_edited_texts(spark, most_terms):
     for (i, t), (_, n) in zip(ordered, ordered[1:] + ordered[:1]):
         t, n = t or "", n or ""
         e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
-        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), mark(t), mark(e), round(imatch.alike(mark(t), mark(e)), 9), round(imatch.alike(mark(t), mark(n)), 9)))
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), mark(t), mark(e), round(alike(mark(t), mark(e)), 9), round(alike(mark(t), mark(n)), 9)))
     df = clashing(spark, rows, "doc_id long, text string").repartition(6)
     got = [(*r[:5], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in imatch.against_edited(df, s).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next").collect()]
     assert sorted(got) == sorted(want)
     prints = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprints(df, settings=s).collect()}
     assert prints == {i: mark(t) for i, t in rows} and prints[7000] == prints[7001]
-    assert imatch.alike("----" * 3, "----" * 3) == 1.0 and imatch.alike("aaaa----bbbb", "aaaa----cccc") == 0.5
+    assert imatch.alike(["----"] * 3, ["----"] * 3) == 1.0 and imatch.alike(["aaaa", "----", "bbbb"], ["aaaa", "----", "cccc"]) == 0.5
 
 
 def test_fingerprints_of_odd_tables(spark):

@@ -13,10 +13,10 @@ empty signatures only, and two such fingerprints are equal (likeness 1). Repeate
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -24,10 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, narrow, small_batches, tidy
-from .shared import written
+from .shared import free_shuffles, written
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = {i: i + 32 for i in range(65, 91)}
 #: Hexadecimal digits of a signature, and what stands for none.
 DIGITS, EMPTY = 4, "----"
 #: Different words that a task counts before it hands them on.
@@ -58,28 +56,29 @@ class Settings:
         return 1 + self.subsets * len(self.scales)
 
 
-def distinct_terms(text: str | None) -> set[str]:
-    return set(WORD.findall((text or "").translate(LOWER)))
+def distinct_terms(text: str | None) -> set[bytes]:
+    """Words in UTF-8, whose order is that of their code points; lower() and split() of bytes know ASCII only."""
+    return set((text or "").encode("utf-8", "surrogatepass").lower().split())
 
 
-def memberships(term: str, s: Settings) -> tuple[int, ...]:
+def memberships(term: bytes, s: Settings) -> tuple[int, ...]:
     """The subsets that a term is in; number 0 has all."""
     found = [0]
     for i, scale in enumerate(s.scales):
         for j in range(s.subsets // 16):
-            digits = hashlib.sha256(f"{term} {i} {j}".encode("utf-8", "surrogatepass")).hexdigest()
+            digits = hashlib.sha256(term + f" {i} {j}".encode()).hexdigest()
             found += [1 + i * s.subsets + 16 * j + k for k in range(16) if int(digits[4 * k : 4 * k + 4], 16) < 65536 // scale]
     return tuple(found)
 
 
 class Signer:
-    """Fingerprints of sets of terms. Memberships are made once for each term that occurs, at most ``held`` of them."""
+    """Signatures of sets of terms. Memberships are made once for each term that occurs, at most ``held`` of them."""
 
     def __init__(self, settings: Settings, held: int = HELD) -> None:
         self.settings, self.held, self.known = settings, held, {}
 
-    def __call__(self, terms: Iterator[str] | set[str]) -> str:
-        subsets: list[list[str]] = [[] for _ in range(self.settings.size)]
+    def __call__(self, terms: Iterable[bytes]) -> list[str]:
+        subsets: list[list[bytes]] = [[] for _ in range(self.settings.size)]
         for term in sorted(terms):
             at = self.known.get(term)
             if at is None:
@@ -88,14 +87,14 @@ class Signer:
                 at = self.known[term] = memberships(term, self.settings)
             for k in at:
                 subsets[k].append(term)
-        return "".join(hashlib.md5(" ".join(x).encode("utf-8", "surrogatepass")).hexdigest()[:DIGITS] if x else EMPTY for x in subsets)
+        return [md5(b" ".join(x)).hexdigest()[:DIGITS] if x else EMPTY for x in subsets]
 
 
-def alike(a: str, b: str) -> float:
+def alike(a: list[str], b: list[str]) -> float:
     """The share of equal signatures among the subsets of which a or b has a term; 1 if neither has any."""
-    pairs = [(a[i : i + DIGITS], b[i : i + DIGITS]) for i in range(0, len(a), DIGITS)]
-    met = [x == y for x, y in pairs if x != EMPTY or y != EMPTY]
-    return sum(met) / len(met) if met else 1.0
+    equal = [x for x, y in zip(a, b) if x == y]
+    met = len(a) - equal.count(EMPTY)
+    return (len(equal) - equal.count(EMPTY)) / met if met else 1.0
 
 
 def likeness(a: str, b: str, settings: Settings = Settings()) -> Column:
@@ -108,14 +107,14 @@ def likeness(a: str, b: str, settings: Settings = Settings()) -> Column:
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(term, n)`` over all rows. Tasks add up what they have, so that little is shuffled."""
+    """``(term, n)`` over all rows, terms in UTF-8. Tasks add up what they have, so that little is shuffled."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        counts: Counter[bytes] = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array([*counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
             counts.clear()
             return out
 
@@ -127,7 +126,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if counts:
             yield flush()
 
-    found = narrow(docs, text=text_col).mapInArrow(tidy(run), "term string, n long")
+    found = narrow(docs, text=text_col).mapInArrow(tidy(run), "term binary, n long")
     return found.groupBy("term").agg(F.sum("n").alias("n"))
 
 
@@ -138,7 +137,7 @@ def lexicon(docs: DataFrame, settings: Settings = Settings(), text_col: str = "t
     return written(document_frequencies(docs, text_col).where(inside).select("term"))
 
 
-def _chooser(terms: DataFrame, settings: Settings) -> Callable[[], Callable[[set[str]], set[str]]] | None:
+def _chooser(terms: DataFrame, settings: Settings) -> Callable[[], Callable[[set[bytes]], set[bytes]]] | None:
     """What narrows a set of terms to the lexicon in a task, or None if the lexicon is too large to go to all tasks."""
     if terms.count() > settings.most_terms:
         return None
@@ -155,7 +154,7 @@ def _signed(rows: DataFrame, terms: DataFrame, settings: Settings, columns: dict
 
     def make():
         sign = Signer(settings)
-        return lambda row: [(row[0], row[1], sign(row[2]))]
+        return lambda row: [(row[0], row[1], "".join(sign(row[2])))]
 
     made = map_rows(met, make, "__row long, out string, fingerprint string").groupBy("__row").pivot("out", list(columns.values())).agg(F.first("fingerprint"))
     none = EMPTY * settings.size
@@ -171,12 +170,12 @@ def fingerprints(docs: DataFrame, terms: DataFrame | None = None, settings: Sett
     rows = narrow(docs, id=id_col, text=text_col)
     chooser = _chooser(terms, settings)
     if chooser is None:
-        sets = map_rows(rows, lambda: lambda row: [(row[0], sorted(distinct_terms(row[1])))], f"`{id_col}` {kind}, __terms array<string>")
+        sets = map_rows(rows, lambda: lambda row: [(row[0], sorted(distinct_terms(row[1])))], f"`{id_col}` {kind}, __terms array<binary>")
         return _signed(sets, terms, settings, {"__terms": "fingerprint"})
 
     def make():
         choose, sign = chooser(), Signer(settings)
-        return lambda row: [(row[0], sign(choose(distinct_terms(row[1]))))]
+        return lambda row: [(row[0], "".join(sign(choose(distinct_terms(row[1])))))]
 
     return map_rows(rows, make, f"`{id_col}` {kind}, fingerprint string")
 
@@ -198,10 +197,11 @@ def against_edited(docs: DataFrame, settings: Settings = Settings(), id_col: str
     small_batches(docs.sparkSession)
     terms = lexicon(docs, settings, text_col)
     chooser = _chooser(terms, settings)
+    free_shuffles(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_chars long, edited_sha256 string"
     if chooser is None:
-        payload = "own_terms array<string>, edited_terms array<string>, next_terms array<string>"
+        payload = "own_terms array<binary>, edited_terms array<binary>, next_terms array<binary>"
     else:
         payload = "fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -219,8 +219,8 @@ def against_edited(docs: DataFrame, settings: Settings = Settings(), id_col: str
             own, made = last[1], edited(text, following)
             new = mark(made)
             last[:] = [following, own if following == text else mark(following)]
-            head = (key, len(text), hashlib.sha256(made.encode("utf-8", "surrogatepass")).hexdigest(), own, new)
-            return (*head, alike(own, new), alike(own, last[1])) if sign else (*head, last[1])
+            head = (key, len(text), hashlib.sha256(made.encode("utf-8", "surrogatepass")).hexdigest())
+            return (*head, "".join(own), "".join(new), alike(own, new), alike(own, last[1])) if sign else (*head, own, new, last[1])
 
         return pair
 
@@ -252,7 +252,7 @@ def against_edited(docs: DataFrame, settings: Settings = Settings(), id_col: str
         if before is not None:
             yield batch_of([(before[0], *blanks, "last", place, before[1])])
 
-    scratch = written(dealt.mapInArrow(tidy(run), full))
+    scratch = written(dealt.mapInArrow(tidy(run), full), compression="zstd")
     ranges = sorted(row["range"] for row in scratch.where("role = 'last'").select("range").collect())  # one row a range
     following = docs.sparkSession.createDataFrame(list(zip(ranges, ranges[1:] + ranges[:1])), "range int, other int")
     lasts = scratch.where("role = 'last'").select(F.col(f"`{id_col}`").alias("id"), "text", "range")

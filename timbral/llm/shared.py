@@ -24,16 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or f"{tempfile.gettempdir()}/timbral-scratch").rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files go when the driver collects its garbage, which this asks for."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def written(df: DataFrame, compression: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs a reread only.
 
-    Shuffle files go when the driver collects its garbage; that is asked for here, as the table replaces them.
+    Shuffle files that the table replaces are freed.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/timbral-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
+    free_shuffles(spark)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
     return table
