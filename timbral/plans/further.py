@@ -184,7 +184,7 @@ def speech_with_timers(spark, sf):
     windows.use_timers(spark)
     e = table(spark, sf, "events").select(F.col("user_id").alias("utt"), "event_id", (F.col("value") / 100).alias("p"))
     place = F.row_number().over(prefix.Window.partitionBy("utt").orderBy("event_id")) - 1
-    frames = e.withColumn("frame", place.cast("long")).withColumn("ts", F.timestamp_millis(F.col("frame") * 96)).select("utt", "frame", "p", "ts")
+    frames = e.withColumn("frame", place.cast("long")).withColumn("ts", F.timestamp_millis(1_700_000_000_000 + F.col("frame") * 96)).select("utt", "frame", "p", "ts")
     later = spark.range(1).select(F.lit(-1).cast("long").alias("utt"), F.lit(0).cast("long").alias("frame"), F.lit(0.0).alias("p"), F.timestamp_seconds(F.lit(4_000_000_000)).alias("ts"))
     source, spans, progress = (shared_folder(spark) for _ in range(3))
     frames.unionByName(later).write.parquet(source)
