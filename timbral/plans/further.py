@@ -61,7 +61,7 @@ def _closure_sql(rounds: int = 9) -> str:
                 now[name] += 1
                 tests = " AND ".join(f"{key} IN (SELECT {key} FROM {other}_{before[other]})" for other in holders if other != name)
                 steps.append(f"{name}_{now[name]} AS MATERIALIZED (SELECT * FROM {name}_{before[name]} WHERE {tests})")
-    parts = " UNION ALL ".join(f"SELECT '{n}' AS name, {', '.join(k + '::BIGINT AS ' + k if k in keys else 'NULL::BIGINT AS ' + k for k in ('utt', 'spk', 'rec'))} FROM {n}_{now[n]}" for n, (keys, _) in CLOSURE.items())
+    parts = " UNION ALL ".join(f"SELECT '{n}' AS name, {', '.join(k + '::BIGINT AS ' + k if k in keys else '-1::BIGINT AS ' + k for k in ('utt', 'spk', 'rec'))} FROM {n}_{now[n]}" for n, (keys, _) in CLOSURE.items())
     return f"WITH {', '.join(steps)} {parts}"
 
 
@@ -78,8 +78,9 @@ def _closure_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 
 @query(_closure_sql())
 def fix_data_dir_closure(spark, sf):
+    """All rows that stay, by table; -1 stands for a level that a table lacks."""
     fixed = datadir.closed(_closure_tables(spark, sf))
-    one = lambda name, t: t.select(F.lit(name).alias("name"), *(F.col(k).cast("long") if k in t.columns else F.lit(None).cast("long").alias(k) for k in ("utt", "spk", "rec")))
+    one = lambda name, t: t.select(F.lit(name).alias("name"), *(F.col(k).cast("long") if k in t.columns else F.lit(-1).cast("long").alias(k) for k in ("utt", "spk", "rec")))
     parts = [one(name, t) for name, t in fixed.items()]
     out = parts[0]
     for part in parts[1:]:
