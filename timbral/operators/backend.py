@@ -7,11 +7,12 @@ to the driver is of the size of one D x D matrix (one per class size for the cla
 from __future__ import annotations
 
 import shlex
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,27 @@ def moments(df: DataFrame, emb: str = "emb") -> tuple[int, np.ndarray, np.ndarra
     return df.count(), parts[:d], parts[d:].reshape(d, d)
 
 
+def mapped(df: DataFrame, f: Callable[[np.ndarray], np.ndarray], column: str = "emb") -> DataFrame:
+    """df with the vectors of a column replaced by f of a batch of them, a matrix; a null vector stays. What f holds goes to all tasks: the size of a model."""
+    others = [F.col(c) if c != column else vec.as_double(F.col(c)).alias(c) for c in df.columns]
+    rows = df.select(*others)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i = batch.schema.get_field_index(column)
+            known = batch.column(i).is_valid().to_numpy(zero_copy_only=False)
+            n = int(known.sum())
+            if n:
+                x = batch.column(i).drop_null().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+                out = np.ascontiguousarray(f(x), dtype=float)
+                starts = np.append(np.cumsum(known) - known, n) * out.shape[1]
+                offsets = pa.array(starts.astype(np.int32), mask=np.append(~known, False))
+                batch = batch.set_column(i, column, pa.ListArray.from_arrays(offsets, pa.array(out.ravel())))
+            yield batch
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 @dataclass
 class ClassStats:
     """total: within plus between scatter; for each class size, the number of classes, the sum and the scatter of their means."""
@@ -126,6 +148,11 @@ class Plda:
         square = F.aggregate(F.zip_with(out, weights, lambda x, w: x * x * w), F.lit(0.0), lambda s, x: s + x)
         return vec.times(out, F.sqrt(F.lit(float(len(self.psi))) / square))
 
+    def transformed_rows(self, x: np.ndarray) -> np.ndarray:
+        """As :meth:`transformed`, for the rows of a matrix."""
+        out = x @ self.transform.T + self.offset
+        return out * np.sqrt(len(self.psi) / (out * out / (self.psi + 1)).sum(1, keepdims=True)) if self.normalise_length else out
+
     def to_row(self, spark) -> DataFrame:
         """The model as a table of one row."""
         row = (self.mean.tolist(), self.transform.tolist(), self.psi.tolist(), self.normalise_length)
@@ -183,8 +210,8 @@ def adapt_plda(plda: Plda, df: DataFrame, emb: str = "emb", between_scale: float
 
 def plda_scores(plda: Plda, trials: DataFrame, enroll: DataFrame, test: DataFrame, multisession: bool = True) -> DataFrame:
     """Log-likelihood ratios of trials; enroll ``(utt, emb, n)`` holds means over n utterances (n counts as 1 unless multisession)."""
-    e = enroll.select(F.col("utt").alias("enroll"), plda.transformed(F.col("emb")).alias("e"), (F.col("n") if multisession else F.lit(1)).alias("n"))
-    t = test.select(F.col("utt").alias("test"), plda.transformed(F.col("emb")).alias("t"))
+    e = mapped(enroll.select(F.col("utt").alias("enroll"), F.col("emb").alias("e"), (F.col("n") if multisession else F.lit(1)).alias("n")), plda.transformed_rows, "e")
+    t = mapped(test.select(F.col("utt").alias("test"), F.col("emb").alias("t")), plda.transformed_rows, "t")
     return trials.join(e, "enroll").join(t, "test").withColumn("score", scoring.plda_llr(F.col("e"), F.col("t"), plda.psi.tolist(), F.col("n"))).drop("e", "t", "n")
 
 
@@ -196,33 +223,44 @@ class Link:
 
 
 def parse_chain(text: str) -> list[Link]:
-    """Links of ``"mean-subtract --scp x | length-norm | lda --dim 64"``."""
+    """Links of ``"mean-subtract --scp x | length-norm | lda --dim=64"``."""
     links = []
     for part in text.split("|"):
         words = shlex.split(part)
         if words:
-            options = {words[i].lstrip("-"): words[i + 1] for i in range(1, len(words) - 1, 2)}
+            spread = [x for w in words[1:] for x in (w.split("=", 1) if w.startswith("--") else [w])]
+            options = {spread[i].lstrip("-"): spread[i + 1] for i in range(0, len(spread) - 1, 2)}
             links.append(Link(words[0], options))
     return links
 
 
+def fit_link(link: Link, rows: DataFrame, label: str = "spk") -> Link:
+    """The link with values fitted on rows ``(label, emb)``."""
+    if link.method == "mean-subtract":
+        n, total, _ = moments(rows)
+        link.values["mean"] = (total / n).tolist()
+    elif link.method == "whitening":
+        n, total, square = moments(rows)
+        values, vectors = floored_eigh(square / n - np.outer(total / n, total / n))
+        link.values |= {"mean": (total / n).tolist(), "columns": (vectors / np.sqrt(values)).T.tolist()}
+    elif link.method == "lda":
+        stats = class_stats(rows, label)
+        link.values |= {"mean": stats.mean.tolist(), "columns": fit_lda(stats, int(link.options["dim"])).T.tolist()}
+    elif link.method != "length-norm":
+        raise ValueError(f"no link is called {link.method}")
+    return link
+
+
+def through(links: list[Link], df: DataFrame, label: str = "spk", emb: str = "emb") -> DataFrame:
+    """``(label, emb)`` of df behind the links."""
+    return chained(df.select(label, F.col(emb).alias("emb")), links)
+
+
 def fit_chain(text: str, df: DataFrame, label: str = "spk", emb: str = "emb") -> list[Link]:
     """Each link is fitted on vectors that went through the links before it."""
-    links, rows = parse_chain(text), df.select(label, F.col(emb).alias("emb"))
-    for link in links:
-        if link.method == "mean-subtract":
-            n, total, _ = moments(rows)
-            link.values["mean"] = (total / n).tolist()
-        elif link.method == "whitening":
-            n, total, square = moments(rows)
-            values, vectors = floored_eigh(square / n - np.outer(total / n, total / n))
-            link.values |= {"mean": (total / n).tolist(), "columns": (vectors / np.sqrt(values)).T.tolist()}
-        elif link.method == "lda":
-            stats = class_stats(rows, label)
-            link.values |= {"mean": stats.mean.tolist(), "columns": fit_lda(stats, int(link.options["dim"])).T.tolist()}
-        elif link.method != "length-norm":
-            raise ValueError(f"no link is called {link.method}")
-        rows = rows.select(label, apply_link(link, F.col("emb")).alias("emb"))
+    links = parse_chain(text)
+    for i, link in enumerate(links):
+        fit_link(link, through(links[:i], df, label, emb), label)
     return links
 
 
@@ -237,3 +275,18 @@ def apply_chain(links: list[Link], v: Column) -> Column:
     for link in links:
         v = apply_link(link, v)
     return v
+
+
+def chained(df: DataFrame, links: list[Link], column: str = "emb") -> DataFrame:
+    """df with the vectors of a column behind the links, batch by batch; for matrices that are too large to be written as expressions."""
+
+    def run(x: np.ndarray) -> np.ndarray:
+        for link in links:
+            if link.method == "length-norm":
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            else:
+                x = x - np.asarray(link.values["mean"])
+                x = x @ np.asarray(link.values["columns"]).T if "columns" in link.values else x
+        return x
+
+    return mapped(df, run, column) if links else df
