@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import intervals, metrics, scoring
-from .sources import binary, text_tables
+from .operators import intervals, metrics, scoring, signal
+from .sources import binary, lists, ranges, text_tables
+from .speakers import Speakers
 
 
 def _vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -30,8 +32,42 @@ def score(spark, a) -> None:
 
 def norm(spark, a) -> None:
     cohort = _vectors(spark, a.cohort).select(F.col("utt").alias("name"), "emb")
-    out = scoring.normalised(_scores(spark, a.scores), scoring.cohort_stats(_vectors(spark, a.embeddings), cohort, a.top_n or None))
-    text_tables.write_lines(out, a.out, "enroll", "test", "norm_score", "label", "enroll_mean", "test_mean")
+    vectors = _vectors(spark, a.embeddings)
+    out = scoring.with_magnitudes(scoring.normalised(_scores(spark, a.scores), scoring.cohort_stats(vectors, cohort, a.top_n or None)), vectors)
+    four = [F.format_string("%.4f", F.col(c)) for c in ("enroll_mag", "test_mag", "enroll_mean", "test_mean")]
+    text_tables.write_lines(out, a.out, "enroll", "test", "norm_score", "label", *four)
+
+
+def _speakers(spark: SparkSession, a) -> tuple[Speakers, DataFrame]:
+    """The model (an ONNX file, or ``module:function``, which makes a function of a feature matrix) and the recordings of a list of files."""
+    module, colon, name = a.model.rpartition(":")
+    if colon and module.isidentifier() and not a.model.endswith(".onnx"):
+        model = getattr(importlib.import_module(module), name)
+    else:
+        model = spark.read.format("binaryFile").load(a.model).select("content").first().content
+    waves = lists.with_waves(text_tables.read_scp(spark, a.waves).select(F.col("key").alias("utt"), F.col("value").alias("wav")), vad=None)
+    return Speakers(model, a.rate), signal.at_rate(waves, a.rate).select("utt", "samples")
+
+
+def embed(spark, a) -> None:
+    """Vectors of all recordings as archives below out, and their index in out/index."""
+    speakers, recordings = _speakers(spark, a)
+    written = ranges.write_archives(speakers.embeddings(recordings), a.out)
+    text_tables.write_lines(written, f"{a.out}/index", F.concat(F.col("key"), F.lit(" "), F.col("path"), F.lit(":"), F.col("offset").cast("string")))
+
+
+def similarity(spark, a) -> None:
+    """A score from 0 to 1 for each line ``enroll test`` of trials."""
+    speakers, recordings = _speakers(spark, a)
+    out = speakers.similarity(text_tables.read_table(spark, a.trials, "enroll string, test string"), speakers.embeddings(recordings))
+    text_tables.write_lines(out, a.out, "enroll", "test", "score")
+
+
+def diarize(spark, a) -> None:
+    """Turns as RTTM lines, of the speech segments of all recordings."""
+    speakers, recordings = _speakers(spark, a)
+    turns = speakers.diarize(text_tables.read_segments(spark, a.segments).select("utt", "begin", "end"), recordings)
+    text_tables.write_lines(turns, a.out, intervals.rttm_line(begin="turn_begin", end="turn_end"))
 
 
 def measure(spark, a) -> None:
@@ -52,6 +88,9 @@ TASKS = {
     "score": (score, ["trials", "embeddings", "out"], {"mean_of": ""}),
     "norm": (norm, ["scores", "embeddings", "cohort", "out"], {"top_n": 300}),
     "measure": (measure, ["scores"], {"p_target": 0.01}),
+    "embed": (embed, ["waves", "model", "out"], {"rate": 16000}),
+    "similarity": (similarity, ["waves", "model", "trials", "out"], {"rate": 16000}),
+    "diarize": (diarize, ["waves", "model", "segments", "out"], {"rate": 16000}),
     "turns": (turns, ["labels", "out"], {}),
     "der": (der, ["reference", "hypothesis"], {"collar": 0.25}),
 }

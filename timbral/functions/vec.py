@@ -71,6 +71,11 @@ def poincare_distance(a: Column, b: Column) -> Column:
     return F.acosh(1 + 2 * dot(d, d) / ((1 - dot(a, a)) * (1 - dot(b, b))))
 
 
+def to_ball(v: Column, curvature: float = 1.0, eps: float = 1e-5) -> Column:
+    """v, shortened to just below the radius of the ball of that curvature where it is longer."""
+    return times(v, F.least((1 - eps) / curvature**0.5 / F.greatest(norm(v), F.lit(eps)), F.lit(1.0)))
+
+
 def margin_logit(cos: Column, is_class: Column, kind: str = "aam", margin: float = 0.2, scale: float = 32.0) -> Column:
     """Logits of margin softmax: aam adds the margin to the angle, am subtracts it from the cosine."""
     if kind == "am":

@@ -86,6 +86,14 @@ def combine(sources: list[dict[str, DataFrame]]) -> dict[str, DataFrame]:
     return {n: reduce(lambda a, b: a.unionByName(b), (s[n] for s in sources)) for n in sorted(names)}
 
 
+def cut_to(tables: dict[str, DataFrame], keep: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a data directory cut to a list of keys (one column: utt, spk or rec), and then to what is left of all levels."""
+    key = keep.columns[0]
+    if not any(key in t.columns for t in tables.values()):
+        raise ValueError(f"no table has {key}")
+    return closed({n: t.join(keep.select(key).distinct(), key, "left_semi").select(t.columns) if key in t.columns else t for n, t in tables.items()})
+
+
 def spread_per_group(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
     """At most n rows of each group, at an even stride that is as wide as the group allows."""
     w = Window.partitionBy(group)

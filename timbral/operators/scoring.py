@@ -63,6 +63,31 @@ def normalised(scores: DataFrame, stats: DataFrame) -> DataFrame:
     return scores.join(e, "enroll").join(t, "test").withColumn("norm_score", formula)
 
 
+def with_magnitudes(scores: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Scores with ``enroll_mag`` and ``test_mag``, the norms of the vectors ``(utt, emb)`` that were compared."""
+    mags = vectors.select("utt", vec.norm(F.col("emb")).alias("mag"))
+    for side in ("enroll", "test"):
+        scores = scores.join(mags.select(F.col("utt").alias(side), F.col("mag").alias(f"{side}_mag")), side)
+    return scores
+
+
+def calibration_factors(scores: DataFrame, durations: DataFrame | None = None, most: float = 2.0) -> DataFrame:
+    """Trials with the smaller and larger value, the difference and the ratio of larger to smaller, of what is known of both sides.
+
+    scores come from :func:`normalised` and :func:`with_magnitudes`; durations is ``(utt, dur)``, cut at most (None: no such
+    factors). Columns: ``dur_min, dur_max, dur_diff, dur_ratio``, the same of ``mag`` and of ``mean``, the cohort mean. The ratio
+    to 0 is null.
+    """
+    out = scores
+    if durations is not None:
+        for side in ("enroll", "test"):
+            out = out.join(durations.select(F.col("utt").alias(side), F.least(F.col("dur").cast("double"), F.lit(float(most))).alias(f"{side}_dur")), side)
+    for name in (["dur"] if durations is not None else []) + ["mag", "mean"]:
+        low, high, gap, _ = vec.min_max_diff_ratio(F.col(f"enroll_{name}"), F.col(f"test_{name}"))
+        out = out.withColumns({f"{name}_min": low, f"{name}_max": high, f"{name}_diff": gap, f"{name}_ratio": F.when(low != 0, high / low)})
+    return out
+
+
 def identify(queries: DataFrame, models: DataFrame, least: float = 0.0) -> DataFrame:
     """The model of the largest cosine above least for each query; ties go to the smallest name. models: a registry, whose size is checked by the planner."""
     pairs = queries.select(F.col("utt"), vec.length_norm(F.col("emb")).alias("q")).join(models.select("name", vec.length_norm(F.col("emb")).alias("m")))

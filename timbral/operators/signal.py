@@ -49,6 +49,18 @@ def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
     return np.fft.irfft(kept, n) * (n / len(samples))
 
 
+def at_rate(df: DataFrame, to: int, samples: str = "samples", rate: str = "sample_rate") -> DataFrame:
+    """df with all samples at one rate, each row from its own; rows that have it already are left alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf[samples] = [x if x is None or r == to else resample(np.asarray(x, float), int(r), to) for x, r in zip(pdf[samples], pdf[rate])]
+            yield pdf.assign(**{rate: np.int32(to)})
+
+    rows = df.withColumns({samples: F.col(samples).cast("array<double>"), rate: F.col(rate).cast("int")})
+    return rows.mapInPandas(run, rows.schema)
+
+
 def speed_perturbed(samples: np.ndarray, speed: float) -> np.ndarray:
     """The signal played at another speed: its length is divided by it, and pitch follows."""
     return resample(samples, 10_000, round(10_000 / speed))
