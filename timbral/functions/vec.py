@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,12 @@ def as_double(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row. A lambda over an array computes what it refers to anew for each element, so that
+    a sum over the same array would take the square of its length."""
+    return F.transform(F.array(value), use)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(as_double(a), as_double(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -33,14 +41,14 @@ def plus(a: Column, b: Column) -> Column:
 
 
 def times(v: Column, factor: Column | float) -> Column:
-    f = factor if isinstance(factor, Column) else F.lit(float(factor))
-    return F.transform(as_double(v), lambda x: x * f)
+    if not isinstance(factor, Column):
+        return F.transform(as_double(v), lambda x: x * F.lit(float(factor)))
+    return held(factor, lambda f: F.transform(as_double(v), lambda x: x * f))
 
 
 def length_norm(v: Column, kind: str = "unit") -> Column:
-    """unit: norm 1; dimension: norm sqrt(D), as likelihood-ratio scoring expects."""
-    n = norm(v)
-    return times(v, F.sqrt(F.size(v).cast("double")) / n if kind == "dimension" else F.lit(1.0) / n)
+    """unit: norm 1; dimension: norm sqrt(D), as likelihood-ratio scoring expects. Zeros have no direction and become nulls."""
+    return times(v, F.try_divide(F.sqrt(F.size(v).cast("double")) if kind == "dimension" else F.lit(1.0), norm(v)))
 
 
 def project(v: Column, columns: list[list[float]]) -> Column:

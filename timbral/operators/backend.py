@@ -13,12 +13,16 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
 from . import scoring
 
+#: Numbers of a sum of outer products that travel as one row.
+PIECE = 4096
+
 
 def moments(df: DataFrame, emb: str = "emb") -> tuple[int, np.ndarray, np.ndarray]:
     """Count, sum and sum of outer products of all vectors; each task adds up its own."""
@@ -30,11 +34,11 @@ def moments(df: DataFrame, emb: str = "emb") -> tuple[int, np.ndarray, np.ndarra
                 x = np.stack(pdf["emb"].to_numpy()).astype(float)
                 n, s, ss = n + len(x), x.sum(0) if s is None else s + x.sum(0), x.T @ x if ss is None else ss + x.T @ x
         if n:
-            yield pd.DataFrame({"pos": np.arange(len(s) * (len(s) + 1)), "x": np.concatenate([s, ss.ravel()])})
+            yield pd.DataFrame({"pos": np.arange(-1, len(s) * (len(s) + 1)), "x": np.concatenate([[n], s, ss.ravel()])})
 
     parts = df.select(F.col(emb).alias("emb")).mapInPandas(run, "pos int, x double").groupBy("pos").agg(F.sum("x").alias("x")).orderBy("pos").toPandas()["x"].to_numpy()
-    d = int((np.sqrt(4 * len(parts) + 1) - 1) / 2)
-    return df.count(), parts[:d], parts[d:].reshape(d, d)
+    d = int((np.sqrt(4 * (len(parts) - 1) + 1) - 1) / 2)
+    return int(parts[0]) if len(parts) else 0, parts[1 : d + 1], parts[d + 1 :].reshape(d, d)
 
 
 def mapped(df: DataFrame, f: Callable[[np.ndarray], np.ndarray], column: str = "emb") -> DataFrame:
@@ -91,16 +95,26 @@ def class_stats(df: DataFrame, label: str = "spk", emb: str = "emb") -> ClassSta
                 x = np.stack(part["mean"].to_numpy()).astype(float)
                 k, s, ss = sums.get(size, (0, 0.0, 0.0))
                 sums[size] = (k + len(x), s + x.sum(0), ss + x.T @ x)
+        salt = TaskContext.get().partitionId() % 256
         for size, (k, s, ss) in sums.items():
-            yield pd.DataFrame([(size, np.concatenate([[k], s, np.ravel(ss)]).tobytes())], columns=["n", "sums"])
+            whole = np.concatenate([[k], s, np.ravel(ss)])
+            for part in range(0, len(whole), PIECE):
+                yield pd.DataFrame([(size, part, salt, whole[part : part + PIECE].tobytes())], columns=["n", "part", "salt", "sums"])
 
     def total_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(pdf["n"].iloc[0], sum(np.frombuffer(x) for x in pdf["sums"]).tobytes())], columns=["n", "sums"])
-
+        return pdf.head(1).assign(sums=[sum(np.frombuffer(x) for x in pdf["sums"]).tobytes()])
+
+    schema = "n int, part int, salt int, sums binary"
+    parts = means.mapInPandas(add_up, schema)
+    for group in (("n", "part", "salt"), ("n", "part")):  # pieces of the sums of some tasks, then of all: no task holds those of all tasks
+        parts = parts.groupBy(*group).applyInPandas(total_of, schema)
+    pieces: dict[int, dict[int, bytes]] = {}
+    for row in parts.toLocalIterator():
+        pieces.setdefault(row.n, {})[row.part] = bytes(row.sums)
     by_size = {}
-    for row in means.mapInPandas(add_up, "n int, sums binary").groupBy("n").applyInPandas(total_of, "n int, sums binary").toLocalIterator():
-        v = np.frombuffer(row.sums)
-        by_size[row.n] = (int(v[0]), v[1 : d + 1], v[d + 1 :].reshape(d, d))
+    for size, found in pieces.items():
+        v = np.frombuffer(b"".join(found[p] for p in sorted(found)))
+        by_size[size] = (int(v[0]), v[1 : d + 1], v[d + 1 :].reshape(d, d))
     return ClassStats(n, mean, scatter, by_size)
 
 

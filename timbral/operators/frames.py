@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vec
 from .intervals import subsegments
 
 #: Frames in a block.
@@ -81,7 +82,7 @@ def piece_frames(segments: DataFrame, blocks: DataFrame, window: int = 150, peri
     if normalise == "segment":
         out = out.join(segment_means(named, blocks, size), "seg", "left").withColumn("feat", less(F.col("mean"))).drop("mean")
     elif normalise == "piece":
-        out = out.withColumn("feat", less(column_means(F.col("feat"))))
+        out = out.withColumn("feat", vec.held(column_means(F.col("feat")), less))
     return out.select("seg", "rec", "begin", "end", "feat")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from ..scratch import pinned
 
 #: Rows of a slab, classes of a block, and slabs that meet a block under one key of the join.
 SLAB, BLOCK, TOGETHER = 512, 1024, 256
@@ -55,10 +56,10 @@ def over_classes(samples: DataFrame, centres: DataFrame, term: Callable[[np.ndar
     """
     known = centres.where(F.col(cls).isNotNull() & F.col(emb).isNotNull()).select(F.col(cls).cast("long").alias("c"), vec.as_double(F.col(emb)).alias("emb"))
     n_blocks = max(1, math.ceil(known.select("c").distinct().count() / block))
-    salts = max(1, math.ceil(samples.count() / slab / TOGETHER))
+    slabs = pinned(_slabs(samples, key, cls, emb, slab))  # a task that runs again must find the same rows in a slab
+    salts = max(1, math.ceil(slabs.count() / TOGETHER))
     packed = known.groupBy(F.pmod(F.xxhash64("c"), F.lit(n_blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("c", "emb"))).alias("rows"))
     packed = packed.select("block", F.col("rows.c").alias("c"), F.col("rows.emb").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    slabs = _slabs(samples, key, cls, emb, slab)
     kind = slabs.schema["key"].dataType.elementType.simpleString()
     met = slabs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))).withColumn("salt", F.pmod(F.xxhash64("slab"), F.lit(salts)).cast("int"))
 

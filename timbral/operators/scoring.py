@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from . import products
 
 
 def mean_vector(df: DataFrame, emb: str, *keys: str) -> DataFrame:
@@ -34,24 +37,25 @@ def cosine_scores(trials: DataFrame, vectors: DataFrame, mean: DataFrame | None
     """Trials with ``score``, after subtraction of the one mean if it is given; on_missing as in :func:`attach`."""
     if mean is not None:
         vectors = vectors.crossJoin(F.broadcast(mean)).select("utt", vec.minus(F.col("emb"), F.col("mean")).alias("emb"))  # one row
-    joined = attach(trials, vectors, on_missing=on_missing)
-    return joined.withColumn("score", vec.cosine(F.col("enroll_emb"), F.col("test_emb"), scale)).drop("enroll_emb", "test_emb")
+    joined = attach(trials, vectors.select("utt", vec.length_norm(F.col("emb")).alias("emb")), on_missing=on_missing)  # each vector is scaled once
+    cosine = vec.dot(F.col("enroll_emb"), F.col("test_emb"))
+    return joined.withColumn("score", (cosine + 1) / 2 if scale == "unit" else cosine).drop("enroll_emb", "test_emb")
 
 
 def cohort_stats(vectors: DataFrame, cohort: DataFrame, top_n: int | None) -> DataFrame:
-    """``(utt, mean, std)`` of the top_n largest cosines of each vector to the cohort (all of them for None).
+    """``(utt, mean, std)`` of the top_n largest cosines of each vector to the cohort ``(name, emb)`` (all of them for None).
 
-    The cohort meets the vectors in blocks: each block of it keeps the best top_n of a vector,
-    so that no task holds all scores of a vector, and blocks merge by another top_n.
+    Products of blocks (:mod:`products`): a task hands on the best top_n of a vector in a block, or sums. Rows without a vector go;
+    a repeated row of vectors stays, and so its trials would: vectors have one row a name.
     """
-    unit = vectors.select("utt", vec.length_norm(F.col("emb")).alias("u"))
-    blocks = cohort.select(F.pmod(F.xxhash64("name"), F.lit(16)).alias("block"), vec.length_norm(F.col("emb")).alias("c")).groupBy("block").agg(F.collect_list("c").alias("cs"))
-    spread = unit.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long")))).join(blocks, "block")
-    scores = F.transform("cs", lambda c: vec.dot(F.col("u"), c))
-    best = F.slice(F.reverse(F.array_sort(scores)), 1, top_n) if top_n else scores
-    long = spread.select("utt", best.alias("best")).groupBy("utt").agg(F.flatten(F.collect_list("best")).alias("best"))
-    kept = F.slice(F.reverse(F.array_sort("best")), 1, top_n) if top_n else F.col("best")
-    return long.select("utt", F.explode(kept).alias("x")).groupBy("utt").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    left = products.slabs(vectors)
+    if not top_n:
+        return products.spread_of(left, cohort).withColumnRenamed("key", "utt")
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    mean = total(F.col("best")) / F.size("best")
+    best = products.largest(left, cohort, top_n).withColumn("mean", mean)
+    dev = F.sqrt(total(F.transform("best", lambda x: (x - F.col("mean")) * (x - F.col("mean")))) / F.size("best"))
+    return best.select(F.col("key").alias("utt"), "mean", dev.alias("std"))
 
 
 def normalised(scores: DataFrame, stats: DataFrame) -> DataFrame:
@@ -89,20 +93,25 @@ def calibration_factors(scores: DataFrame, durations: DataFrame | None = None, m
 
 
 def identify(queries: DataFrame, models: DataFrame, least: float = 0.0) -> DataFrame:
-    """The model of the largest cosine above least for each query; ties go to the smallest name. models: a registry, whose size is checked by the planner."""
-    pairs = queries.select(F.col("utt"), vec.length_norm(F.col("emb")).alias("q")).join(models.select("name", vec.length_norm(F.col("emb")).alias("m")))
-    scored = pairs.withColumn("score", vec.dot(F.col("q"), F.col("m"))).where(F.col("score") > least)
-    return scored.groupBy("utt").agg(F.max(F.col("score")).alias("score"), F.min_by("name", F.struct((-F.col("score")).alias("s"), "name")).alias("name"))
+    """``(utt, score, name)``: the model ``(name, emb)`` of the largest cosine above least for each query, ties to the smallest name; a query without one has no row."""
+    return products.nearest(products.slabs(queries), models, least).withColumnRenamed("key", "utt")
 
 
 def plda_llr(enroll: Column, test: Column, psi: list[float], n: int | Column = 1) -> Column:
     """Log-likelihood ratio of two transformed vectors, for an enrolment of n utterances."""
-    k = F.lit(float(n)) if isinstance(n, int) else n.cast("double")
+    fold = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, x: s + x)
+    times = lambda values, v: F.zip_with(vec.lit_vector(values), v, lambda a, x: a * x)
+    if isinstance(n, int):  # all but the two vectors is known
+        gain, var, total = [n * a / (n * a + 1) for a in psi], [1 + a / (n * a + 1) for a in psi], [1 + a for a in psi]
+        test = vec.as_double(test)
+        square = F.zip_with(test, times(gain, vec.as_double(enroll)), lambda t, m: (t - m) * (t - m))
+        known = sum(math.log(b) - math.log(a) for a, b in zip(var, total))
+        return 0.5 * (known - fold(times([1 / v for v in var], square)) + fold(times([1 / v for v in total], F.transform(test, lambda t: t * t))))
+    k = n.cast("double")
     p = vec.lit_vector(psi)
     mean = F.zip_with(p, vec.as_double(enroll), lambda a, e: k * a / (k * a + 1) * e)
     var = F.transform(p, lambda a: 1 + a / (k * a + 1))
     total = F.transform(p, lambda a: 1 + a)
-    fold = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, x: s + x)
     square = F.zip_with(vec.as_double(test), mean, lambda t, m: (t - m) * (t - m))
     given = -0.5 * (fold(F.transform(var, lambda v: F.log(v))) + fold(F.zip_with(square, var, lambda s, v: s / v)))
     alone = -0.5 * (fold(F.transform(total, lambda v: F.log(v))) + fold(F.zip_with(F.transform(vec.as_double(test), lambda t: t * t), total, lambda s, v: s / v)))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vec
+
 
 def mel_banks(bins: int, fft: int, rate: int, low: float = 20.0, high: float = 0.0) -> np.ndarray:
     """Triangular filters, bins x (fft / 2 + 1), even on the mel scale."""
@@ -120,7 +122,7 @@ def mean_normalised(feat: Column, variance: bool = False) -> Column:
             return x.cast("double") - s["mean"]
         return (x.cast("double") - s["mean"]) / F.sqrt((s["square"] - n * s["mean"] * s["mean"]) / (n - 1) + 1e-8)
 
-    return F.transform(feat, lambda frame: F.zip_with(frame, stats, one))
+    return vec.held(stats, lambda known: F.transform(feat, lambda frame: F.zip_with(frame, known, one)))
 
 
 def length_between(df: DataFrame, least: int, most: int, column: str = "samples", key: str = "utt") -> DataFrame:
