@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from timbral.plans import catalogue, extras, further, listed, modelling  # noqa: F401
+from timbral.plans import catalogue, extras, further, listed, modelling, proved  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

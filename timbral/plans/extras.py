@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..operators import datadir, intervals, scoring
+from ..scratch import shared_folder
+from ..sources import text_tables
 from .catalogue import E_SQL, LONG_SQL, _vectors, query, r, table
 
 
@@ -53,23 +55,26 @@ def segment_ids(spark, sf):
 
 @query("SELECT event_id, (event_id % 86400)::DOUBLE AS begin, user_id::VARCHAR AS utt FROM events")
 def parse_segment_ids(spark, sf):
+    folder = shared_folder(spark)
     begin = (F.col("event_id") % 86400).cast("double")
     seg = intervals.segment_id(F.col("user_id").cast("string"), begin, begin + 1)
-    part = lambda i: F.regexp_extract("seg", r"^(.*)-(\d+)-(\d+)$", i)
-    return table(spark, sf, "events").select("event_id", seg.alias("seg")).select("event_id", (part(2).cast("double") / 1000).alias("begin"), part(1).alias("utt"))
+    text_tables.write_lines(table(spark, sf, "events"), folder, F.concat(seg, F.lit("-00000000-00000100")), "event_id")
+    return text_tables.read_labels(spark, folder).select(F.col("label").cast("long").alias("event_id"), "begin", "utt")
 
 
 @query("SELECT l_orderkey, l_linenumber, round(0.5::DOUBLE * l_quantity + 2 * l_discount - 3, 5) AS score FROM lineitem")
 def linear_calibration(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("a"), F.col("l_discount").cast("double").alias("b"))
-    return rows.select("l_orderkey", "l_linenumber", r(0.5 * F.col("a") + 2.0 * F.col("b") - 3.0).alias("score"))
+    return scoring.linear_calibration(rows, {"a": 0.5, "b": 2.0}, -3.0, "score").select("l_orderkey", "l_linenumber", r("score").alias("score"))
 
 
 @query("SELECT l_orderkey::VARCHAR || ' ' || l_linenumber::VARCHAR || ' ' || printf('%.5f', l_extendedprice) || ' ' || CASE WHEN l_returnflag = 'R' THEN 'target' ELSE 'nontarget' END AS line FROM lineitem")
 def score_lines(spark, sf):
-    rows = table(spark, sf, "lineitem")
+    folder = shared_folder(spark)
     label = F.when(F.col("l_returnflag") == "R", "target").otherwise("nontarget")
-    return rows.select(F.concat_ws(" ", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.format_string("%.5f", F.col("l_extendedprice").cast("double")), label).alias("line"))
+    rows = table(spark, sf, "lineitem").withColumn("score", F.col("l_extendedprice").cast("double"))
+    text_tables.write_lines(rows, folder, "l_orderkey", "l_linenumber", "score", label)
+    return spark.read.text(folder).withColumnRenamed("value", "line")
 
 
 @query("SELECT conv_id, len(string_split(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), ' ')) AS n_fields, string_split(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), ' ')[1] AS head FROM conversations WHERE text IS NOT NULL")
@@ -132,4 +137,5 @@ def even_shares(spark, sf):
 @query("SELECT d.doc_id AS utt, 'copy' AS source FROM documents d UNION ALL SELECT vec_id, 'vector' FROM embeddings")
 def table_union(spark, sf):
     a = table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("utt"), F.lit("copy").alias("source"))
-    return a.unionByName(table(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("utt"), F.lit("vector").alias("source")))
+    b = table(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("utt"), F.lit("vector").alias("source"))
+    return datadir.combine([{"utts": a}, {"utts": b}])["utts"]
