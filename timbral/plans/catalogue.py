@@ -283,28 +283,33 @@ def noise_gain(spark, sf):
     return _vectors(spark, sf).select("utt", r(vec.noise_gain(F.slice("emb", 1, 32), F.slice("emb", 33, 32), F.lit(15.0))).alias("gain"))
 
 
-@query("SELECT i AS bin, round(1127.0::DOUBLE * ln(1 + i * 100 / 700.0::DOUBLE), 5) AS mel, round(2595.0::DOUBLE * log10(1 + i * 100 / 700.0::DOUBLE), 5) AS mel10 FROM range(0, 81) t(i)")
+def _steps(spark: SparkSession, sf: str, n: int) -> DataFrame:
+    """A step below n for each order."""
+    return table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % n).alias("id"))
+
+
+@query("SELECT o_orderkey, i AS bin, round(1127.0::DOUBLE * ln(1 + i * 100 / 700.0::DOUBLE), 5) AS mel, round(2595.0::DOUBLE * log10(1 + i * 100 / 700.0::DOUBLE), 5) AS mel10 FROM (SELECT o_orderkey, o_orderkey % 81 AS i FROM orders)")
 def mel_scale_bins(spark, sf):
     hz = F.col("id") * 100.0
-    return spark.range(81).select(F.col("id").alias("bin"), r(vec.mel(hz)).alias("mel"), r(vec.mel(hz, "common")).alias("mel10"))
+    return _steps(spark, sf, 81).select("o_orderkey", F.col("id").alias("bin"), r(vec.mel(hz)).alias("mel"), r(vec.mel(hz, "common")).alias("mel10"))
 
 
-@query(f"""SELECT i AS step, round(least(i / 100.0::DOUBLE, 1.0::DOUBLE) * 0.1::DOUBLE * exp(i / 1000.0::DOUBLE * {math.log(1e-4)!r}::DOUBLE), 8) AS exp_lr,
+@query(f"""SELECT o_orderkey, i AS step, round(least(i / 100.0::DOUBLE, 1.0::DOUBLE) * 0.1::DOUBLE * exp(i / 1000.0::DOUBLE * {math.log(1e-4)!r}::DOUBLE), 8) AS exp_lr,
 round(CASE WHEN i < 100 THEN 0.1::DOUBLE * i / 100 WHEN i < 900 THEN 0.001::DOUBLE + 0.5::DOUBLE * 0.099::DOUBLE * (1 + cos(pi() * (i - 100) / 800.0::DOUBLE)) ELSE 0.001::DOUBLE END, 8) AS cosine_lr,
 round(0.001::DOUBLE + 0.099::DOUBLE * pow(0.5::DOUBLE, i // 200) * CASE WHEN i % 200 <= 100 THEN (i % 200) / 100.0::DOUBLE ELSE 1 - (i % 200 - 100) / 100.0::DOUBLE END, 10) AS triangular_lr
-FROM range(0, 1000) t(i)""")
+FROM (SELECT o_orderkey, o_orderkey % 1000 AS i FROM orders)""")
 def lr_schedule(spark, sf):
     s = F.col("id")
-    return spark.range(1000).select(
+    return _steps(spark, sf, 1000).select("o_orderkey",
         s.alias("step"), r(schedules.exponential(s, 0.1, 1e-5, 1000, 100), 8).alias("exp_lr"), r(schedules.cosine(s, 0.1, 0.001, 100, 900), 8).alias("cosine_lr"), r(schedules.triangular2(s, 0.001, 0.1, 100), 10).alias("triangular_lr")
     )
 
 
-@query(f"""SELECT i AS step, round(CASE WHEN i < 200 THEN 0 WHEN i >= 400 THEN 0.2::DOUBLE ELSE 0.2::DOUBLE * (1 - exp((i - 200) / 200.0::DOUBLE * {math.log(1e-3 / (1 + 1e-6))!r}::DOUBLE)) END, 6) AS exp_margin,
-round(CASE WHEN i < 200 THEN 0 WHEN i >= 400 THEN 0.2::DOUBLE ELSE 0.2::DOUBLE * (i - 200) / 200.0::DOUBLE END, 6) AS linear_margin FROM range(0, 500) t(i)""")
+@query(f"""SELECT o_orderkey, i AS step, round(CASE WHEN i < 200 THEN 0 WHEN i >= 400 THEN 0.2::DOUBLE ELSE 0.2::DOUBLE * (1 - exp((i - 200) / 200.0::DOUBLE * {math.log(1e-3 / (1 + 1e-6))!r}::DOUBLE)) END, 6) AS exp_margin,
+round(CASE WHEN i < 200 THEN 0 WHEN i >= 400 THEN 0.2::DOUBLE ELSE 0.2::DOUBLE * (i - 200) / 200.0::DOUBLE END, 6) AS linear_margin FROM (SELECT o_orderkey, o_orderkey % 500 AS i FROM orders)""")
 def margin_schedule(spark, sf):
     s = F.col("id")
-    return spark.range(500).select(s.alias("step"), r(schedules.margin(s, 200, 400, 0.0, 0.2), 6).alias("exp_margin"), r(schedules.margin(s, 200, 400, 0.0, 0.2, "linear"), 6).alias("linear_margin"))
+    return _steps(spark, sf, 500).select("o_orderkey", s.alias("step"), r(schedules.margin(s, 200, 400, 0.0, 0.2), 6).alias("exp_margin"), r(schedules.margin(s, 200, 400, 0.0, 0.2, "linear"), 6).alias("linear_margin"))
 
 
 CENTROIDS_SQL = f"co AS (SELECT spk AS cls, list(m ORDER BY pos) AS c FROM (SELECT spk, pos, avg(x) AS m FROM long GROUP BY spk, pos) GROUP BY spk), cs AS (SELECT utt, spk, cls, emb, c, list_dot_product(emb, c) / ({NORM.format('emb')} * {NORM.format('c')}) AS s FROM e, co)"
