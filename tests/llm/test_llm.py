@@ -117,6 +117,16 @@ def test_jaccard_of_a_group_of_near_copies(spark, settings):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts, 4, 85)[1]
 
 
+def test_jaccard_reads_the_lists_of_candidates_once(spark):
+    """What the pairs' ends are joined to is written, so that its rows are made once whatever the size of the tables."""
+    s = jaccard.Settings(shingle=4, percent=85)
+    rows = [(token, entity, 100, 2 + (entity > 3), place, entity) for entity in (1, 2, 3, 4) for place, token in enumerate((10, 11, 12 + entity % 2))]
+    lists = spark.createDataFrame(rows, "token long, entity long, n int, l int, place int, group long")
+    found = jaccard._across(lists, s)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
+    assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard.classes(table(spark, []).limit(0)).count() == 0
 

@@ -212,9 +212,11 @@ def _pairs_a_row(rows: DataFrame, s: Settings) -> float:
 def _across(rows: DataFrame, s: Settings) -> DataFrame:
     """The candidates that share as many prefix shingles as the smaller l of both asks for."""
     pairs = written(_candidates(rows, s).distinct())
-    ends = pairs.select(F.col("a").alias("entity")).union(pairs.select(F.col("b").alias("entity"))).distinct()
-    lists = rows.join(ends, "entity", "left_semi").groupBy("entity").agg(F.collect_list("token").alias("tokens"))
-    met = pairs.where("l > 1").join(lists.select(F.col("entity").alias("a"), F.col("tokens").alias("of_a")), "a").join(lists.select(F.col("entity").alias("b"), F.col("tokens").alias("of_b")), "b")
+    several = pairs.where("l > 1")
+    ends = several.select(F.col("a").alias("entity")).union(several.select(F.col("b").alias("entity"))).distinct()
+    # written, as both ends read them: else the rows may be joined to the ends twice, on larger tables only
+    lists = written(rows.join(ends, "entity", "left_semi").groupBy("entity").agg(F.collect_list("token").alias("tokens")))
+    met = several.join(lists.select(F.col("entity").alias("a"), F.col("tokens").alias("of_a")), "a").join(lists.select(F.col("entity").alias("b"), F.col("tokens").alias("of_b")), "b")
     return pairs.where("l = 1").select("a", "b").unionByName(met.where(F.size(F.array_intersect("of_a", "of_b")) >= F.col("l")).select("a", "b"))
 
 
