@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,6 +28,14 @@ def kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 50) -> np.ndarray
     return best[1]
 
 
+#: Numbers of one block of products.
+BLOCK = 1 << 21
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
 def spectral(x: np.ndarray, least: int = 1, most: int = 20, count: int | None = None, seed: int = 0) -> np.ndarray:
     """Labels by eigenvectors of the Laplacian of a pruned cosine graph; the number of clusters is where the eigenvalues leap."""
     m = len(x)
@@ -51,41 +57,80 @@ def spectral(x: np.ndarray, least: int = 1, most: int = 20, count: int | None =
 
 def merge_by_cost(x: np.ndarray, labels: np.ndarray, merge_from: float = 0.3, small: int = 3, absorb_from: float = 0.0) -> np.ndarray:
     """Labels after a noise-aware pass: points labelled -1 begin as clusters of one; clusters merge, best mean cosine first,
-    from merge_from on (two that were labelled never do); small ones then join the best large one; labels are renumbered as they appear."""
-    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    groups = [np.flatnonzero(labels == k) for k in sorted(set(labels.tolist()) - {-1})]
-    fixed = [True] * len(groups)
-    for i in np.flatnonzero(labels == -1):
-        groups.append(np.array([i]))
-        fixed.append(False)
-    alive, sums = set(range(len(groups))), [unit[g].sum(0) for g in groups]
-    cost = lambda a, b: float(sums[a] @ sums[b]) / (len(groups[a]) * len(groups[b]))
-    heap = [(-cost(a, b), a, b) for a in alive for b in alive if a < b and not (fixed[a] and fixed[b])]
-    heapq.heapify(heap)
-    while heap:
-        c, a, b = heapq.heappop(heap)
-        if -c < merge_from:
+    from merge_from on (two that were labelled never do); small ones then join the best large one; labels are renumbered as they appear.
+
+    A merged cluster is never nearer to a third than the nearer of its parts was. So two clusters that are nearest to each other can
+    merge at any time with the same outcome, and only sums of clusters are held, never the costs of all pairs.
+    """
+    unit = _unit(x)
+    named, own = np.unique(labels[labels != -1], return_inverse=True)
+    free = np.flatnonzero(labels == -1)
+    # equal directions merge first of all; zeros have none
+    alike = np.arange(len(free))
+    if merge_from <= 1 and len(free):
+        _, first, back = np.unique(unit[free], axis=0, return_index=True, return_inverse=True)
+        alike = np.where((unit[free] != 0).any(1), first[back.ravel()], alike)
+    firsts, slot = np.unique(alike, return_inverse=True)
+    start = np.empty(len(x), int)
+    start[labels != -1], start[free] = own, len(named) + slot
+    k = len(named) + len(firsts)
+    sums, size, fixed, alive, into = np.zeros((k, x.shape[1])), np.bincount(start, minlength=k), np.arange(k) < len(named), np.ones(k, bool), np.arange(k)
+    np.add.at(sums, start, unit)
+    mean = sums / size[:, None]
+    made = np.where(fixed | (size == 1), np.inf, 1.0)  # the cost of a cluster's last merge: the order in which clusters came about
+    near, best, second = np.full(k, -1), np.full(k, -np.inf), np.full(k, -np.inf)
+
+    def search(asked: np.ndarray) -> None:
+        """The nearest cluster of each, its cost, and a bound for the costs of all others."""
+        others = np.flatnonzero(alive)
+        if len(others) < 2:
+            near[asked], best[asked] = -1, -np.inf
+            return
+        there = mean[others].T.copy()
+        for at in range(0, len(asked), step := max(1, BLOCK // len(others))):
+            part = asked[at : at + step]
+            cost = mean[part] @ there
+            cost[np.arange(len(part)), np.searchsorted(others, part)] = -np.inf
+            cost[np.ix_(fixed[part], fixed[others])] = -np.inf
+            top = cost.argmax(1)
+            near[part], best[part] = others[top], cost[np.arange(len(part)), top]
+            cost[np.arange(len(part)), top] = -np.inf
+            second[part] = cost.max(1)
+
+    search(np.arange(k))
+    while True:
+        ready = np.flatnonzero(alive & (best >= merge_from))
+        if not len(ready):
             break
-        if a in alive and b in alive:
-            alive -= {a, b}
-            new = len(groups)
-            groups.append(np.concatenate([groups[a], groups[b]]))
-            fixed.append(fixed[a] or fixed[b])
-            sums.append(sums[a] + sums[b])
-            for other in alive:
-                if not (fixed[other] and fixed[new]):
-                    heapq.heappush(heap, (-cost(other, new), other, new))
-            alive.add(new)
-    large = [g for g in sorted(alive) if len(groups[g]) >= small]
-    owner = np.empty(len(x), int)
-    for g in alive:
-        to = g
-        if len(groups[g]) < small and large:
-            best = max(large, key=lambda h: cost(g, h))
-            to = best if cost(g, best) >= absorb_from else g
-        owner[groups[g]] = to
+        a = ready[(near[near[ready]] == ready) & (ready < near[ready])]
+        if not len(a):  # equal costs up to their last digits in a circle
+            a = ready[[best[ready].argmax()]]
+        b = near[a]
+        sums[a] += sums[b]
+        made[a] = best[a]
+        size[a] += size[b]
+        fixed[a] |= fixed[b]
+        mean[a] = sums[a] / size[a, None]
+        alive[b], into[b] = False, a
+        changed = np.zeros(k, bool)
+        changed[a] = changed[b] = True
+        touched = np.flatnonzero(alive & ~changed & changed[near] & (best >= merge_from))
+        near[touched] = into[near[touched]]
+        best[touched] = np.where(fixed[touched] & fixed[near[touched]], -np.inf, (mean[touched] * mean[near[touched]]).sum(1))
+        search(np.concatenate([a, touched[best[touched] < second[touched]]]))
+    while (into[into] != into).any():
+        into = into[into]
+    large, few = np.flatnonzero(alive & (size >= small)), np.flatnonzero(alive & (size < small))
+    large = large[np.argsort(-made[large], kind="stable")]
+    if len(large):
+        for at in range(0, len(few), step := max(1, BLOCK // len(large))):
+            part = few[at : at + step]
+            cost = mean[part] @ mean[large].T
+            top = cost.argmax(1)
+            into[part] = np.where(cost[np.arange(len(part)), top] >= absorb_from, large[top], part)
+    owner = into[into[start]]
     seen: dict[int, int] = {}
-    return np.array([seen.setdefault(int(o), len(seen)) for o in owner])
+    return np.array([seen.setdefault(int(o), len(seen)) for o in owner], int)
 
 
 def cluster(df: DataFrame, key: str = "utt", order: str = "ord", emb: str = "emb", method: str = "spectral", **settings) -> DataFrame:
