@@ -49,3 +49,18 @@ def test_merges_are_those_of_the_best_pair_each():
 def test_merging_holds_no_pairs():
     found, peak = _peak_mb(lambda: clustering.merge_by_cost(_points(1200, 6, 1, noise=0.1), np.full(1200, -1)))
     assert len(found) == 1200 and peak < 80
+
+
+def test_spectral_by_lists_of_neighbours_equals_the_matrix():
+    for m, kinds in ((1100, 4), (1500, 6)):
+        x = _points(m, kinds, m)
+        a, b = clustering.spectral(x, dense=m), clustering.spectral(x, dense=0)
+        assert len(set(zip(a.tolist(), b.tolist()))) == len(set(a.tolist())) == len(set(b.tolist()))
+    apart = np.repeat(np.eye(30), 40, axis=0)  # zero is an eigenvalue many times
+    values, _ = clustering.smallest(clustering._laplacian(clustering.strongest(apart, len(apart) - 12)), len(apart), 21)
+    assert np.abs(values).max() < 1e-6
+
+
+def test_spectral_holds_no_pairs():
+    found, peak = _peak_mb(lambda: clustering.spectral(_points(3000, 5, 1)))
+    assert len(set(found.tolist())) == 5 and peak < 200

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,27 +30,94 @@ def kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 50) -> np.ndarray
     return best[1]
 
 
-#: Numbers of one block of products.
-BLOCK = 1 << 21
+#: Points up to which a graph is held as a matrix; numbers of one block of products.
+DENSE, BLOCK = 2000, 1 << 21
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def spectral(x: np.ndarray, least: int = 1, most: int = 20, count: int | None = None, seed: int = 0) -> np.ndarray:
-    """Labels by eigenvectors of the Laplacian of a pruned cosine graph; the number of clusters is where the eigenvalues leap."""
+def strongest(unit: np.ndarray, weakest: int) -> np.ndarray:
+    """The neighbours of each point, itself included, that are left without its weakest; of equal ones the later stay. Made by blocks of rows."""
+    m, found = len(unit), []
+    for at in range(0, m, step := max(1, BLOCK // m)):
+        affinity = 0.5 * (1 + unit[at : at + step] @ unit.T)
+        least = np.partition(affinity, weakest, axis=1)[:, weakest, None]
+        kept, tied = affinity > least, affinity == least
+        spare = (m - weakest) - kept.sum(1, keepdims=True)
+        kept |= tied & (np.cumsum(tied[:, ::-1], axis=1)[:, ::-1] <= spare)
+        found.append(np.nonzero(kept)[1].astype(np.int32).reshape(-1, m - weakest))
+    return np.concatenate(found)
+
+
+def _laplacian(near: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The product of a block of vectors with the Laplacian of the graph ``(A + A') / 2`` without loops; only lists of neighbours are held."""
+    m, width = near.shape
+    order = np.argsort(near, axis=None, kind="stable")
+    source = (order // width).astype(np.int32)
+    del order
+    ends = np.concatenate([[0], np.cumsum(np.bincount(near.ravel(), minlength=m))])
+    loops = np.array([np.count_nonzero(near[i] == i) for i in range(m)], float)
+    degree = 0.5 * (width + np.diff(ends)) - loops
+
+    def product(v: np.ndarray) -> np.ndarray:
+        out = (degree + loops)[:, None] * v
+        for at in range(0, m, step := max(1, BLOCK // (width * v.shape[1]))):
+            out[at : at + step] -= 0.5 * v[near[at : at + step]].sum(1)
+            first = ends[at : at + step + 1]
+            own = v[source[first[0] : first[-1]]]
+            some = np.diff(first) > 0
+            if some.any():
+                out[at : at + step][some] -= 0.5 * np.add.reduceat(own, (first[:-1] - first[0])[some], axis=0)
+        return out
+
+    return product
+
+
+def smallest(product: Callable[[np.ndarray], np.ndarray], m: int, n: int, seed: int = 0, tolerance: float = 1e-7, steps: int = 12, restarts: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """The n smallest eigenvalues and their vectors of a symmetric matrix known by its products: a Krylov space of blocks, wider than n,
+    as eigenvalues may repeat, begun again from its best vectors until the residuals are small. Raises where they don't become so."""
+    width = n + 11
+    held = np.linalg.qr(np.random.default_rng(seed).normal(size=(m, width)))[0]
+    for _ in range(restarts):
+        basis, images, block = held, product(held), None
+        for _ in range(steps):
+            rest = (images if block is None else images[:, -width:]) - basis @ (basis.T @ (images if block is None else images[:, -width:]))
+            rest -= basis @ (basis.T @ rest)
+            block = np.linalg.qr(rest[:, :width])[0]
+            block -= basis @ (basis.T @ block)
+            block = np.linalg.qr(block)[0]
+            basis, images = np.hstack([basis, block]), np.hstack([images, product(block)])
+        inner = basis.T @ images
+        values, turn = np.linalg.eigh(0.5 * (inner + inner.T))
+        held, moved = basis @ turn[:, :width], images @ turn[:, :width]
+        left = np.linalg.norm(moved - held * values[:width], axis=0)[:n]
+        if left.max() <= tolerance * max(1.0, values[-1]):
+            return values[:n], held[:, :n]
+        held = np.linalg.qr(held)[0]
+    raise ValueError(f"eigenvectors are off by {left.max():.1e}")
+
+
+def spectral(x: np.ndarray, least: int = 1, most: int = 20, count: int | None = None, seed: int = 0, dense: int = DENSE) -> np.ndarray:
+    """Labels by eigenvectors of the Laplacian of a pruned cosine graph; the number of clusters is where the eigenvalues leap.
+
+    Of more than ``dense`` points only the lists of neighbours and the smallest eigenvectors are held, not matrices of all pairs.
+    """
     m = len(x)
     if m <= 2:
         return np.zeros(m, int)
-    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    affinity = 0.5 * (1 + unit @ unit.T)
+    unit = _unit(x)
     weakest = max(m - 10, 2) if m < 1000 else int(0.99 * m)
-    graph = np.ones_like(affinity)
-    np.put_along_axis(graph, np.argsort(affinity, axis=1, kind="stable")[:, :weakest], 0.0, axis=1)
-    graph = 0.5 * (graph + graph.T)
-    np.fill_diagonal(graph, 0.0)
-    values, vectors = np.linalg.eigh(np.diag(np.abs(graph).sum(1)) - graph)
+    if m > max(dense, 20 * (most + 12)):
+        values, vectors = smallest(_laplacian(strongest(unit, weakest)), m, max(most + 1, count or 0), seed)
+    else:
+        affinity = 0.5 * (1 + unit @ unit.T)
+        graph = np.ones_like(affinity)
+        np.put_along_axis(graph, np.argsort(affinity, axis=1, kind="stable")[:, :weakest], 0.0, axis=1)
+        graph = 0.5 * (graph + graph.T)
+        np.fill_diagonal(graph, 0.0)
+        values, vectors = np.linalg.eigh(np.diag(np.abs(graph).sum(1)) - graph)
     if count is None:
         leaps = np.diff(values[: most + 1])
         count = max(least, int(np.argmax(leaps)) + 1 if len(leaps) else 1)
