@@ -5,7 +5,7 @@ import tracemalloc
 
 import numpy as np
 
-from timbral.operators import clustering
+from timbral.operators import clustering, intervals
 
 
 def _points(m, kinds, seed, noise=0.4, width=16):
@@ -64,3 +64,11 @@ def test_spectral_by_lists_of_neighbours_equals_the_matrix():
 def test_spectral_holds_no_pairs():
     found, peak = _peak_mb(lambda: clustering.spectral(_points(3000, 5, 1)))
     assert len(set(found.tolist())) == 5 and peak < 200
+
+
+def test_error_of_a_diarization_reads_its_spans_from_a_table(spark):
+    turns = spark.createDataFrame([("u", float(i), float(i + 1), f"s{i % 3}") for i in range(9)], "utt string, begin double, end double, label string")
+    out = intervals.diarization_error(intervals.merge_turns(turns).selectExpr("utt", "turn_begin AS begin", "turn_end AS end", "label"), turns, collar=0.0)
+    assert out.first()["der"] == 0.0
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "collect_set" not in plan

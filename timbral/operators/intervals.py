@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import pinned
 
 def merge_overlaps(df: DataFrame, key: str = "utt", least: float = 0.0) -> DataFrame:
     """Unions of overlapping ``(key, begin, end)``, those of at least the given length."""
@@ -112,7 +113,7 @@ def elementary(ref: DataFrame, hyp: DataFrame, key: str = "utt", collar: float =
     marks = points(ref).union(points(hyp))
     if collar:
         marks = marks.union(points(ref, -collar)).union(points(ref, collar))
-    marks = marks.distinct().withColumn("u", F.lead("t").over(Window.partitionBy(key).orderBy("t"))).where("u IS NOT NULL")
+    marks = pinned(marks.distinct().withColumn("u", F.lead("t").over(Window.partitionBy(key).orderBy("t"))).where("u IS NOT NULL"))
     # spans and turns meet in slots of time, of so many seconds, so that the join is on equality
 
     def slots(df, a, b):
@@ -182,7 +183,9 @@ def diarization_error(ref: DataFrame, hyp: DataFrame, key: str = "utt", collar:
 
     Times are sums over spans. What one task sees of a recording is the common time of each pair of its labels, not its spans.
     """
-    spans = elementary(ref, hyp, key, collar, slot).withColumn("d", F.col("end") - F.col("begin"))
+    ref = pinned(ref)  # read many times; so are the spans. A task sorts for one step, not for the steps before it, too
+    hyp = pinned(hyp)
+    spans = pinned(elementary(ref, hyp, key, collar, slot)).withColumn("d", F.col("end") - F.col("begin"))
     kind = ref.schema[key].dataType.simpleString()
     r, h = F.size("ref"), F.size("hyp")
     times = spans.groupBy(key).agg(*(F.sum(F.col("d") * n).alias(name) for name, n in (("scored", r), ("miss", F.greatest(r - h, F.lit(0))), ("false_alarm", F.greatest(h - r, F.lit(0))), ("both", F.least(r, h)))))
